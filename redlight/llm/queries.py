@@ -7,38 +7,81 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, tokens
-from .common import materialize, table
+from . import mixing, packing, quality_fm, quality_rules, simhash, suffix, tokens, topk, toxicity, warc
+from .common import fold, materialize, new_path, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL: an exact round trip through files."""
+    read = warc.round_trip(spark, table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    """Not in SQL: needs the tokenizer."""
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     digests = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(digests, ["doc_id", "piece", "ids_crc32"])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL: XXH64 fingerprints."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL: a learned score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_numbers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL: a learned score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    params = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.score(docs, params).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL: every window of every text would be a row."""
+    cut = suffix.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda x, y: x + y["length"]), F.lit(0).cast("long"))
+    return cut.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    """Not in SQL: needs the tokenizer."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_pack": op2_pack,
-        "op3_simhash": op3_simhash,
-        "op10_token_counts": op10_token_counts,
-    }
+    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": quality_rules.oracle_sql(), "op6_top_k": topk.ORACLE_SQL, "op7_mix": mixing.oracle_sql()}

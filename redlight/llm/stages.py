@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
-``doc_id`` names a document. Rows without one are kept by every filter.
+``doc_id`` names a document. A row without one is scored, cut and mixed like others, but
+belongs to no group of copies.
 """
 
 from __future__ import annotations
@@ -8,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import mixing, packing, simhash, suffix, toxicity
+from .common import materialize, table
+from .queries import tokenizer_path
 
 
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; empty ones and all others stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +28,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes and more that start earlier elsewhere go from the texts. Of a
+    character that a cut runs through, the rest goes too. A document of which nothing is
+    left goes; ``n_chars`` is that of the new text."""
+    done = suffix.cut_repeats(docs)
+    cut = F.size("removed") > 0
+    text = F.when(cut, F.try_validate_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
+    # Whole characters only: drop stray continuation and unfinished lead bytes.
+    text = F.when(cut & text.isNull(), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))).otherwise(text)
+    out = done.withColumn("text", text).where(~cut | (F.octet_length("kept") > 0))
+    return out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mixture takes it."""
+    mixed = mixing.mix(docs).where("copies > 0")
+    return mixed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of whole texts with their place in sequences of 2048 tokens."""
-    pieces = packing.token_pieces(docs, _tokenizer("word_bpe_49k.json"))
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    from .common import materialize
-
-    return packing.pack(materialize(digests, "pieces"), ["doc_id", "piece", "ids_crc32"])
+    pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    digests = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(digests, ["doc_id", "piece", "ids_crc32"])
