@@ -160,8 +160,8 @@ def clock(seconds, millis: bool = False) -> Column:
     whole = F.floor(s)
     minute, second = F.floor(whole / 60).cast("int"), (whole % 60).cast("int")
     if not millis:
-        return F.format_string("%02d:%02d", minute, second)
-    return F.format_string("%02d:%02d.%03d", minute, second, F.floor((s - whole) * 1000).cast("int"))
+        return F.when(s.isNotNull(), F.format_string("%02d:%02d", minute, second))
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d.%03d", minute, second, F.floor((s - whole) * 1000).cast("int")))
 
 
 def phase(frame, green, yellow, red) -> dict[str, Column]:

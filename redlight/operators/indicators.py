@@ -32,7 +32,7 @@ def to_record(df: DataFrame, night: bool = False, location: str = "ubicacion", s
     """Raw infractions to stored records."""
     return df.select(
         F.col("plate").alias("placa"), F.date_format("event_ts", "dd/MM/yyyy").alias("fecha"), F.date_format("event_ts", "HH:mm:ss").alias("hora"),
-        F.coalesce(clock("video_time"), F.lit("00:00")).alias("video_timestamp"), F.coalesce(location, F.lit("Desconocida")).alias("ubicacion"),
+        F.when(F.col("video_time").isNotNull(), clock("video_time")).otherwise("00:00").alias("video_timestamp"), F.coalesce(location, F.lit("Desconocida")).alias("ubicacion"),
         F.coalesce(slot, F.lit("No especificada")).alias("franja_horaria"), F.lit(DEFAULTS["tipo"]).alias("tipo"), F.lit(DEFAULTS["estado"]).alias("estado"),
         F.when(F.lit(night), True).alias("modo_nocturno"),
     )
@@ -75,7 +75,7 @@ def registration_time(df: DataFrame) -> DataFrame:
     t = F.when(F.col("processing_time") > 0, F.col("processing_time"))
     if "delay" in df.columns:
         t = F.coalesce(t, F.when(F.col("delay") > 0, F.col("delay")))
-    return df.agg(F.coalesce(F.avg(F.greatest(t, F.lit(0.01))), F.lit(0.0)).alias("tr"))
+    return df.agg(F.coalesce(F.avg(F.when(t.isNotNull(), F.greatest(t, F.lit(0.01)))), F.lit(0.0)).alias("tr"))
 
 
 def run_time_per_infraction(runs: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ over("v_reads", "f22_first_usable", lambda d: reads.first_usable(d.select("read_
 _BASE_BOX = "SELECT det_id, x1, y1, x2, y2 FROM v_det"
 
 
-@add("f23_boxes_or_default", """SELECT det_id, CASE WHEN det_id % 3 = 0 THEN 'detector' WHEN det_id % 3 = 1 AND det_id % 2 = 0 THEN 'region' ELSE 'default' END AS source,
-round(CASE WHEN det_id % 3 = 0 THEN x1 + 1 WHEN det_id % 3 = 1 AND det_id % 2 = 0 THEN x1 + 2 ELSE x1 + (x2 - x1) * 0.2 END, 4) AS x1, round(CASE WHEN det_id % 3 = 0 OR (det_id % 3 = 1 AND det_id % 2 = 0) THEN y2 ELSE y1 + (y2 - y1) * 0.95 END, 4) AS y2 FROM v_det""")
+@add("f23_boxes_or_default", """SELECT det_id, CASE WHEN det_id % 3 = 0 THEN 'detector' WHEN det_id % 2 = 0 THEN 'region' ELSE 'default' END AS source,
+round(CASE WHEN det_id % 3 = 0 THEN x1 + 1 WHEN det_id % 2 = 0 THEN x1 + 2 ELSE x1 + (x2 - x1) * 0.2 END, 4) AS x1, round(CASE WHEN det_id % 3 = 0 OR det_id % 2 = 0 THEN y2 ELSE y1 + (y2 - y1) * 0.95 END, 4) AS y2 FROM v_det""")
 def f23(spark, d):
     det = view(spark, d, "v_det").select("det_id", *BOX)
     shifted = lambda n: det.withColumn("x1", F.col("x1") + n)
@@ -210,10 +210,11 @@ over("v_reads", "x10_split_correct", lambda d: d.select("read_id", p.split_corre
 e AS (SELECT read_id, translate(substr(t, 1, k), '012584', 'OIZSBA') || translate(substr(t, k + 1), 'OIZSBA', '012584') AS r FROM c)
 SELECT read_id, CASE WHEN length(r) = 6 AND NOT contains(r, '-') AND {s.letters('r[1:3]')} >= 2 AND {s.digits('r[4:6]')} >= 2 THEN r[1:3] || '-' || r[4:6] ELSE r END AS text FROM e""")
 over("v_reads", "x11_region_normalise", lambda d: d.select("read_id", p.region_normalise("text").alias("plate")))
-over("v_reads", "x12_detection_score", lambda d: d.select("read_id", r4(p.detection_score("text", "sharpness", ["AX"], {"AB-": 2})).alias("score")), """SELECT read_id, round((CASE WHEN n > 8 THEN -100 WHEN n BETWEEN 5 AND 7 THEN 5 WHEN n BETWEEN 4 AND 8 THEN 3 ELSE 1 END
+_SCORE = """round((CASE WHEN n > 8 THEN -100 WHEN n BETWEEN 5 AND 7 THEN 5 WHEN n BETWEEN 4 AND 8 THEN 3 ELSE 1 END
 + CASE WHEN regexp_full_match(text, '[A-Z]{2}-[0-9]{4}') THEN 8 WHEN regexp_full_match(text, '[A-Z]{3}-[0-9]{4}') THEN 5 WHEN regexp_full_match(text, '[A-Z]-[0-9]{4,5}') THEN 4 WHEN contains(text, '-') THEN 2 ELSE 0 END
 - 2 * length(regexp_replace(text, '[A-Za-z0-9-]', '', 'g')) - CASE WHEN contains(text, 'L') AND contains(text, 'I') THEN 1 ELSE 0 END - CASE WHEN contains(text, 'O') AND contains(text, '0') THEN 1 ELSE 0 END - CASE WHEN contains(text, 'S') AND contains(text, '5') THEN 1 ELSE 0 END - CASE WHEN contains(text, 'B') AND contains(text, '8') THEN 1 ELSE 0 END
-+ CASE WHEN regexp_full_match(text, '[^-]*-[0-9]+') THEN 2 ELSE 0 END - CASE WHEN contains(text, 'AX') THEN 100 ELSE 0 END + CASE WHEN starts_with(text, 'AB-') THEN 2 ELSE 0 END)::DOUBLE + least(5.0, sharpness / 100), 4) AS score FROM (SELECT *, length(regexp_replace(text, '[- ]', '', 'g')) AS n FROM v_reads)""")
++ CASE WHEN regexp_full_match(text, '[^-]*-[0-9]+') THEN 2 ELSE 0 END - EXTRA)::DOUBLE + least(5.0, sharpness / 100), 4)"""
+over("v_reads", "x12_detection_score", lambda d: d.select("read_id", r4(p.detection_score("text", "sharpness", ["AX"], {"AB-": 2})).alias("score")), f"""SELECT read_id, {_SCORE.replace('- EXTRA', '- CASE WHEN contains(text, \'AX\') THEN 100 ELSE 0 END + CASE WHEN starts_with(text, \'AB-\') THEN 2 ELSE 0 END')} AS score FROM (SELECT *, length(regexp_replace(text, '[- ]', '', 'g')) AS n FROM v_reads)""")
 _FORM = "(CASE WHEN regexp_full_match(text, '[A-Z]+-[0-9]+') THEN 1.0 WHEN regexp_full_match(text, '[A-Z]+[0-9]+') THEN 0.8 WHEN regexp_full_match(text, '[0-9]+-[A-Z]+') THEN 0.7 WHEN contains(text, '-') THEN 0.5 ELSE 0 END + CASE WHEN length(text) BETWEEN 6 AND 8 THEN 0.1 ELSE 0 END)::DOUBLE"
 over("v_reads", "x13_quality_score", lambda d: d.select("read_id", r4(p.quality_score("text", "conf", F.col("conf") - 0.4)).alias("quality")), f"""WITH q AS (SELECT *, conf - 0.4::DOUBLE AS v, {_FORM} AS f FROM v_reads)
 SELECT read_id, round((0.4 * conf + 0.2 * v + 0.2 * f + 0.1 * CASE WHEN regexp_full_match(text, '[A-Z]{{2,3}}-[0-9]{{3,4}}') THEN 0.9 WHEN regexp_full_match(text, '[A-Z]-[0-9]{{3,5}}') THEN 0.8 WHEN regexp_full_match(text, '[0-9]{{3,4}}-[A-Z]{{2,3}}') THEN 0.7 ELSE 0 END
@@ -229,7 +230,9 @@ def pairs(d: DataFrame) -> DataFrame:
 over("v_reads", "x14_plate_similarity", lambda d: pairs(d).select("read_id", r4(p.plate_similarity("a", "b")).alias("similarity")), _PAIRS + """, q AS (SELECT *, upper(regexp_replace(a, '-', '', 'g')) AS x, upper(regexp_replace(b, '-', '', 'g')) AS y FROM p)
 SELECT read_id, round(CASE WHEN x = y THEN 1 WHEN abs(length(x) - length(y)) > 2 THEN 0 ELSE least(1, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) + 0.1 * len([1 FOR i IN range(1, least(length(x), length(y)) + 1) IF x[i] <> y[i] AND translate(x[i], 'OISBZ', '01582') = translate(y[i], 'OISBZ', '01582')])::DOUBLE / greatest(1, least(length(x), length(y)))
 + CASE WHEN regexp_replace(regexp_replace(x, '[A-Za-z]', 'L', 'g'), '[0-9]', 'N', 'g') = regexp_replace(regexp_replace(y, '[A-Za-z]', 'L', 'g'), '[0-9]', 'N', 'g') THEN 0.2 ELSE 0 END) END::DOUBLE, 4) AS similarity FROM q""")
-over("v_reads", "x15_text_similar", lambda d: pairs(d).select("read_id", p.text_similar("a", "b").alias("similar")))
+over("v_reads", "x15_text_similar", lambda d: pairs(d).select("read_id", p.text_similar("a", "b").alias("similar")), _PAIRS + f""", q AS (SELECT *, regexp_replace(a, '-', '', 'g') AS x, regexp_replace(b, '-', '', 'g') AS y FROM p),
+r AS (SELECT *, abs(length(x) - length(y)) AS gap, len([1 FOR i IN range(1, least(length(x), length(y)) + 1) IF x[i] <> y[i] AND len([1 FOR e IN {p.EQUIVALENT} IF contains(e, x[i]) AND contains(e, y[i])]) = 0]) AS other FROM q)
+SELECT read_id, CASE WHEN a = b OR contains(x, y) OR contains(y, x) THEN true WHEN gap > 2 THEN false WHEN {s.similar(s.pattern('x'), s.pattern('y'))} > 0.8 THEN true ELSE other + gap <= least(2, floor(greatest(length(x), length(y)) / 3)) END AS similar FROM r""")
 over("v_reads", "x16_dup_text_similarity", lambda d: pairs(d).select("read_id", r4(p.dup_text_similarity("a", "b")).alias("similarity")), _PAIRS + f""", q AS (SELECT *, upper(regexp_replace(a, '[- ]', '', 'g')) AS x, upper(regexp_replace(b, '[- ]', '', 'g')) AS y FROM p), r AS (SELECT *, {s.run('x')} AS m, {s.run('y')} AS n FROM q),
 u AS (SELECT *, coalesce(list_max([i FOR i IN range(1, least(length(m), length(n)) + 1) IF right(m, i) = right(n, i)]), 0) AS k FROM r),
 v AS (SELECT *, CASE WHEN least(length(m), length(n)) >= 3 AND m = n THEN 0.85 WHEN least(length(m), length(n)) >= 3 AND k >= 3 THEN 0.6 + k::DOUBLE / greatest(length(m), length(n)) * 0.3 ELSE 0 END AS z FROM u)
@@ -246,7 +249,7 @@ over("v_reads", "x21_hamming", lambda d: pairs(d).select("read_id", p.hamming("a
 over("v_reads", "x22_position_correct", lambda d: d.select("read_id", p.position_correct("text").alias("text")), f"""SELECT read_id, CASE WHEN length(t) < 4 THEN t ELSE u[1:2] || translate(u[3:5], 'GSLIOAB', '6511048') || substr(u, 6) END AS text FROM (SELECT *, substr(t, 1, length(t) - 1) || translate(right(t, 1), '15', 'LS') AS u FROM (SELECT read_id, {_CL} AS t FROM v_reads))""")
 over("v_reads", "x23_six_g", lambda d: d.select("read_id", p.six_g("text").alias("text")), "SELECT read_id, CASE WHEN length(t) < 4 THEN t ELSE translate(t[1:2], '6', 'G') || translate(substr(t, 3, length(t) - 3), 'G', '6') || translate(right(t, 1), '6', 'G') END AS text FROM (SELECT read_id, replace(upper(text), ' ', '') AS t FROM v_reads)")
 over("v_inf", "x24_region_of", lambda d: d.select("inf_id", p.region_of(F.coalesce("ubicacion", F.lit(""))).alias("region")), "SELECT inf_id, CASE WHEN contains(upper(coalesce(ubicacion, '')), 'ES') THEN 'ES' WHEN contains(upper(coalesce(ubicacion, '')), 'CL') THEN 'CL' ELSE 'ES' END AS region FROM v_inf")
-over("v_reads", "x25_adjusted_conf", lambda d: d.select("read_id", r4(p.adjusted_conf("conf", F.upper(F.trim("text")), F.col("read_id") % 2 == 0)).alias("adj")), f"SELECT read_id, round(conf * CASE WHEN {s.valid('t')} THEN 1.5 ELSE 1 END * (1 + CASE WHEN read_id % 2 = 0 THEN 0.5 ELSE 1 END * {s.coherence('t')})::DOUBLE, 4) AS adj FROM (SELECT *, {UP} AS t FROM v_reads)")
+over("v_reads", "x25_adjusted_conf", lambda d: d.select("read_id", r4(p.adjusted_conf("conf", F.upper(F.trim("text")), F.col("read_id") % 2 == 0)).alias("adj")), f"SELECT read_id, round(conf * CASE WHEN {s.valid('u')} THEN 1.5 ELSE 1 END * (1 + CASE WHEN read_id % 2 = 0 THEN 0.5 ELSE 1 END * {s.coherence('u')})::DOUBLE, 4) AS adj FROM (SELECT *, {UP} AS u FROM v_reads)")
 over("v_reads", "x26_clock", lambda d: d.select("read_id", g.clock("t").alias("short"), g.clock(F.floor("t") + 0.25, True).alias("long")), "SELECT read_id, lpad(floor(t / 60)::BIGINT::VARCHAR, 2, '0') || ':' || lpad((floor(t)::BIGINT % 60)::VARCHAR, 2, '0') AS short, lpad(floor(t / 60)::BIGINT::VARCHAR, 2, '0') || ':' || lpad((floor(t)::BIGINT % 60)::VARCHAR, 2, '0') || '.250' AS long FROM v_reads")
 over("v_reads", "x27_char_density", lambda d: d.select("read_id", F.round(p.char_density("text", F.col("read_id") % 100, F.lit(20)), 6).alias("density")), "SELECT read_id, round(length(text)::DOUBLE / nullif((read_id % 100) * 20, 0), 6) AS density FROM v_reads")
 over("v_reads", "x28_format_scores", lambda d: d.select("read_id", r4(p.format_score("text")).alias("stored"), r4(p.image_format_score("text")).alias("image")), f"""SELECT read_id, round({_FORM}, 4) AS stored, round(CASE WHEN regexp_full_match(text, '[A-Z]+-[0-9]{{4}}') THEN 1.0 WHEN regexp_full_match(text, '[A-Z][0-9]{{4}}[A-Z]?') THEN 0.8 WHEN contains(text, '-') THEN 0.7 ELSE 0 END + CASE WHEN regexp_full_match(text, '[A-Za-z0-9-]+') THEN 0.1 ELSE 0 END, 4)::DOUBLE AS image FROM v_reads""")
@@ -272,8 +275,8 @@ def j16(spark, d):
     return reads.best_plate_version(r, r.where("read_id % 50 = 0").select(F.col("c").alias("plate")), "c").select("read_id", "version")
 
 
-_SIM = f"""WITH r AS (SELECT read_id, camera, t, upper(regexp_replace(text, '[- ]', '', 'g')) AS x FROM v_reads), q AS (SELECT *, {s.run('x')} AS m, {s.fold('x')} AS f FROM r WHERE x <> ''),
-p AS (SELECT a.read_id AS a, b.read_id AS b, a.x, b.x AS y, a.m, b.m AS n, a.f, b.f AS fy, abs(a.t - b.t) AS dt FROM q a JOIN q b ON a.camera = b.camera AND a.read_id < b.read_id AND abs(a.t - b.t) < 30),
+_SIM = f"""WITH r AS (SELECT read_id, vehicle, t, upper(regexp_replace(text, '[- ]', '', 'g')) AS x FROM v_reads), q AS (SELECT *, {s.run('x')} AS m, {s.fold('x')} AS f FROM r WHERE x <> ''),
+p AS (SELECT a.read_id AS a, b.read_id AS b, a.x, b.x AS y, a.m, b.m AS n, a.f, b.f AS fy, abs(a.t - b.t) AS dt FROM q a JOIN q b ON a.vehicle = b.vehicle AND a.read_id < b.read_id),
 u AS (SELECT *, coalesce(list_max([i FOR i IN range(1, least(length(m), length(n)) + 1) IF right(m, i) = right(n, i)]), 0) AS k FROM p),
 v AS (SELECT *, CASE WHEN least(length(m), length(n)) >= 3 AND m = n THEN 0.85 WHEN least(length(m), length(n)) >= 3 AND k >= 3 THEN 0.6 + k::DOUBLE / greatest(length(m), length(n)) * 0.3 ELSE 0 END AS z FROM u),
 w AS (SELECT *, CASE WHEN x = y THEN 1 WHEN z < 0.8 AND f = fy THEN 0.85 ELSE z END::DOUBLE AS s, CASE WHEN dt < 5 THEN 1 - dt / 5 ELSE 0 END::DOUBLE AS h FROM v),
@@ -353,8 +356,9 @@ over("v_track", "w02_best_read_per_car", lambda d: tracks.best_read_per_car(d).s
 over("v_track", "j13_annotate_frames", lambda d: tracks.annotate_frames(d).select("car_id", "frame", "best_frame", "best_score"), _BEST + " SELECT t.car_id, t.frame, b.frame AS best_frame, b.text_score AS best_score FROM v_track t JOIN b ON b.car_id = t.car_id AND rn = 1")
 over("v_det", "w03_last_per_car_frame", lambda d: detections.last_per_car_frame(d.withColumnRenamed("det_id", "plate_id"), ["camera", "frame"]).select("camera", "frame", "plate_id"), "SELECT camera, frame, max(det_id) AS plate_id FROM v_det GROUP BY camera, frame")
 over("v_reads", "w04_first_seen", lambda d: reads.first_seen(d.withColumn("c", p.clean_plate("text")), "c", ["t", "read_id"]).select("c", "read_id"), f"SELECT c, read_id FROM (SELECT {_CL} AS c, read_id, row_number() OVER (PARTITION BY {_CL} ORDER BY t, read_id) AS rn FROM v_reads) WHERE rn = 1")
-over("v_reads", "w05_best_per_vehicle", lambda d: reads.best_per_vehicle(d, "vehicle").select("vehicle", "read_id", "score"))
-over("v_reads", "w06_best_per_group", lambda d: reads.dedup_plates(d, ["camera", "vehicle"]).select("read_id", "members"))
+over("v_reads", "w05_best_per_vehicle", lambda d: reads.best_per_vehicle(d, "vehicle", "sharpness").select("vehicle", "read_id", r4("score").alias("score")), f"""WITH q AS (SELECT *, {_SCORE.replace('- EXTRA', '')} AS score FROM (SELECT *, length(regexp_replace(text, '[- ]', '', 'g')) AS n FROM v_reads))
+SELECT vehicle, arg_max(read_id, (score, -read_id)) AS read_id, max(score) AS score FROM q GROUP BY vehicle""")
+over("v_reads", "w06_best_per_group", lambda d: reads.best_per_group(d, d.groupBy("crop_id").agg(F.collect_list("read_id").alias("m")).select(F.explode("m").alias("node"), F.array_min("m").alias("root"))).select("read_id", "members"))
 over("v_det", "w07_reuse_previous", lambda d: detections.reuse_previous(d.withColumn("sig", F.floor(F.col("det_id") / 30) % 2), ["camera"], "sig", "det_id").select("det_id", "run", "reused"), """WITH a AS (SELECT *, floor(det_id / 30) % 2 AS sig FROM v_det), b AS (SELECT *, CASE WHEN coalesce(lag(sig) OVER w <> sig, true) THEN 1 ELSE 0 END AS n FROM a WINDOW w AS (PARTITION BY camera ORDER BY frame, det_id)),
 c AS (SELECT *, (sum(n) OVER (PARTITION BY camera ORDER BY frame, det_id))::BIGINT AS run FROM b) SELECT det_id, run, first_value(det_id) OVER (PARTITION BY camera, run ORDER BY frame, det_id) AS reused FROM c""")
 over("v_track", "w08_ema_rate", lambda d: tracks.ema_rate(d, "car_id", "frame").select("car_id", r4("rate").alias("rate")), """WITH RECURSIVE s AS (SELECT car_id, frame - lag(frame) OVER w AS dt, row_number() OVER w - 1 AS i FROM v_track WINDOW w AS (PARTITION BY car_id ORDER BY frame)),
@@ -376,10 +380,10 @@ over("v_reads", "k07_distinct_plates", lambda d: d.select(p.clean_plate("text").
 over("v_det", "k08_unmatched", lambda d: detections.unmatched(d, d.where("class_id = 2").select("camera", "frame").distinct(), ["camera", "frame"]).select("det_id"), "SELECT det_id FROM v_det d WHERE NOT EXISTS (SELECT 1 FROM v_det e WHERE e.class_id = 2 AND e.camera = d.camera AND e.frame = d.frame)")
 
 # --- duplicates, tracking, identity --------------------------------------------------------
-over("v_reads", "j12_dup_pairs", lambda d: reads.dup_pairs(d, ["camera"], 0.75).select("a", "b", r4("similarity").alias("similarity")), _SIM.replace(" AND abs(a.t - b.t) < 30", "") + " SELECT a, b, round(similarity, 4) AS similarity FROM y WHERE similarity >= 0.75")
-over("v_reads", "t3_dup_groups", lambda d: reads.dup_groups(reads.dup_pairs(d, ["camera"], 0.75)), _SIM.replace("WITH r", "WITH RECURSIVE r").replace(" AND abs(a.t - b.t) < 30", "") + """, e AS (SELECT a, b FROM y WHERE similarity >= 0.8 UNION SELECT b, a FROM y WHERE similarity >= 0.8), c(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node WHERE e.b > c.root)
+over("v_reads", "j12_dup_pairs", lambda d: reads.dup_pairs(d, ["vehicle"], 0.75).select("a", "b", r4("similarity").alias("similarity")), _SIM + " SELECT a, b, round(similarity, 4) AS similarity FROM y WHERE similarity >= 0.75")
+over("v_reads", "t3_dup_groups", lambda d: reads.dup_groups(reads.dup_pairs(d, ["vehicle"], 0.75)), _SIM.replace("WITH r", "WITH RECURSIVE r") + """, e AS (SELECT a, b FROM y WHERE similarity >= 0.8 UNION SELECT b, a FROM y WHERE similarity >= 0.8), c(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node WHERE e.b > c.root)
 SELECT node, min(root) AS root FROM c GROUP BY node""")
-over("v_reads", "t4_dedup_plates", lambda d: reads.dedup_plates(d, ["camera"]).select("read_id", "members"))
+over("v_reads", "t4_dedup_plates", lambda d: reads.dedup_plates(d, ["vehicle"]).select("read_id", "members"))
 
 
 def sequences(spark, d) -> DataFrame:
@@ -389,8 +393,8 @@ def sequences(spark, d) -> DataFrame:
 
 add("t1_track")(lambda spark, d: tracks.track(sequences(spark, d), "camera").select("camera", "frame", "track_id", r4("x1").alias("x1")))
 add("t5_vehicle_ids")(lambda spark, d: identity.vehicle_ids(view(spark, d, "v_vec")).select("vec_id", "vehicle_id"))
-over("v_vec", "t6_standardise", lambda d: identity.standardise(d).select("vec_id", "dim", r4("z").alias("z")), """WITH l AS (SELECT vec_id, unnest(features)::DOUBLE AS v, generate_subscripts(features, 1) - 1 AS dim FROM v_vec), m AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY dim)
-SELECT vec_id, dim::INT AS dim, round(coalesce((v - m) / nullif(s, 0), 0), 4) AS z FROM l JOIN m USING (dim)""")
+over("v_vec", "t6_standardise", lambda d: identity.standardise(d).select("vec_id", "dim", (r4("z") + 0.0).alias("z")), """WITH l AS (SELECT vec_id, unnest(features)::DOUBLE AS v, generate_subscripts(features, 1) - 1 AS dim FROM v_vec), m AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY dim)
+SELECT vec_id, dim::INT AS dim, round(coalesce((v - m) / nullif(s, 0), 0), 4) + 0.0 AS z FROM l JOIN m USING (dim)""")
 add("a18_tracking_throughput", "SELECT 250.0::DOUBLE * count(*) / 1000 AS seconds, sum(n)::BIGINT AS frames, round(sum(n) / (0.25 * count(*)), 4)::DOUBLE AS per_second FROM (SELECT camera, count(DISTINCT frame) AS n FROM v_det GROUP BY camera)")(lambda spark, d: tracks.tracking_throughput(view(spark, d, "v_det").groupBy("camera").agg(F.countDistinct("frame").alias("frames"), F.lit(0.25).alias("seconds"))).withColumn("per_second", r4("per_second")))
 
 # --- images --------------------------------------------------------------------------------

@@ -73,4 +73,6 @@ def with_views(sql: str) -> str:
     rest = sql.strip()
     if not views:
         return rest
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {rest[15:]}"
     return f"WITH {views}, {rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {views} {rest}"

@@ -88,8 +88,9 @@ def read_processing_times(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_media(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").load(folder).select("path", "length", F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
-    return files.where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions])).orderBy("name")
+    """Files of the folder itself, in the order of their names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    return files.where(F.regexp_extract("path", "^(.*)/[^/]+$", 1).endswith(folder.rstrip("/").split(":", 1)[-1].lstrip("/"))).where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions])).orderBy("name")
 
 
 def append_infractions(df: DataFrame, path: str, key: list[str] | None = None) -> None:
