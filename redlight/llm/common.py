@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, new_path, shared_dir  # noqa: F401
+
 # Functions travel to the workers by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["redlight"])
 
@@ -24,34 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a session has none (tests on one machine), a temporary one is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def enter(owner: str) -> None:
+    """Called as an operator starts a task: frees what another operator left in the worker.
 
-    Cuts lineage; the copy outlives any executor.
+    Workers outlive jobs; without this the caches of all operators of a pipeline add up.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    home = sys.modules.setdefault("_redlight_worker", types.ModuleType("_redlight_worker"))
+    if getattr(home, "_owner", None) == owner:
+        return
+    for name in [n for n in vars(home) if not n.startswith("_")]:
+        delattr(home, name)
+    home._owner = owner
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
 
 
 def worker_state(name: str, make: Callable[[], Any]) -> Any:

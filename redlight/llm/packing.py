@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, piece_encoder
-from .common import materialize, partitions, utf8, worker_state
+from .common import enter, materialize, partitions, utf8, worker_state
 
 Pattern = tuple[tuple[int, int], ...]  # ((length, pieces), ...), longest first
 
@@ -54,7 +54,7 @@ class ChunkIds(dict):
         return out
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_rows: int = 800_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_rows: int = 400_000) -> DataFrame:
     """``doc_id, piece, start, length, ids``: each text's ids and ``end_id``, cut into pieces
     of ``capacity`` ids, the last may be shorter. ``ids`` is little-endian unsigned 32 bits.
 
@@ -63,6 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         cache = worker_state(f"chunk-ids {tokenizer_path}", lambda: ChunkIds(piece_encoder(tokenizer_path), cache_rows))
         look, end, step = cache.__getitem__, np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:

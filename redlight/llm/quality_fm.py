@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import enter, worker_state
 from .labelled import training_rows
 
 #: Structure and metadata features come first; hashed words follow.
@@ -144,6 +144,7 @@ def score(docs: DataFrame, params: np.ndarray, text_col: str = "text", threshold
 
     @F.pandas_udf("double")
     def look(texts: pd.Series, n_chars: pd.Series) -> pd.Series:
+        enter("quality")
         z = [margin(now.value, *features(t, c, size)) for t, c in zip(texts, n_chars)]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500))))
 

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, utf8
+from ..operators.graph import components
+from .common import enter, materialize, partitions, utf8
 
 BITS = 64
 
@@ -46,6 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, fp``: the fingerprint as a signed long. Null text counts as empty: 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
@@ -60,14 +62,18 @@ def _cuts(width: int, k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def variant_keys(fp: Column, shift: int, width: int, k: int) -> list[tuple[Column, Column]]:
     """(place, value) of every key of a fingerprint: segments whole and with one bit out."""
     out = []
     for at, w in _cuts(width, k):
-        seg = F.shiftrightunsigned(fp, shift + at).bitwiseAND(F.lit((1 << w) - 1))
+        seg = F.shiftrightunsigned(fp, shift + at).bitwiseAND(F.lit(_signed((1 << w) - 1)))
         base = (shift + at) * 128
         out.append((F.lit(base + 127), seg))
-        out += [(F.lit(base + p), seg.bitwiseAND(F.lit(((1 << w) - 1) & ~(1 << p)))) for p in range(w)] if k else []
+        out += [(F.lit(base + p), seg.bitwiseAND(F.lit(_signed(((1 << w) - 1) & ~(1 << p))))) for p in range(w)] if k else []
     return out
 
 
@@ -194,33 +200,10 @@ def _open_keys(width: int, k: int) -> list[tuple[Column, Column]]:
     out = []
     for j, gone in enumerate(combinations(range(n), min(k, n))):
         mask = sum(((1 << width) - 1) << (b * width) for b in range(n) if b not in gone)
-        out.append((F.lit(j), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))))
+        out.append((F.lit(j), fp.bitwiseAND(F.lit(_signed(mask)))))
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``a, b``: root is the smallest node reachable.
-
-    Alternates the large-star and small-star steps until no edge changes; every step is
-    written to the shared folder.
-    """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(small, "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 2, run_limit: int = 4096) -> DataFrame:
     """One row per document: ``doc_id, fp (long), component_id``.
 

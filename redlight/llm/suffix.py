@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, utf8, worker_state
+from .common import enter, materialize, partitions, utf8, worker_state
 
 KGRAM = 37
 _BASE = 0x9E3779B97F4A7C15
@@ -126,6 +126,7 @@ def _find(window: int, k: int):
     most = TILE + window
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
         for b in batches:
             d, dh, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
             at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, piece_encoder
-from .common import worker_state
+from .common import enter, worker_state
 
 # White space in the sense of the tokenizer's pattern (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -57,7 +57,7 @@ def frequent_chunks(df: DataFrame, text: str, sample_rows: int, sample_chars: in
 
 def token_counts(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-    limit: int = 1024, sample_rows: int = 1_000, sample_chars: int = 8_192, table_rows: int = 32_768, cache_rows: int = 1_000_000,
+    limit: int = 1024, sample_rows: int = 1_000, sample_chars: int = 8_192, table_rows: int = 32_768, cache_rows: int = 600_000,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
@@ -77,6 +77,8 @@ def token_counts(
     packed = spark.sparkContext.broadcast(("".join(chunks), pa.array(ends, pa.int32()), pa.array(sizes, pa.int16())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
+
         def build() -> Lengths:
             text, ends, sizes = packed.value
             ends, sizes = ends.to_pylist(), sizes.to_pylist()

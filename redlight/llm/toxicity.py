@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import enter
 from .labelled import training_rows
 
 TOKEN = r"[^\W_]+"
@@ -36,8 +37,9 @@ class Model:
     drift: float
     lam: float = 1.0
     k: float = 1.0
-    slope: float = 1.0
-    shift: float = 0.0
+    #: Without evidence from labels no document is toxic.
+    slope: float = 0.0
+    shift: float = -50.0
     #: Token scores of clean text with their probabilities.
     background: list[tuple[float, float]] = field(default_factory=list)
 
@@ -177,6 +179,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", e_value: float
 
     @F.pandas_udf(f"score double, passages {kind}")
     def look(texts: pd.Series) -> pd.DataFrame:
+        enter("toxicity")
         m, scores, passages = Model(**shared.value), [], []
         for t in texts:
             found, n = find_segments(t, m)
