@@ -217,5 +217,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = distinct.join(roots, "fp")
     least = mine.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = mine.join(least, "root").select("fp", F.col("least_id"))
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # A table of its own, so that Spark can split a fingerprint with very many documents below.
+    named = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
