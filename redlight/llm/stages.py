@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, suffix, toxicity
+from . import mixing, near_copies, packing, suffix, toxicity
 from .common import materialize, table
 from .queries import tokenizer_path
 
@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near copies (five-word similarity of 0.8 or more, through any number
+    of links) the document with the smallest id stays, once."""
+    found = near_copies.near_copies(docs, shingle=5, least=0.8)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id")).drop("_kept_id")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
