@@ -7,8 +7,8 @@ add up to the count of the text; white space stays with the chunk that follows i
 Tier 1 is a table of the most frequent chunks with their lengths in tokens, of at most
 ``table_rows`` entries, broadcast to all workers. Tier 2 is a cache in each worker, of at
 most ``cache_rows`` entries, filled by encoding what tier 1 lacks. Tier 1 is drawn
-from a sample bounded in rows and characters. Both change the speed only; every text is
-counted whole.
+from bounded summaries that all tasks send of their chunks. Both change the speed only;
+every text is counted whole.
 """
 
 from __future__ import annotations
@@ -46,26 +46,37 @@ class Lengths(dict):
         return n
 
 
-def frequent_chunks(df: DataFrame, text: str, sample_rows: int, sample_chars: int, table_rows: int) -> list[str]:
-    """The most frequent chunks, at most ``table_rows``, of a sample bounded in rows and
-    characters. What it lacks costs time only."""
-    find, seen = re.compile(CHUNK).findall, Counter()
-    for r in df.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample_chars).alias("t")).take(sample_rows):
-        seen.update(c for c in find(r["t"]) if len(c) <= KEPT_CHARS)
-    return [c for c, _ in seen.most_common(table_rows)]
+def frequent_chunks(df: DataFrame, text: str, sample_rows: int, table_rows: int) -> list[str]:
+    """The most frequent chunks of all documents, at most ``table_rows``. Each task counts its
+    own and sends the ``sample_rows`` most frequent. What the table lacks costs time only."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
+        find, seen = re.compile(CHUNK).findall, Counter()
+        for b in batches:
+            for t in b.column(0):
+                seen.update(c for c in find(t.as_py()) if len(c) <= KEPT_CHARS)
+                if len(seen) > 8 * sample_rows:
+                    seen = Counter(dict(seen.most_common(4 * sample_rows)))
+        top = seen.most_common(sample_rows)
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
+
+    counts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(work, "chunk string, n long")
+    total = counts.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table_rows)
+    return [r["chunk"] for r in total.collect()]
 
 
 def token_counts(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-    limit: int = 1024, sample_rows: int = 1_000, sample_chars: int = 8_192, table_rows: int = 32_768, cache_rows: int = 600_000,
+    limit: int = 1024, sample_rows: int = 32_768, table_rows: int = 32_768, cache_rows: int = 600_000,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows that repeat are each counted;
-    a null id is passed on. Other columns are not read, so their names cannot clash.
+    a null id is passed on. ``sample_rows`` bounds the summary of each task. Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
-    chunks = frequent_chunks(docs, text_col, sample_rows, sample_chars, table_rows)
+    chunks = frequent_chunks(docs, text_col, sample_rows, table_rows)
     # Compact: the chunks in one string with their ends, and a short integer per length.
     encoder = piece_encoder(tokenizer_path)
     sizes = [len(encoder.encode(c)) for c in chunks]

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from redlight.llm import packing
+from redlight.llm import packing, tokens
 from redlight.llm.bpe import PieceEncoder
 from redlight.llm.packing import best_fit, plan, reduce_by_dominance, token_pieces
 from redlight.llm.queries import tokenizer_path
@@ -110,3 +110,12 @@ def test_pack_is_gapless(spark):
             at += length
         assert at <= 100
     assert packing.pack(df.limit(0), ["doc_id", "piece"], 100).count() == 0
+
+
+def test_frequent_chunks_come_from_all_rows(spark, monkeypatch):
+    seen, find = [], tokens.frequent_chunks
+    monkeypatch.setattr(tokens, "frequent_chunks", lambda *a, **k: seen.append(find(*a, **k)) or seen[-1])
+    rows = [(i, "early words") for i in range(1500)] + [(i, "x" * 9000 + " later words" * 3) for i in range(1500, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    assert tokens.token_counts(df, tokenizer_path("byte_bpe_50k.json"), table_rows=2).count() == 3000
+    assert sorted(seen[0]) == [" later", " words"]
