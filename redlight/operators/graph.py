@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, new_path, write_table
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``a, b``: root is the smallest node reachable.
 
     Alternates the large-star and small-star steps (Kiveris et al.) until no edge changes;
-    every step is written to the shared folder.
+    every step is written to the shared folder, and the one before it goes.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
+    spark = edges.sparkSession
+    at = new_path(spark, "components")
+    e = write_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), at)
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        before, at = at, new_path(spark, "components")
+        e = write_table(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), at)
+        discard(spark, before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
