@@ -68,7 +68,9 @@ class PieceEncoder:
             return
         self.ends = bool(suffix)
         self.find = regex.compile(pattern).findall
-        self.core = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        # Not a public name: without it the tokenizer itself encodes all.
+        core = getattr(tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+        self.core = getattr(core, "encode_single_piece", None)
 
     def encode(self, chunk: str) -> list[int]:
         if self.core is None or any(s in chunk for s in self.specials):

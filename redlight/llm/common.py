@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, new_path, shared_dir  # noqa: F401
+from ..storage import materialize, new_path  # noqa: F401
 
 # Functions travel to the workers by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["redlight"])
@@ -63,6 +63,19 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+def wrapped(docs: DataFrame, **beside: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, so that no name can clash, and ``beside``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, *(v.alias(k) for k, v in beside.items()))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, then ``new``. A column of ``docs`` that has a
+    new one's name (in any case) gives way to it."""
+    gone = {k.lower() for k in new}
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in gone), *(v.alias(k) for k, v in new.items()))
+
+
 def fold(doc_id: str | Column, m: int) -> Column:
     """crc32(doc_id as text) mod m; a null id falls in no labelled row."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

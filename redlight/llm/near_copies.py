@@ -1,15 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-Two sets of similarity ``least`` or more share one of their first ``n - ceil(least n) + 1``
-members in any order that is the same for all sets. Rows of those prefixes meet under the
-shingle, so no pair is missed (but for equal 64-bit hashes, which can only add candidates
-and move a similarity by one shingle). The order puts common shingles last, by a bounded
-summary of their counts: a line that very many documents share then stands in no prefix of
-a document with enough words of its own. The summary decides the cost, never the result.
+"""Near copies by exact Jaccard similarity of word shingles: the wide end of :mod:`.simhash`.
+
+Fingerprints and their deletion variants find what differs in a few bits. Those links are
+checked on the texts and make the first edges. A similarity of 0.8, though, means about ten
+of 64 bits, which no index of segments with one bit out can carry: the rest is found by
+prefix filtering. Two sets of similarity ``least`` or more share one of their first
+``n - ceil(least n) + 1`` members in any order that is the same for all sets. Rows of those
+prefixes meet under the shingle, so no pair is missed (but for equal 64-bit hashes, which
+can only add candidates and move a similarity by one shingle). The order puts common
+shingles last, by a bounded summary of their counts: a line that very many documents share
+then stands in no prefix of a document with enough words of its own. The summary decides
+the cost, never the result.
 
 Only components are asked for, so under each shingle everyone is first compared with the
-earliest. Pairs that this leaves in different components are compared in a second step.
-Equal texts are folded before and are never compared.
+earliest, if no link joins them yet. Pairs that this leaves in different components are
+compared in a second step. Equal texts are folded before and are never compared.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from . import simhash
 from .common import enter, materialize, partitions, utf8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -158,16 +163,28 @@ def _left_over(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``doc_id, component_id``: one row for each distinct text (of equal texts the smallest
-    id) with the smallest id that links of similarity ``least`` reach. Null ids are left out;
-    a null text counts as empty, and empty texts are equal."""
-    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), utf8("text").alias("t"))
-    texts = materialize(named.groupBy(F.md5("t").alias("k")).agg(F.min("id").alias("id"), F.any_value("t").alias("t")).select("id", "t"), "texts")
+    """``text_key, first``: for each distinct text (``text_key``: the MD5 of its UTF-8) the
+    first document that links of similarity ``least`` reach, as ``doc_id, text_key``: that
+    with the smallest id, of equal ids with the smallest key; null ids come last.
+
+    A null text counts as empty, and empty texts are equal. Long texts are compared whole.
+    Only ``doc_id`` and ``text`` are read, so no name can clash; an empty table gives no rows.
+    """
+    text = utf8("text")
+    rows = docs.select(F.md5(text).alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")).alias("f"), text.alias("t"))
+    # Own numbers, as ids may be null or repeat.
+    texts = materialize(rows.groupBy("k").agg(F.min("f").alias("f"), F.any_value("t").alias("t")).withColumn("id", F.monotonically_increasing_id()), "texts")
+    close = simhash.near_duplicates(texts.select("id", F.col("t").cast("string").alias("text")), "id", "text", shingle)
+    joined = _verified(close.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), texts, shingle, least)
     shared, stars = candidates(prefixes(texts, shingle, least, common_shingles(texts, shingle)), least)
-    edges = _verified(stars, texts, shingle, least)
+    of = lambda c: joined.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
+    far = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+    edges = joined.unionByName(_verified(far, texts, shingle, least))
     roots = components(edges)
     more = _verified(_left_over(shared, roots, least), texts, shingle, least)
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
-    found = texts.select(F.col("id").alias("doc_id")).distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return found.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    names = texts.select("k", "id", F.struct("f.none", "f.doc_id", "k").alias("f")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # A table of its own, so that Spark can split a component with very many texts below.
+    firsts = materialize(names.groupBy("root").agg(F.min("f").alias("f")), "firsts")
+    return names.drop("f").join(firsts, "root").select(F.col("k").alias("text_key"), F.struct("f.doc_id", F.col("f.k").alias("text_key")).alias("first"))

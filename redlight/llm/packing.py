@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, piece_encoder
-from .common import enter, materialize, partitions, utf8, worker_state
+from .common import enter, materialize, partitions, unwrapped, utf8, worker_state, wrapped
 
 Pattern = tuple[tuple[int, int], ...]  # ((length, pieces), ...), longest first
 
@@ -59,7 +59,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     of ``capacity`` ids, the last may be shorter. ``ids`` is little-endian unsigned 32 bits.
 
     For tokenizers that drop white space before they cut words. Null text counts as empty
-    (one piece that holds ``end_id``); rows that repeat and null ids are passed on.
+    (one piece that holds ``end_id``); rows that repeat and null ids are passed on. A long
+    text is encoded whole and gives as many pieces as it fills. Other columns are not read,
+    so no name can clash.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
-    """Fixed patterns with how often, and the counts that remain."""
+    """Fixed patterns with how often, and the counts that remain.
+
+    A proof holds for all copies of a set at once: it says that nothing fits beside it or
+    that no other partners are better, and pieces that go only leave less that could. So
+    each step uses up a length (but for an odd piece), and the number of patterns is bounded
+    by that of lengths, whatever the counts.
+    """
     left = {s: n for s, n in counts.items() if n > 0}
     fixed: list[tuple[Pattern, int]] = []
     again = True
@@ -100,8 +108,6 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                     break
                 need = Counter([j, *found])
                 times = min(left[s] // n for s, n in need.items())
-                if len(found) == 2:  # its proof rests on the smallest pieces that are left
-                    times = 1
                 for s, n in need.items():
                     left[s] -= n * times
                     if not left[s]:
@@ -202,18 +208,18 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = 2048, length_col: s
     """``pieces`` with ``sequence_id`` and ``offset``; each has a length of 1 to ``capacity``.
 
     ``keys`` order pieces of equal length, so that reruns agree; rows with equal keys are
-    interchangeable. Pieces without a length are left out. No column may be named
-    ``sequence_id``, ``offset`` or start with ``_pack``.
+    interchangeable. Pieces without a length are left out; an empty table gives none. Columns
+    of ``pieces`` named ``sequence_id`` or ``offset`` give way to the new ones.
     """
-    pieces = pieces.where(F.col(length_col).isNotNull())
+    some = pieces.where(F.col(length_col).isNotNull())
     # A frequent length is spread over buckets; ranks run on from bucket to bucket.
     buckets = max(16, 4 * partitions(pieces.sparkSession))
-    rows = pieces.withColumn("_pack_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy(length_col, "_pack_b").agg(F.count("*").alias("_pack_n"))
-    before = Window.partitionBy(length_col).orderBy("_pack_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = materialize(sizes.withColumn("_pack_base", F.coalesce(F.sum("_pack_n").over(before), F.lit(0))), "pack-base")
+    rows = wrapped(some, length=F.col(length_col).cast("long"), bucket=F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"), by=F.struct(*keys))
+    sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = materialize(sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-base")
     # At most ``capacity`` rows.
-    counts = {r[0]: r[1] for r in base.groupBy(length_col).agg(F.sum("_pack_n")).collect()}
+    counts = {r[0]: r[1] for r in base.groupBy("length").agg(F.sum("n")).collect()}
     places = plan(counts, capacity)
     code = lambda s, r: s.astype(np.int64) * (1 << 44) + r
     table = pieces.sparkSession.sparkContext.broadcast({"code": code(places["length"].to_numpy(), places["rank"].to_numpy())} | {c: places[c].to_numpy() for c in ("rank", "first", "each", "at")})
@@ -225,10 +231,6 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = 2048, length_col: s
         q = r - t["rank"][i]
         return pd.DataFrame({"sequence_id": t["first"][i] + q // t["each"][i], "offset": t["at"][i] + q % t["each"][i] * s})
 
-    mine = Window.partitionBy(length_col, "_pack_b").orderBy(*keys)
-    out = (
-        rows.withColumn("_pack_rn", F.row_number().over(mine))
-        .join(base.drop("_pack_n"), [length_col, "_pack_b"])
-        .withColumn("_pack", place(F.col(length_col).cast("long"), F.col("_pack_base") + F.col("_pack_rn") - 1))
-    )
-    return out.select(*pieces.columns, F.col("_pack.sequence_id").alias("sequence_id"), F.col("_pack.offset").alias("offset"))
+    mine = Window.partitionBy("length", "bucket").orderBy("by")
+    out = rows.withColumn("rn", F.row_number().over(mine)).join(base.drop("n"), ["length", "bucket"]).withColumn("place", place("length", F.col("base") + F.col("rn") - 1))
+    return unwrapped(out, pieces, sequence_id=F.col("place.sequence_id"), offset=F.col("place.offset"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, worker_state
+from .common import enter, unwrapped, worker_state, wrapped
 from .labelled import training_rows
 
 #: Structure and metadata features come first; hashed words follow.
@@ -102,13 +102,13 @@ def epochs(params: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, float]],
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = 8_000, size: int = 1 << 14, rank: int = 4, shards: int = 8, rounds: int = 4, passes: int = 3, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> np.ndarray:
     """Parameters learned from at most ``sample_rows`` labelled rows outside the held-out
-    fold. What a round sends is bounded by ``shards``, ``size`` and ``rank``. With labels of
+    fold (both classes get their part of them). What a round sends is bounded by ``shards``, ``size`` and ``rank``. With labels of
     one kind only, or none, every document gets their share (none: one half)."""
     rng = np.random.default_rng(seed)
     params = np.zeros((1 + STRUCTURE + size, 1 + rank))
     params[1:, 1:] = rng.normal(0, 0.01, (STRUCTURE + size, rank))
-    rows = training_rows(docs, labels, "quality", folds, held_out, sample_rows, ["n_chars", F.coalesce("text", F.lit("")).alias("text")])
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).persist()
+    drawn, odds = training_rows(docs, labels, "quality", folds, held_out, sample_rows, ["n_chars", F.coalesce("text", F.lit("")).alias("text")])
+    rows = drawn.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).persist()
     shared = docs.sparkSession.sparkContext.broadcast
     try:
         share = rows.agg(F.avg("y")).first()[0]
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
             now = shared(params)
 
             def work(part: pd.DataFrame) -> pd.DataFrame:
-                part = part.sort_values(["text", "y"])
+                part = part.sort_values(["text", "y", "n_chars"])
                 data = [(*features(t, c, size), y) for t, c, y in zip(part["text"], part["n_chars"], part["y"])]
                 new = epochs(now.value, data, passes, seed + turn, rate / (1 + turn), decay)
                 return pd.DataFrame({"n": [len(data)], "params": [new.tobytes()]})
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
             parts = rows.groupBy("shard").applyInPandas(work, "n long, params binary").collect()
             total = sum(p["n"] for p in parts)
             params = sum(np.frombuffer(p["params"]).reshape(params.shape) * (p["n"] / total) for p in parts)
+        params[0, 0] += odds
         return params
     finally:
         rows.unpersist()
@@ -137,7 +138,9 @@ def score(docs: DataFrame, params: np.ndarray, text_col: str = "text", threshold
     """All columns of ``docs`` and ``score`` (0 to 1) and ``predicted`` (1 from ``threshold``).
 
     Inputs are the whole text and ``n_chars`` (null: the text's own length), nothing else.
-    Null text counts as empty. Columns of ``docs`` must not be named like the new ones.
+    Null text counts as empty. Texts are read whole, in linear time, whatever their length;
+    equal inputs get equal scores, and rows that repeat are each kept. Columns of ``docs``
+    with these names give way to them.
     """
     now = docs.sparkSession.sparkContext.broadcast(params)
     size = len(params) - 1 - STRUCTURE
@@ -148,5 +151,5 @@ def score(docs: DataFrame, params: np.ndarray, text_col: str = "text", threshold
         z = [margin(now.value, *features(t, c, size)) for t, c in zip(texts, n_chars)]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500))))
 
-    out = docs.withColumn("score", look(F.coalesce(F.col(text_col), F.lit("")), F.col("n_chars").cast("double")))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = wrapped(docs, score=look(F.coalesce(F.col(text_col), F.lit("")), F.col("n_chars").cast("double")))
+    return unwrapped(out, docs, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))

@@ -208,8 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: ``doc_id, fp (long), component_id``.
 
     ``component_id`` is the smallest id that links reach, the own one included. A null or
-    empty text has fingerprint 0 and is linked like any other. Null ids are passed on and
-    never name a component unless it has no other id. Repeated rows each get their row.
+    empty text has fingerprint 0 and is linked like any other; long texts are read whole, in
+    parts of 65,536 shingles. Null ids are passed on and never name a component unless it has
+    no other id. Repeated rows each get their row. Other columns are not read, so no name can
+    clash; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps-distinct")

@@ -19,8 +19,11 @@ its result. A null id comes before all others.
    the rows that still lead to a window start. After ``window`` characters the blocks are
    the intervals whose common prefix is a whole window: repeats, of which the earliest stays.
 4. An anchor hash with more than ``hot`` different super-windows (the edge of a passage that
-   very many documents share) is cut into single windows, dealt out by their own hash too.
+   very many documents share) is cut into single windows, dealt out by a hash of their own
+   bytes. Equal ones are folded in each task before they are sent, and in sorted order, row
+   by row, where they arrive, so that no window, however frequent, fills a task.
 
+Copies in step 2 are told by two 64-bit hashes (anchor and text); steps 3 and 4 compare bytes.
 Texts are never shuffled but twice by document, to fetch what step 3 needs and to cut.
 """
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, materialize, partitions, utf8, worker_state
+from .common import enter, materialize, partitions, unwrapped, utf8, worker_state, wrapped
 
 KGRAM = 37
 _BASE = 0x9E3779B97F4A7C15
@@ -150,10 +153,9 @@ def _find(window: int, k: int):
             rank = np.empty(len(d), np.int64)
             docs = np.lexsort((dh, d))
             rank[docs] = np.concatenate([[0], np.cumsum((d[docs][1:] != d[docs][:-1]) | (dh[docs][1:] != dh[docs][:-1]))])
-            key = h ^ _mix(c)
-            order = np.lexsort((start, rank[row], key))
-            k_, r_, s_ = key[order], rank[row][order], start[order]
-            new = np.concatenate([[True], k_[1:] != k_[:-1]])
+            order = np.lexsort((start, rank[row], c, h))
+            h_, c_, r_, s_ = h[order], c[order], rank[row][order], start[order]
+            new = np.concatenate([[True], (h_[1:] != h_[:-1]) | (c_[1:] != c_[:-1])])
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = ~new & ((r_ != r_[head]) | (s_ != s_[head]))
             one = order[new]
@@ -214,33 +216,61 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(out, first)] + [pa.array(np.arange(m + k) < m)], names=names)
 
 
-def _fetch(window: int, hot: int):
-    """Texts of the wanted super-windows; those of hot anchors as single windows."""
+#: Kinds of the rows that :func:`_fetch` sends: super-windows, single windows, repeats.
+TEXT, WINDOW, SPAN = 0, 1, 2
+_FETCHED = "kind int, h long, d long, dh long, start int, len int, t binary"
+#: Single windows that a task holds to fold equal ones before they are sent.
+HELD_WINDOWS = 200_000
+
+
+def _fetch(window: int):
+    """Texts of the wanted super-windows; those of hot anchors (``n`` given) as single windows."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = [c.split(" ")[0] for c in _FETCHED.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "d", "dh", "start", "t"]
+        out: list[tuple] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names=names)
+
         for b in batches:
-            out: list[list] = [[] for _ in names]
+            hot = []
             for d, dh, t, want in zip(*(b.column(i) for i in range(4))):
                 text, d, dh = t.as_py(), d.as_py(), dh.as_py()
                 for w in want.as_py():
-                    h, s, n = w["h"], w["start"], w["len"]
-                    part = text[s : s + n]
+                    s, n = w["start"], w["len"]
                     if w["n"] is None:
-                        rows = [(h, s, part)]
+                        out.append((TEXT, w["h"], d, dh, s, n, text[s : s + n]))
                     else:
-                        cut = np.frombuffer(part, np.uint8)
-                        salt = Rolling(cut, 2 * window).all(window) % U(1 + w["n"] // hot)
-                        keys = _mix(salt + U(h % (1 << 64))).view(np.int64)
-                        rows = [(int(x), s + i, part[i : i + window]) for i, x in enumerate(keys)]
-                    for h, s, part in rows:
-                        for col, v in zip(out, (h, d, dh, s, part)):
-                            col.append(v)
-                if len(out[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
-                    out = [[] for _ in names]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+                        hot.append((d, dh, s, text[s : s + n]))
+                if len(out) >= 50_000:
+                    yield batch()
+                    out = []
+            # From the earliest on, so that what is met again is a repeat.
+            seen: set[bytes] = set()
+            for d, dh, s, part in sorted(hot):
+                keys = Rolling(np.frombuffer(part, np.uint8), 2 * window).all(window).view(np.int64).tolist()
+                gone = -1
+                for i, key in enumerate(keys):
+                    one = part[i : i + window]
+                    if one in seen:
+                        gone = i if gone < 0 else gone
+                        continue
+                    seen.add(one)
+                    out.append((WINDOW, key, d, dh, s + i, window, one))
+                    if gone >= 0:
+                        out.append((SPAN, keys[gone], d, dh, s + gone, i - gone + window - 1, None))
+                        gone = -1
+                if gone >= 0:
+                    out.append((SPAN, keys[gone], d, dh, s + gone, len(keys) - gone + window - 1, None))
+                if len(seen) >= HELD_WINDOWS:
+                    seen.clear()
+                if len(out) >= 50_000:
+                    yield batch()
+                    out = []
+        if out:
+            yield batch()
 
     return work
 
@@ -315,23 +345,42 @@ def _resolve(h, d, dh, start, texts: list[bytes], window: int, shard_rows: int):
 
 
 def _repeats(window: int, chunk_rows: int, shard_rows: int):
+    """Over rows of :func:`_fetch`, sorted by kind, h, t, d, dh and start: spans of repeats."""
+
+    def spans(d, dh, start, n):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(dh), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "dh", "start", "len"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         count = 0
+        last: bytes | None = None  # the window before, where windows go on in the next batch
 
         def solve(parts):
             cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-            texts = [t for p in parts for t in p[4]]
-            d, dh, s, n = _resolve(*cols, texts, window, shard_rows)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(dh), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "dh", "start", "len"])
-
-        for b in batches:
-            h = b.column(0).to_numpy()
-            cols = [h] + [b.column(i).to_numpy() for i in range(1, 4)]
-            texts = b.column(4).to_pylist()
+            return spans(*_resolve(*cols, [t for p in parts for t in p[4]], window, shard_rows))
+
+        for whole in batches:
+            kind = whole.column(0).to_numpy()
+            edge = np.searchsorted(kind, [WINDOW, SPAN])
+            if edge[1] < len(kind):
+                b = whole.slice(edge[1])
+                yield spans(*(b.column(i).to_numpy() for i in (2, 3, 4, 5)))
+            if edge[0] < edge[1]:
+                b = whole.slice(edge[0], edge[1] - edge[0])
+                own = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, window)
+                again = np.concatenate([[last is not None and own[0].tobytes() == last], (own[1:] == own[:-1]).all(1)])
+                last = own[-1].tobytes()
+                if again.any():
+                    d, dh, start = (b.column(i).to_numpy()[again] for i in (2, 3, 4))
+                    yield spans(d, dh, start, np.full(len(d), window))
+            if not edge[0]:
+                continue
+            b = whole.slice(0, edge[0])
+            cols = [b.column(i).to_numpy() for i in range(1, 5)]
+            h, texts = cols[0], b.column(6).to_pylist()
             at = 0
             edges = [*(np.flatnonzero(h[1:] != h[:-1]) + 1), len(h)]
-            if held and len(h) and held[-1][0][-1] != h[0] and count >= chunk_rows:
+            if held and held[-1][0][-1] != h[0] and count >= chunk_rows:
                 yield solve(held)
                 held, count = [], 0
             n = np.cumsum([len(t) - window + 1 for t in texts])
@@ -355,7 +404,7 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Colu
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, k: int = KGRAM, hot: int = 20_000, chunk_rows: int = 200_000, shard_rows: int = 40_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, k: int = KGRAM, hot: int = 500, chunk_rows: int = 200_000, shard_rows: int = 40_000) -> DataFrame:
     """``d, dh, start, len``: spans, may overlap, of what starts earlier elsewhere."""
     if not 0 < k <= window or window < 2:
         raise ValueError("1 <= k <= window and window >= 2")
@@ -377,22 +426,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     found = (
         texts.join(wanted, ["d", "dh"]).select("d", "dh", "t", "want").dropDuplicates(["d", "dh"])
-        .mapInArrow(_fetch(window, hot), "h long, d long, dh long, start int, t binary")
-        .repartition(n, "h").sortWithinPartitions("h")
+        .mapInArrow(_fetch(window), _FETCHED)
+        .repartition(n, "h").sortWithinPartitions("kind", "h", "t", "d", "dh", "start")
         .mapInArrow(_repeats(window, chunk_rows, shard_rows), "d long, dh long, start int, len int")
     )
     return whole.unionByName(found)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, **options) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, characters: bool = False, **options) -> DataFrame:
     """All columns of ``docs`` and ``removed`` (array of ``start, length`` in bytes: the
-    maximal removed runs) and ``kept`` (binary: the other bytes). A null or empty text has
-    neither. Columns of ``docs`` must not be named ``removed``, ``kept`` or start with ``_cut``.
+    maximal removed runs) and ``kept`` (binary: the other bytes).
+
+    With ``characters`` the runs grow to whole characters, so that ``kept`` is the text
+    without them. A null or empty text has neither. Long texts are searched whole, in tiles.
+    Rows with the same id and text are one document and get the same result. Columns of
+    ``docs`` named ``removed`` or ``kept`` give way to the new ones.
     """
     d, dh = _document(docs, id_col, text_col)
     spans = materialize(
         repeated_spans(docs, id_col, text_col, window, **options)
-        .groupBy(F.col("d").alias("_cut_d"), F.col("dh").alias("_cut_dh")).agg(F.collect_list(F.struct("start", "len")).alias("_cut_spans")),
+        .groupBy("d", "dh").agg(F.collect_list(F.struct("start", "len")).alias("spans")),
         "spans",
     )
     kind = "array<struct<start:int,length:int>>"
@@ -405,17 +458,23 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for t, got in zip(texts, spans):
             at, runs, parts = 0, [], []
             for s, n in sorted((x["start"], x["len"]) for x in got):
-                if runs and s <= runs[-1][0] + runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s + n - runs[-1][0])
+                e = s + n
+                if characters:
+                    while t[s] & 0xC0 == 0x80:
+                        s -= 1
+                    while e < len(t) and t[e] & 0xC0 == 0x80:
+                        e += 1
+                if runs and s <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], e)
                 else:
-                    runs.append([s, n])
-            for s, n in runs:
+                    runs.append([s, e])
+            for s, e in runs:
                 parts.append(t[at:s])
-                at = s + n
-            removed.append([{"start": s, "length": n} for s, n in runs])
+                at = e
+            removed.append([{"start": s, "length": e - s} for s, e in runs])
             kept.append(b"".join([*parts, t[at:]]))
         return pd.DataFrame({"removed": removed, "kept": kept})
 
-    joined = docs.withColumns({"_cut_d": d, "_cut_dh": dh}).join(spans, ["_cut_d", "_cut_dh"], "left")
-    done = joined.withColumn("_cut", F.when(F.col("_cut_spans").isNotNull(), cut(utf8(text_col), F.coalesce("_cut_spans", F.array().cast("array<struct<start:int,len:int>>")))))
-    return done.select(*docs.columns, F.coalesce("_cut.removed", F.array().cast(kind)).alias("removed"), F.coalesce("_cut.kept", utf8(text_col)).alias("kept"))
+    rows = wrapped(docs, d=d, dh=dh).join(spans, ["d", "dh"], "left").withColumn("bytes", utf8(F.col("row")[text_col]))
+    rows = rows.withColumn("cut", F.when(F.col("spans").isNotNull(), cut("bytes", F.coalesce("spans", F.array().cast("array<struct<start:int,len:int>>")))))
+    return unwrapped(rows, docs, removed=F.coalesce("cut.removed", F.array().cast(kind)), kept=F.coalesce("cut.kept", "bytes"))

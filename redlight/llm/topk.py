@@ -4,8 +4,9 @@ Vectors of whole numbers are packed into shards; each query's terms are its comp
 every block of a shard a term's contribution has a lower and an upper bound. Terms whose
 upper bounds together cannot lift a vector that has only the lower bounds elsewhere to the
 k-th best score so far are non-essential: the essential terms' postings are traversed, the
-others are probed, largest bounds first, only for vectors that can still compete. The best
-of all shards are merged.
+others are probed, largest bounds first, only for vectors that can still compete. A task
+hands the scores that its queries have reached from one shard on to the next. The best of
+all shards are merged.
 """
 
 from __future__ import annotations
@@ -14,44 +15,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
 
 
 class Shard:
-    """Vectors in blocks with the bounds of every component."""
+    """Vectors in blocks of ``block`` with the bounds of every component in each.
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, block: int = 2048):
+    ``postings`` and ``touched`` count components of vectors: all that the queries so far met,
+    and those of them that were read.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, block: int = 256):
         order = np.argsort(ids, kind="stable")
-        self.blocks = []
+        self.blocks, self.postings, self.touched = [], 0, 0
         for i in range(0, len(ids), block):
             part = np.ascontiguousarray(x[order[i : i + block]].T)  # postings by component
             self.blocks.append((ids[order[i : i + block]], part, part.min(1), part.max(1)))
 
-    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the ``k`` best, ties to smaller ids; ``own`` takes no part."""
+    def top(self, q: np.ndarray, own: int, k: int, reached: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the ``k`` best, ties to smaller ids; ``own`` takes no part. What
+        scores under ``reached`` (a k-th best score known from elsewhere) may be left out."""
         best_s, best_i = np.zeros(0, q.dtype), np.zeros(0, np.int64)
         for ids, post, least, most in self.blocks:
-            bar = best_s[-1] if len(best_s) == k else None
+            self.postings += post.size
+            bar = max(reached, best_s[-1]) if len(best_s) == k else reached
             high, low = np.maximum(q * least, q * most), np.minimum(q * least, q * most)
-            if bar is not None and high.sum() < bar:
+            if high.sum() < bar:
                 continue
             terms = np.argsort(low - high, kind="stable")  # widest bounds first
             rest = np.concatenate([np.cumsum(high[terms][::-1])[::-1], [0]])  # from term j on
-            if bar is None:
-                n, cand, score = len(terms), np.arange(len(ids)), q @ post
-            else:
-                # Essential: without them the lower bounds plus the rest stay under the bar.
-                lows = np.concatenate([[0], np.cumsum(low[terms])])
-                n = int(np.argmax(lows + rest < bar)) if (lows + rest < bar).any() else len(terms)
-                e = terms[:n]
-                score = q[e] @ post[e]
-                cand = np.flatnonzero(score + rest[n] >= bar)
-                score = score[cand]
+            # Essential: without them the lower bounds plus the rest stay under the bar.
+            under = np.concatenate([[0], np.cumsum(low[terms])]) + rest < bar
+            n = int(np.argmax(under)) if under.any() else len(terms)
+            e = terms[:n]
+            score = q[e] @ post[e] if n < len(terms) else q @ post
+            self.touched += n * len(ids)
+            cand = np.flatnonzero(score + rest[n] >= bar)
+            score = score[cand]
             while n < len(terms) and len(cand):
                 probe = terms[n : n + 8]
+                self.touched += len(probe) * len(cand)
                 score = score + q[probe] @ post[np.ix_(probe, cand)]
                 n += len(probe)
                 ok = score + rest[min(n, len(terms))] >= bar
@@ -75,9 +82,11 @@ def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedd
 
 
 def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of at most ``most`` vectors: ``ids, data, dim``; short vectors end in zeros."""
+    """Rows of at most ``most`` vectors: ``ids, data, dim, turn``; short vectors end in zeros.
+    Partitions and the rows they make take turns, so ``turn`` deals them out evenly."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for b in batches:
             for i in range(0, b.num_rows, most):
                 ids, x = b.column(0)[i : i + most], b.column(1)[i : i + most]
@@ -85,28 +94,40 @@ def _packed(rows: DataFrame, most: int) -> DataFrame:
                 dim = int(sizes.max(initial=0))
                 data = np.zeros((len(ids), dim), np.int64)
                 data[np.arange(dim) < sizes[:, None]] = x.flatten().to_numpy()
-                yield pa.RecordBatch.from_pydict({"ids": [ids.to_numpy().tobytes()], "data": [data.tobytes()], "dim": pa.array([dim], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"ids": [ids.to_numpy().tobytes()], "data": [data.tobytes()], "dim": pa.array([dim], pa.int32()), "turn": pa.array([turn], pa.int32())})
+                turn += 1
+
+    return rows.select("vec_id", "x").mapInArrow(work, "ids binary, data binary, dim int, turn int")
+
 
-    return rows.select("vec_id", "x").mapInArrow(work, "ids binary, data binary, dim int")
+def _places(spark: SparkSession, n: int) -> list[int]:
+    """Keys that hash partitioning into ``n`` sends to partitions 0, 1, ...: one for each."""
+    keys = spark.range(64 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    return [r["id"] for r in keys.orderBy("p").collect()]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16_384, block_rows: int = 2_048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4_096, query_rows: int = 2_048, block: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest scores of each query (fewer if
     there are fewer), ties to smaller ids. Both inputs are ``vec_id, x``.
 
     Rows with the query's own id take no part. A query id that repeats counts once, with the
-    smallest of its vectors; a candidate that repeats may appear as often.
+    smallest of its vectors; a candidate that repeats may appear as often. Vectors of any
+    length are taken whole, shorter ones as if they ended in zeros. Empty tables give no rows.
     """
     spark, n = vectors.sparkSession, partitions(vectors.sparkSession)
     once = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
     # Every shard meets every block of queries: blocks are copied to each of ``n`` places.
-    asked = _packed(once, block_rows).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
-    shards = _packed(vectors, shard_rows).withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
+    at = F.array(*map(F.lit, _places(spark, n))).cast("array<int>")
+    asked = _packed(once, query_rows).select(F.explode(at).alias("place"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
+    shards = _packed(vectors, shard_rows).withColumn("place", F.get(at, F.pmod("turn", F.lit(n))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, reached = None, None  # the last block of queries, and what they have reached
         for b in batches:
             for ids, data, dim, q_ids, q_data, q_dim in zip(*(b.column(i).to_pylist() for i in range(6))):
                 wide = max(dim, q_dim)
+                if q_ids != before:
+                    before, reached = q_ids, np.full(len(q_ids) // 8, -np.inf)
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 x = np.zeros((len(ids), wide), np.int64)
                 x[:, :dim] = np.frombuffer(data, np.int64).reshape(len(ids), dim)
@@ -115,17 +136,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                 if wide == 0:
                     x, q = np.zeros((len(ids), 1), np.int64), np.zeros((len(q_ids), 1), np.int64)
                 # Doubles hold these sums exactly where they stay under 2^53.
-                if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(wide, 1) < 2**53:
+                exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(wide, 1) < 2**53
+                if exact:
                     x, q = x.astype(float), q.astype(float)
-                shard, out = Shard(ids, x), ([], [], [])
-                for own, row in zip(q_ids.tolist(), q):
-                    s, i = shard.top(row, own, k)
+                shard, out = Shard(ids, x, block), ([], [], [])
+                for j, (own, row) in enumerate(zip(q_ids.tolist(), q)):
+                    s, i = shard.top(row, own, k, reached[j] if exact else -np.inf)
+                    if exact and len(s) == k:
+                        reached[j] = max(reached[j], s[-1])
                     out[0].append(np.full(len(s), own, np.int64))
                     out[1].append(i)
                     out[2].append(s.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
-    pairs = shards.join(asked, "place").select("ids", "data", "dim", "q_ids", "q_data", "q_dim")
+    # Queries are the streamed side, so that all shards of a place follow on one block of them.
+    pairs = asked.repartition(n, "place").join(shards.repartition(n, "place").hint("merge"), "place").select("ids", "data", "dim", "q_ids", "q_data", "q_dim")
     found = pairs.mapInArrow(work, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

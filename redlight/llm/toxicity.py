@@ -3,7 +3,8 @@
 1. Tokens are counted in toxic and clean labelled documents. A token's weight is its log-odds
    with an informative Dirichlet prior (its share of all tokens, together ``prior`` times as
    strong as the sample); tokens with a z-score under ``least_z`` or log-odds between 0 and
-   ``least_odds`` and all unseen ones weigh ``-drift``. Copies of a text count once.
+   ``least_odds`` and all unseen ones weigh ``-drift``. Copies of a text count once, and a
+   text that is labelled both ways not at all.
 2. One linear scan finds all maximal scoring segments of a document (Ruzzo and Tompa).
 3. Scores are put on the scale of extreme values (Karlin and Altschul): lambda solves
    sum p exp(lambda s) = 1 over the clean tokens, K is the maximum-likelihood value over
@@ -17,18 +18,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter
-from .labelled import training_rows
+from .common import enter, materialize, unwrapped, wrapped
+from .labelled import once, training_rows
 
-TOKEN = r"[^\W_]+"
+#: Runs of letters and digits; learning and scoring cut texts with this one pattern.
+find_tokens = re.compile(r"[^\W_]+")
 
 
 @dataclass
@@ -67,15 +71,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, high - low) for s, e, low, high, _ in stack]
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character: places in it are places in the text. (U+0130 is
+    the one character whose lower case is longer.)"""
+    return text.replace("\u0130", "i").lower()
+
+
 def find_segments(text: str, model: Model) -> tuple[list[tuple[int, int, float]], int]:
     """Segments as character spans with their scores, and the number of tokens."""
-    tokens = re.findall(TOKEN, text.lower())
+    low = lowered(text)
+    tokens = find_tokens.findall(low)
     look = model.weights.get
     scores = np.fromiter((look(t, -model.drift) for t in tokens), float, len(tokens))
     found = segments(scores)
     if not found:
         return [], len(tokens)
-    spans = [m.span() for m in re.finditer(TOKEN, text)] if len(text.lower()) == len(text) else [m.span() for m in re.finditer(TOKEN, text.lower())]
+    spans = [m.span() for m in find_tokens.finditer(low)]
     return [(spans[s][0], spans[e - 1][1], x) for s, e, x in found], len(tokens)
 
 
@@ -90,16 +101,30 @@ def evidence(found: list[float], n: int, model: Model) -> float:
     return best if found else -base
 
 
-def _weigh(counts: pd.DataFrame, prior: float, least_z: float, least_odds: float, drift: float) -> dict[str, float]:
-    toxic, clean = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    nt, nc = counts["all_toxic"].iloc[0], counts["all_clean"].iloc[0]
-    prior *= nt + nc
-    a = prior * (toxic + clean) / (nt + nc)
-    ours, other = toxic + a, clean + a
-    odds = np.log(ours / (nt + prior - ours)) - np.log(other / (nc + prior - other))
-    z = odds / np.sqrt(1 / ours + 1 / other)
-    keep = (np.abs(z) >= least_z) & ((odds < 0) | (odds >= least_odds))
-    return dict(zip(counts["token"][keep], np.where(odds > 0, odds, np.minimum(odds, -drift))[keep]))
+def token_counts(rows: DataFrame) -> DataFrame:
+    """``token, toxic, clean`` over ``y, text``; tasks add up before they send."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
+        for b in batches:
+            seen = (Counter(), Counter())
+            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
+                seen[y > 0].update(find_tokens.findall(lowered(t.as_py())))
+            tokens = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([seen[i][t] for t in tokens], pa.int64()) for i in (1, 0))], names=["token", "toxic", "clean"])
+
+    return rows.select("y", "text").mapInArrow(work, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def log_odds(counts: DataFrame, all_toxic: int, all_clean: int, prior: float, least_z: float, least_odds: float) -> DataFrame:
+    """``token, clean, odds`` of the tokens that tell the classes apart."""
+    prior *= all_toxic + all_clean
+    a = prior * (F.col("toxic") + F.col("clean")) / (all_toxic + all_clean)
+    rows = counts.withColumns({"_ours": F.col("toxic") + a, "_other": F.col("clean") + a})
+    ratio = lambda x, n: F.log(F.try_divide(F.col(x), n + prior - F.col(x)))
+    rows = rows.withColumn("odds", ratio("_ours", all_toxic) - ratio("_other", all_clean))
+    z = F.col("odds") / F.sqrt(1 / F.col("_ours") + 1 / F.col("_other"))
+    return rows.where((F.abs(z) >= least_z) & ((F.col("odds") < 0) | (F.col("odds") >= least_odds))).select("token", "clean", "odds")
 
 
 def _solve_lambda(background: list[tuple[float, float]]) -> float:
@@ -128,22 +153,22 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = 20_000, table_rows: int = 50_000, prior: float = 0.05, least_z: float = 3.0, least_odds: float = 1.0, drift: float = 0.7) -> Model:
-    """Learn from at most ``sample_rows`` labelled rows outside the held-out fold. At most
-    ``table_rows`` token weights are kept, those of the most frequent toxic tokens first.
-    Without a toxic or without a clean row every score is the share of toxic rows."""
-    rows = training_rows(docs, labels, "toxic", folds, held_out, sample_rows, [F.coalesce("text", F.lit("")).alias("text")]).dropDuplicates(["text"])
-    tokens = rows.select("y", F.explode(F.expr(rf"regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+', 0)")).alias("token"))
-    counts = tokens.groupBy("token").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    totals = counts.agg(F.sum("toxic").alias("all_toxic"), F.sum("clean").alias("all_clean"))
-    top = counts.where("toxic >= 2 or clean >= 2").orderBy(F.desc("toxic"), F.desc("clean"), "token").limit(table_rows).crossJoin(F.broadcast(totals)).toPandas()
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = 20_000, prior: float = 0.05, least_z: float = 3.0, least_odds: float = 1.0, drift: float = 0.7) -> Model:
+    """Learn from at most ``sample_rows`` labelled rows outside the held-out fold (both classes
+    get their part of them). The weights, of all tokens of these rows that tell the classes
+    apart, are all that reaches the driver, besides two numbers per row. Without a toxic or
+    without a clean row every score is the share of toxic rows."""
+    drawn, odds = training_rows(docs, labels, "toxic", folds, held_out, sample_rows, [F.coalesce("text", F.lit("")).alias("text")])
+    rows = materialize(once(drawn), "toxicity-rows")
+    counts = materialize(token_counts(rows), "toxicity-tokens")
+    all_toxic, all_clean = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
     model = Model({}, drift)
-    if len(top) and top["all_toxic"].iloc[0] and top["all_clean"].iloc[0]:
-        model.weights = _weigh(top, prior, least_z, least_odds, drift)
-        known = top[top["token"].isin(model.weights)]
-        share = known["clean"].to_numpy(float) / top["all_clean"].iloc[0]
-        least = 0.5 / top["all_clean"].iloc[0]  # no token is impossible in clean text
-        model.background = [(model.weights[t], max(p, least)) for t, p in zip(known["token"], share)]
+    if all_toxic and all_clean:
+        known = log_odds(counts, all_toxic, all_clean, prior, least_z, least_odds).orderBy("token").toPandas()
+        model.weights = {t: x if x > 0 else min(x, -drift) for t, x in zip(known["token"], known["odds"])}
+        # No token is impossible in clean text.
+        share = np.maximum(known["clean"].to_numpy(float), 0.5) / all_clean
+        model.background = [(model.weights[t], p) for t, p in zip(known["token"], share.tolist())]
         model.background.append((-drift, max(1 - sum(p for _, p in model.background), 1e-9)))
         if any(s > 0 for s, _ in model.background):
             model.lam = _solve_lambda(model.background)
@@ -151,28 +176,35 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, s
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [find_segments(t, model) for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "n": [n for _, n in found], "scores": [sorted((x for *_, x in f), reverse=True)[:64] for f, _ in found]})
-
-    seen = rows.mapInPandas(best, "y double, n long, scores array<double>").toPandas()
-    if len(seen):
-        y, n = seen["y"].to_numpy(float), seen["n"].to_numpy(float)
-        if 0 < y.sum() < len(y):
-            clean = (y == 0) & (n > 0)
-            high = np.array([s[0] if len(s) else 0.0 for s in seen["scores"]])
-            if clean.any():
-                model.k = float(clean.sum() / (n[clean] * np.exp(-model.lam * high[clean])).sum())
-            x = np.array([evidence(list(s), int(m), model) for s, m in zip(seen["scores"], n)])
-            model.slope, model.shift = logistic_fit(x, y)
-        else:
-            model.slope, model.shift = 0.0, 50.0 if y.sum() else -50.0
+            yield pd.DataFrame({"y": b["y"], "n": [float(n) for _, n in found], "x": [max((s for *_, s in f), default=0.0) for f, _ in found]})
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [find_segments(t, model) for t in b["text"]]
+            yield pd.DataFrame({"y": b["y"], "x": [evidence([s for *_, s in f], n, model) for f, n in found]})
+
+    ends = rows.mapInPandas(best, "y double, n double, x double").toPandas()
+    y = ends["y"].to_numpy()
+    if len(y) and not 0 < y.sum() < len(y):
+        model.shift = 50.0 if y.sum() else -50.0
+    elif len(y):
+        clean = ends[(ends["y"] == 0) & (ends["n"] > 0)]
+        if len(clean):
+            model.k = float(len(clean) / (clean["n"] * np.exp(-model.lam * clean["x"])).sum())
+        seen = rows.mapInPandas(weigh, "y double, x double").toPandas().sort_values(["x", "y"])
+        model.slope, model.shift = logistic_fit(seen["x"].to_numpy(), seen["y"].to_numpy())
+        model.shift += odds
     return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", e_value: float = 0.01, threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` and ``score`` (0 to 1), ``predicted`` (1 from ``threshold``)
     and ``passages``: the significant segments, ``start, end`` in characters, ``score`` and
-    ``e_value``, best first. Null text counts as empty and gets the score of no evidence.
-    Columns of ``docs`` must not be named like these.
+    ``e_value``, best first.
+
+    Null text counts as empty and gets the score of no evidence. Texts are scanned whole, in
+    linear time, and all their segments count, whatever their length. Equal texts get equal
+    scores; rows that repeat are each kept. Columns of ``docs`` with these names give way to them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kind = "array<struct<start:int,end:int,score:double,e_value:double>>"
@@ -189,5 +221,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", e_value: float
             passages.append(sorted((p for p in told if p["e_value"] <= e_value), key=lambda p: p["e_value"]))
         return pd.DataFrame({"score": scores, "passages": passages})
 
-    out = docs.withColumn("_toxic", look(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.select(*docs.columns, F.col("_toxic.score").alias("score"), (F.col("_toxic.score") >= threshold).cast("int").alias("predicted"), F.col("_toxic.passages").alias("passages"))
+    out = wrapped(docs, toxic=look(F.coalesce(F.col(text_col), F.lit(""))))
+    return unwrapped(out, docs, score=F.col("toxic.score"), predicted=(F.col("toxic.score") >= threshold).cast("int"), passages=F.col("toxic.passages"))

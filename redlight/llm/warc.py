@@ -36,7 +36,9 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def classify(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, refers_to``: of equal payloads
     of at least ``least_bytes`` bytes, every row with the largest page_id is a response
-    (``refers_to`` null), the others refer to it. A null page_id is never the largest."""
+    (``refers_to`` null), the others refer to it. A null page_id is never the largest. A null
+    html is empty; other columns are not read, so no name can clash. A payload and its record
+    stand whole in memory, one at a time, and in a frame of its own if it is longer than one."""
     rows = pages.select("page_id", "url", utf8("html").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     target = (
@@ -162,7 +164,9 @@ def write_archives(records: DataFrame, folder: str, frame_bytes: int = 1 << 20,
 
     spark = records.sparkSession
     at = f"{folder}/index"
-    records.mapInArrow(work, INDEX).write.parquet(at)
+    # In order of the identifiers within each file, so that a look-up skips pages of the index.
+    index = records.mapInArrow(work, INDEX).repartition(partitions(spark), "record_id").sortWithinPartitions("record_id")
+    index.write.parquet(at)
     return spark.read.schema(INDEX).parquet(at)
 
 
@@ -207,7 +211,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 
 def lookup(index: DataFrame, folder: str, page_ids: list[int]) -> DataFrame:
-    """Random access: reads only the frames that hold these records."""
+    """Random access: the index is sorted and the filter pushed down to it, and only the frames
+    that hold these records are read."""
     wanted = index.where(F.col("record_id").isin([record_id(i) for i in page_ids]))
     return read_records(wanted, folder)
 

@@ -1,7 +1,9 @@
+import hashlib
 import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from redlight.llm import near_copies, stages
 
@@ -57,17 +59,24 @@ def test_components_equal_brute_force(spark, monkeypatch, common):
     if not common:  # the order of shingles decides the cost only
         monkeypatch.setattr(near_copies, "common_shingles", lambda *a: near_copies.np.zeros(0, near_copies.np.uint64))
     rows = planted()
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit(1))
     want = brute(rows)
-    got = dict(map(tuple, near_copies.near_copies(df).collect()))
-    assert got == {i: want[i] for i in got}
-    assert {want[i] for i in want} == set(got.values())
+    key = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    got = {r["text_key"]: r["first"]["doc_id"] for r in near_copies.near_copies(df).collect()}
+    assert got == {key(t): want[i] for i, t in rows}
 
 
 def test_the_stage_drops_copies_with_edited_words(spark):
     rnd = random.Random(1)
     base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
-    rows = [(1, " ".join(base)), *((i, " ".join(edited(rnd, base, 6))) for i in range(2, 12)), (12, " ".join(edited(rnd, base, 60))), (None, " ".join(base)), (13, " ".join(base))]
+    rows = [(1, " ".join(base)), *((i, " ".join(edited(rnd, base, 6))) for i in range(2, 12)), (12, " ".join(edited(rnd, base, 60))), (None, " ".join(base)), (13, " ".join(base)), (None, "alone without an id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r[0] or 0 for r in stages.drop_near_duplicates(spark, df, "").collect()) == [0, 1, 12]
     assert stages.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, "first text of its own", "x"), (1, "another text altogether", "y"), (1, "another text altogether", "y"), (1, "another text altogether", "z"), (2, None, "a"), (3, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at string")
+    got = [tuple(r) for r in stages.drop_near_duplicates(spark, df, "").collect()]
+    assert len(got) == 3 and {r[:2] for r in got} == {(1, "first text of its own"), (1, "another text altogether"), (2, None)}

@@ -85,6 +85,6 @@ def test_top_k(spark, n, dim, scale):
     rows = [(i, v if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score long")
     v = topk.whole_numbers(df)
-    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), shard_rows=97, block_rows=3).collect()))
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), shard_rows=97, query_rows=3, block=16).collect()))
     assert got == brute_top(rows)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
