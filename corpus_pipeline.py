@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from redlight.llm import stages
-from redlight.llm.common import materialize, table
+from redlight.llm.common import table
+from redlight.storage import discard, new_path, scratch, write_table
 
 #: Each stage reads what its predecessor has written; all but the last return the columns of documents.
 STAGES = [
@@ -21,7 +22,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. What a stage writes on its way goes when its result is written, and that
+    goes when the next stage's is; the last table stays for the caller to read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        at = new_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = write_table(stage(spark, docs, sf_dir), at)
+        if before:
+            discard(spark, before)
+        before = at
     return docs
