@@ -25,16 +25,21 @@ def iou(a: Box, b: Box, guarded: bool = True) -> Column:
     return F.when(union <= 0, 0.0).otherwise(F.try_divide(inter, union)) if guarded else F.try_divide(inter, union)
 
 
-def point_in_polygon(px, py, poly) -> Column:
-    """Crossing parity, edges count as inside; fewer than three vertices: false.
-
-    ``poly`` is an array of structs ``x, y``.
-    """
-    px, py, poly = _c(px).cast("double"), _c(py).cast("double"), _c(poly)
+def polygon_edges(poly) -> Column:
+    """``edges, n, x0, y0, x1, y1`` of an array of structs ``x, y``: every vertex with the next
+    one, the number of vertices, and the bounds."""
+    poly = _c(poly)
     n = F.size(poly)
-    # Every vertex with the next one round the polygon.
     after = F.concat(F.slice(poly, 2, F.greatest(n - 1, F.lit(0))), F.slice(poly, 1, F.least(n, F.lit(1))))
     edges = F.zip_with(poly, after, lambda a, b: F.struct(a["x"].cast("double").alias("ax"), a["y"].cast("double").alias("ay"), b["x"].cast("double").alias("bx"), b["y"].cast("double").alias("by")))
+    end = lambda f, k: f(F.transform(poly, lambda p: p[k].cast("double")))
+    return F.struct(edges.alias("edges"), n.alias("n"), end(F.array_min, "x").alias("x0"), end(F.array_min, "y").alias("y0"), end(F.array_max, "x").alias("x1"), end(F.array_max, "y").alias("y1"))
+
+
+def point_in_edges(px, py, shape) -> Column:
+    """Crossing parity, edges count as inside; fewer than three vertices: false. Points out of
+    bounds are told without a look at the edges. ``shape`` is from :func:`polygon_edges`."""
+    px, py, shape = _c(px).cast("double"), _c(py).cast("double"), _c(shape)
 
     def on(e):
         cross = (e["bx"] - e["ax"]) * (py - e["ay"]) - (e["by"] - e["ay"]) * (px - e["ax"])
@@ -44,8 +49,14 @@ def point_in_polygon(px, py, poly) -> Column:
         at = (e["bx"] - e["ax"]) * (py - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]
         return ((e["ay"] > py) != (e["by"] > py)) & (px < at)
 
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1
-    return F.coalesce((n >= 3) & (F.exists(edges, on) | odd), F.lit(False))
+    near = (shape["n"] >= 3) & px.between(shape["x0"], shape["x1"]) & py.between(shape["y0"], shape["y1"])
+    odd = F.size(F.filter(shape["edges"], lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1
+    return F.coalesce(near & (F.exists(shape["edges"], on) | odd), F.lit(False))
+
+
+def point_in_polygon(px, py, poly) -> Column:
+    """:func:`point_in_edges` for an array of structs ``x, y``."""
+    return point_in_edges(px, py, polygon_edges(poly))
 
 
 def scaled_polygon(poly, factor: float = 1.1) -> Column:
@@ -70,18 +81,22 @@ def test_points(b: Box, mode: str) -> list[tuple[Column, Column]]:
     if mode == "night":
         return [(mid[0], y2), mid]
     if mode == "live_day":
-        inner = [(x1 + F.floor(w * i / 4), y1 + F.floor(h * j / 4)) for i, j in ((1, 1), (3, 1), (1, 3), (3, 3))]
-        return [mid, *inner, (x1, y1), (x2, y1), (x1, y2), (x2, y2)]
+        return [mid, (F.floor((x1 + 3 * x2) / 4), mid[1]), (F.floor((3 * x1 + x2) / 4), mid[1]), (x1, y1), (x2, y1), (x1, y2), (x2, y2)]
     if mode == "live_night":
-        return [mid, *((x1 + F.floor(w * i / 3), y1 + F.floor(h * j / 2)) for i in range(4) for j in range(3))]
+        dx, dy = F.floor(w / 4), F.floor(h / 4)
+        return [(x, y) for y in (y1 + dy, mid[1], y2 - dy, y2) for x in (x1 + dx, mid[0], x2 - dx)]
     raise ValueError(mode)
 
 
-def in_area(b: Box, poly, mode: str) -> Column:
-    """Is any of the mode's points in the area; night scales the area by 1.1."""
-    area = scaled_polygon(poly) if mode == "night" else _c(poly)
+def area_shape(poly, mode: str) -> Column:
+    """Edges of the area that a mode tests: night scales it by 1.1."""
+    return polygon_edges(scaled_polygon(poly) if mode == "night" else poly)
+
+
+def in_area(b: Box, shape, mode: str) -> Column:
+    """Is any of the mode's points in the area (see :func:`area_shape`)."""
     points = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in test_points(b, mode)))
-    return F.exists(points, lambda p: point_in_polygon(p["x"], p["y"], area))
+    return F.exists(points, lambda p: point_in_edges(p["x"], p["y"], shape))
 
 
 def pad_clip(b: Box, width, height, fx: float = 0.05, fy: float = 0.15) -> dict[str, Column]:

@@ -43,8 +43,10 @@ def with_phase(df: DataFrame, presets: DataFrame, fps: float = 1.0) -> DataFrame
 
 
 def with_area(df: DataFrame, areas: DataFrame, mode: str) -> DataFrame:
-    """Rows of cameras that have an area, with ``inside``."""
-    return df.join(areas.select("camera", "poly"), "camera").withColumn("inside", g.in_area(g.box(), F.col("poly"), mode)).drop("poly")
+    """Rows of cameras that have an area, with ``inside``. Edges and bounds are made once per
+    camera, before the join."""
+    shapes = areas.select("camera", g.area_shape("poly", mode).alias("_shape"))
+    return df.join(shapes, "camera").withColumn("inside", g.in_area(g.box(), F.col("_shape"), mode)).drop("_shape")
 
 
 def infractions(det: DataFrame, presets: DataFrame, areas: DataFrame, fps: float = 1.0, night: bool = False) -> DataFrame:

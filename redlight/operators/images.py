@@ -24,7 +24,7 @@ def laplacian_variance(x: np.ndarray) -> float:
 
 
 def image_stats(images: DataFrame, key: str = "image_id") -> DataFrame:
-    """``mean, std, p10, sharpness, width, height`` of rows in the image source's layout
+    """``mean, std, p10, sharpness, noise, width, height`` of rows in the image source's layout
     (``height, width, nChannels, data``; channels blue, green, red)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,11 +32,11 @@ def image_stats(images: DataFrame, key: str = "image_id") -> DataFrame:
             rows = []
             for r in b.itertuples(index=False):
                 g = _grey(r)
-                rows.append((getattr(r, key), g.mean(), g.std(), np.percentile(g, 10), laplacian_variance(g), r.width, r.height))
-            yield pd.DataFrame(rows, columns=[key, "mean", "std", "p10", "sharpness", "width", "height"])
+                rows.append((getattr(r, key), g.mean(), g.std(), np.percentile(g, 10), laplacian_variance(g), sobel_std(g), r.width, r.height))
+            yield pd.DataFrame(rows, columns=[key, "mean", "std", "p10", "sharpness", "noise", "width", "height"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "height", "width", "nChannels", "data").mapInPandas(work, f"{key} {kind}, mean double, std double, p10 double, sharpness double, width int, height int")
+    return images.select(key, "height", "width", "nChannels", "data").mapInPandas(work, f"{key} {kind}, mean double, std double, p10 double, sharpness double, noise double, width int, height int")
 
 
 def pixel_stats(df: DataFrame, col: str = "pixels") -> DataFrame:
@@ -54,14 +54,22 @@ def is_night(mode: str = "offline") -> Column:
     return dark if p10 is None else dark | (F.col("p10") < p10)
 
 
-def plate_quality(variant: str = "reader", format_score: Column | None = None) -> Column:
-    """0 to 1 from ``mean, std, sharpness, width, height``; two weightings."""
+def sobel_std(x: np.ndarray) -> float:
+    """Spread of the mixed Sobel derivative (1, 1) of a luminance picture."""
+    p = np.pad(x, 1, mode="reflect") if min(x.shape) > 1 else np.pad(x, 1, mode="edge")
+    return float((p[2:, 2:] + p[:-2, :-2] - p[2:, :-2] - p[:-2, 2:]).std())
+
+
+def plate_quality(variant: str = "reader", format_score: Column | None = None, noise: Column | None = None) -> Column:
+    """0 to 1 from ``mean, std, sharpness, width, height``; two weightings. The stored one also
+    takes ``noise``, the spread of the mixed derivative (unknown: half of its share)."""
     if variant == "reader":
         bright = 1 - F.abs((F.col("mean") - 127.5) / 127.5)
         q = 0.4 * F.col("sharpness") / 100 + 0.3 * F.col("std") / 80 + 0.2 * bright + 0.1 * F.least(F.lit(1.0), F.col("width") * F.col("height") / (200 * 50))
     else:
         form = F.lit(0.0) if format_score is None else format_score
-        q = 0.4 * F.col("sharpness") / 500 + 0.3 * F.col("std") / 80 + 0.15 * F.least(F.lit(1.0), F.col("width") * F.col("height") / (200 * 50)) + 0.1 * form
+        calm = F.lit(0.5) if noise is None else F.coalesce(1 - F.least(F.lit(1.0), noise / 100), F.lit(0.5))
+        q = 0.4 * F.col("sharpness") / 500 + 0.3 * F.col("std") / 80 + 0.15 * F.least(F.lit(1.0), F.col("width") * F.col("height") / (200 * 50)) + 0.05 * calm + 0.1 * form
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))
 
 

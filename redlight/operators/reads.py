@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import plates as p
+from ..storage import materialize
 from .graph import components
 
 
@@ -41,15 +42,36 @@ def majority_vote(df: DataFrame, key: str = "crop_id") -> DataFrame:
     return counts.groupBy(key).agg(F.max_by(F.struct("text", "votes"), F.struct("votes", -F.col("first_id"))).alias("b")).select(key, "b.*")
 
 
-def group_scores(df: DataFrame, keys: list[str]) -> DataFrame:
+def _score() -> Column:
     """(0.5 n + 0.3 mean confidence + 0.2 mean coherence) x 1.8 if any format is valid."""
-    score = (0.5 * F.count("*") + 0.3 * F.avg("conf") + 0.2 * F.avg(p.pattern_coherence("text"))) * F.when(F.max(p.valid_format("text")), 1.8).otherwise(1.0)
-    return df.groupBy(*keys).agg(score.alias("score"), F.count("*").alias("n"), F.min("read_id").alias("first_id"))
+    return (0.5 * F.count("*") + 0.3 * F.avg("conf") + 0.2 * F.avg("_coherence")) * F.when(F.max("_valid"), 1.8).otherwise(1.0)
+
+
+def _best_text() -> Column:
+    return F.max_by("text", F.struct("_valid", "conf", -F.col("read_id")))
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    """Each text's format and coherence, once."""
+    return df.withColumns({"_valid": p.valid_format("text"), "_coherence": p.pattern_coherence("text")})
+
+
+def group_scores(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``score`` of each group, its size and its earliest read."""
+    return _judged(df).groupBy(*keys).agg(_score().alias("score"), F.count("*").alias("n"), F.min("read_id").alias("first_id"))
 
 
 def representative(df: DataFrame, keys: list[str]) -> DataFrame:
     """Text of the most confident valid read, else of the most confident; ties: earliest."""
-    return df.groupBy(*keys).agg(F.max_by("text", F.struct(p.valid_format("text"), "conf", -F.col("read_id"))).alias("text"))
+    return _judged(df).groupBy(*keys).agg(_best_text().alias("text"))
+
+
+def _best_group(df: DataFrame, key: str, group: str) -> DataFrame:
+    """The group of the highest score (of equals the earliest) and its representative: groups
+    carry theirs along, so reads are scanned once."""
+    scored = _judged(df).groupBy(key, group).agg(_score().alias("score"), F.min("read_id").alias("first_id"), _best_text().alias("text"))
+    best = F.max_by(F.struct(group, "text"), F.struct(F.round("score", 9), -F.col("first_id")))
+    return scored.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
 def best_candidate(df: DataFrame, key: str = "crop_id") -> DataFrame:
@@ -59,9 +81,7 @@ def best_candidate(df: DataFrame, key: str = "crop_id") -> DataFrame:
 
 def consensus_exact(df: DataFrame, key: str = "crop_id") -> DataFrame:
     """Groups of equal pattern; the best group (of equals the earliest) and its representative."""
-    keyed = df.withColumn("pattern", p.pattern_key("text"))
-    best = group_scores(keyed, [key, "pattern"]).groupBy(key).agg(F.max_by("pattern", F.struct(F.round("score", 9), -F.col("first_id"))).alias("pattern"))
-    return representative(keyed.join(best, [key, "pattern"]), [key, "pattern"])
+    return _best_group(df.withColumn("pattern", p.pattern_key("text")), key, "pattern")
 
 
 def consensus(df: DataFrame, key: str = "crop_id", most: int = 15, near: float = 0.7) -> DataFrame:
@@ -79,9 +99,7 @@ def consensus(df: DataFrame, key: str = "crop_id", most: int = 15, near: float =
         return F.array_append(acc, F.struct(x["read_id"].alias("id"), found.alias("key")))
 
     named = listed.select(key, F.explode(F.aggregate("all", none, step)).alias("k")).select(key, F.col("k.id").alias("read_id"), F.col("k.key").alias("group"))
-    grouped = rows.join(named, [key, "read_id"])
-    best = group_scores(grouped, [key, "group"]).groupBy(key).agg(F.max_by("group", F.struct(F.round("score", 9), -F.col("first_id"))).alias("group"))
-    return representative(grouped.join(best, [key, "group"]), [key])
+    return _best_group(rows.join(named, [key, "read_id"]), key, "group").select(key, "text")
 
 
 def best_plate_in_image(df: DataFrame, key: str = "camera", most: int = 3) -> DataFrame:
@@ -118,19 +136,27 @@ def canonicalise(df: DataFrame, variants: DataFrame, col: str = "text") -> DataF
     return df.join(v, F.col(col) == F.col("_v"), "left").withColumn("canonical", F.coalesce("canonical", F.col(col))).drop("_v")
 
 
-def canonicalise_fuzzy(df: DataFrame, variants: dict[str, list[str]], night: bool = False, col: str = "text") -> DataFrame:
+def canonicalise_fuzzy(df: DataFrame, variants: DataFrame, night: bool = False, col: str = "text") -> DataFrame:
     """The first canonical plate with a variant alike enough: shared places over the shorter
-    length, 0.1 more for equal length. The dictionary is a literal of bounded size."""
-    if sum(map(len, variants.values())) > 10_000:
-        raise ValueError("a dictionary of more than 10,000 variants belongs in a table")
-    t = F.col(col)
+    length, 0.1 more for equal length. ``variants``: ``rank, canonical, variant``; the
+    smallest rank that accepts wins.
+
+    Blocks lose nothing: a variant is alike only if it has a character in common at the same
+    place, so those are the keys, and only distinct texts are compared. Without a shared
+    place nothing is alike.
+    """
+    least = 0.65 if night else 0.70
 
-    def like(v: str) -> Column:
-        n = F.least(F.length(t), F.lit(len(v)))
-        return p.positional_matches(t, F.lit(v)) / F.nullif(n, F.lit(0)) + F.when(F.length(t) == len(v), 0.1).otherwise(0.0)
+    def places(c: str):
+        return F.explode(F.transform(p.chars(F.col(c)), lambda x, i: F.struct(i.alias("i"), x.alias("c"))))
 
-    found = [F.when(F.greatest(*map(like, vs), F.lit(-1.0)) >= (0.65 if night else 0.70), name) for name, vs in variants.items()]
-    return df.withColumn("canonical", F.coalesce(*found, t))
+    texts = df.select(F.col(col).alias("_t")).where("_t <> ''").distinct().withColumn("_at", places("_t"))
+    other = variants.select("rank", "canonical", F.col("variant").alias("_v")).withColumn("_at", places("_v"))
+    # Shared places are counted by the join itself.
+    pairs = texts.join(other, "_at").groupBy("_t", "_v", "rank", "canonical").agg(F.count("*").alias("n"))
+    like = F.col("n") / F.least(F.length("_t"), F.length("_v")) + F.when(F.length("_t") == F.length("_v"), 0.1).otherwise(0.0)
+    best = pairs.where(like >= least).groupBy("_t").agg(F.min_by("canonical", "rank").alias("canonical"))
+    return df.join(best, F.col(col) == F.col("_t"), "left").withColumn("canonical", F.coalesce("canonical", F.col(col))).drop("_t")
 
 
 def best_plate_version(df: DataFrame, known: DataFrame, col: str = "text") -> DataFrame:
@@ -148,25 +174,77 @@ def best_plate_version(df: DataFrame, known: DataFrame, col: str = "text") -> Da
     return df.join(best, F.col(col) == F.col("_t"), "left").withColumn("version", F.coalesce("version", F.col(col))).drop("_t")
 
 
-def dup_pairs(df: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """Pairs ``a < b`` of one group with their fused similarity (no images), above ``least``.
+def plate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``id, t`` and the normal form ``x`` of every read that has a plate."""
+    return df.withColumn("x", p.normal_plate("text")).where("x <> ''").select(*keys, F.col("read_id").alias("id"), "t", "x")
+
+
+def plate_pairs(texts: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Pairs ``x < y`` of distinct plates of one group with their text similarity ``s``, where
+    reads of them could reach ``least``.
 
-    Lossless blocks: texts are alike only if equal after folding look-alikes, or if they
+    Lossless blocks: plates are alike only if equal after folding look-alikes, or if they
     share the last three digits of their longest run of digits.
     """
-    plate = F.regexp_replace(F.upper("text"), "[- ]", "")
-    rows = df.where(plate != "").select(*keys, F.col("read_id").alias("id"), "text", "t", p.fold_confusable(plate).alias("f"), F.when(F.length(p.longest_digit_run(plate)) >= 3, F.right(p.longest_digit_run(plate), F.lit(3))).alias("d"))
-    a = rows.select(*keys, F.col("id").alias("a"), F.col("text").alias("ta"), F.col("t").alias("da"), "f", "d")
-    b = rows.select(*keys, F.col("id").alias("b"), F.col("text").alias("tb"), F.col("t").alias("db"), F.col("f").alias("fb"), F.col("d").alias("db3"))
-    folded = a.join(b.withColumn("f", F.col("fb")), [*keys, "f"]).where("a < b").select(*keys, "a", "b", "ta", "tb", "da", "db")
-    digits = a.join(b.withColumn("d", F.col("db3")), [*keys, "d"]).where("a < b and f <> fb").select(*keys, "a", "b", "ta", "tb", "da", "db")
-    both = folded.unionByName(digits)
-    sim = p.fused_similarity(p.dup_text_similarity("ta", "tb"), F.lit(0.0), p.time_similarity(F.col("da") - F.col("db")))
-    return both.withColumn("similarity", sim).where(F.col("similarity") >= least).select(*keys, "a", "b", "similarity")
+    run = p.longest_digit_run("x")
+    block = F.explode(F.array_compact(F.array(F.concat(F.lit("f"), p.fold_confusable("x")), F.when(F.length(run) >= 3, F.concat(F.lit("d"), F.right(run, F.lit(3)))))))
+    rows = texts.select(*keys, "x").distinct().withColumn("block", block)
+    both = rows.join(rows.withColumnRenamed("x", "y"), [*keys, "block"]).where("x < y").select(*keys, "x", "y").distinct()
+    found = both.withColumn("s", p.dup_text_similarity("x", "y"))
+    return found.where((F.col("s") >= least) | (F.col("s") * 6 / 7 + 1 / 7 >= least))
+
+
+def _fused(s: str, dt: Column) -> Column:
+    return p.fused_similarity(F.col(s), F.lit(0.0), p.time_similarity(dt))
+
+
+def dup_pairs(df: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """Pairs ``a < b`` of one group with their fused similarity (no images), from ``least`` on.
+
+    Texts are compared once per pair of distinct plates; reads join afterwards. All pairs are
+    asked for, so rows grow with the square of a group: for groups of duplicates see
+    :func:`dup_classes`.
+    """
+    rows = plate_rows(df, keys)
+    texts = rows.select(*keys, "x").distinct()
+    pairs = plate_pairs(texts, keys, least).unionByName(texts.select(*keys, "x", F.col("x").alias("y"), F.lit(1.0).alias("s")))
+    a = rows.select(*keys, "x", F.col("id").alias("ia"), F.col("t").alias("ta"))
+    b = rows.select(*keys, F.col("x").alias("y"), F.col("id").alias("ib"), F.col("t").alias("tb"))
+    both = pairs.join(a, [*keys, "x"]).join(b, [*keys, "y"]).where("x <> y or ia < ib")
+    both = both.withColumn("similarity", _fused("s", F.col("ta") - F.col("tb"))).where(F.col("similarity") >= least)
+    return both.select(*keys, F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
+
+
+def dup_classes(df: DataFrame, keys: list[str], least: float = 0.80) -> DataFrame:
+    """``node, root`` of the groups that pairs of reads from ``least`` on make, without making
+    the pairs (no images).
+
+    Reads of one plate are always linked (6/7 at least), so plates are the nodes. Two plates
+    are linked by any pair of their reads: one that is five seconds apart or more has the
+    texts' similarity itself, and there is one unless all lie within five seconds; only where
+    that does not decide are their near reads looked at.
+    """
+    if least > 6 / 7:
+        raise ValueError("reads of one plate are linked for sure up to 6/7 only")
+    rows = plate_rows(df, keys)
+    plates = materialize(rows.groupBy(*keys, "x").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")), "plates")
+    side = lambda x, k: plates.select(*keys, F.col("x").alias(x), *(F.col(c).alias(f"{c}_{k}") for c in ("first", "lo", "hi")))
+    pairs = plate_pairs(plates, keys, least).join(side("x", "a"), [*keys, "x"]).join(side("y", "b"), [*keys, "y"])
+    far = F.greatest(F.col("hi_a") - F.col("lo_b"), F.col("hi_b") - F.col("lo_a")) >= 5
+    pairs = materialize(pairs.select(*keys, "x", "y", "s", "first_a", "first_b", ((F.col("s") >= least) & far).alias("sure")), "plate-pairs")
+    slot = F.floor(F.col("t") / 5)
+    a = rows.select(*keys, "x", F.col("t").alias("ta"), slot.alias("slot"))
+    b = rows.select(*keys, F.col("x").alias("y"), F.col("t").alias("tb"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    open_ = pairs.where("not sure")
+    met = open_.join(a, [*keys, "x"]).join(b, [*keys, "y", "slot"]).where(_fused("s", F.col("ta") - F.col("tb")) >= least)
+    edges = pairs.where("sure").select("first_a", "first_b").unionByName(met.select("first_a", "first_b")).toDF("a", "b").distinct()
+    roots = components(edges)
+    named = plates.join(roots, plates["first"] == roots["node"], "left").where("n > 1 or root is not null").select(*keys, "x", F.coalesce("root", "first").alias("root"))
+    return rows.join(named, [*keys, "x"]).select(F.col("id").alias("node"), "root")
 
 
 def dup_groups(pairs: DataFrame, least: float = 0.80, least_with_images: float = 0.75) -> DataFrame:
-    """``node, root`` of the duplicate groups: pairs from ``least``, and from
+    """``node, root`` of the duplicate groups of given pairs: those from ``least`` on, and from
     ``least_with_images`` where a column ``both_images`` says that both have one."""
     linked = F.col("similarity") >= least
     if "both_images" in pairs.columns:
@@ -183,5 +261,5 @@ def best_per_group(df: DataFrame, groups: DataFrame, id_col: str = "read_id") ->
 
 
 def dedup_plates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Duplicates resolved: pairs, groups, the best of each group."""
-    return best_per_group(df, dup_groups(dup_pairs(df, keys)))
+    """Duplicates resolved: links, groups, the best of each group."""
+    return best_per_group(df, dup_classes(df, keys))

@@ -157,8 +157,9 @@ def area_query(mode: str, name: str, points: list[tuple[str, str]], poly: str =
 _MID = ("floor((x1 + x2) / 2)", "floor((y1 + y2) / 2)")
 area_query("day", "j06_in_area_day", [(_MID[0], "y2")])
 area_query("night", "j07_in_area_night", [(_MID[0], "y2"), _MID], s.scaled())
-area_query("live_day", "j08_in_area_live_day", [_MID, *((f"(x1 + floor((x2 - x1) * {i} / 4))", f"(y1 + floor((y2 - y1) * {j} / 4))") for i, j in ((1, 1), (3, 1), (1, 3), (3, 3))), ("x1", "y1"), ("x2", "y1"), ("x1", "y2"), ("x2", "y2")])
-area_query("live_night", "j09_in_area_live_night", [_MID, *((f"(x1 + floor((x2 - x1) * {i} / 3))", f"(y1 + floor((y2 - y1) * {j} / 2))") for i in range(4) for j in range(3))])
+area_query("live_day", "j08_in_area_live_day", [_MID, ("floor((x1 + x2 * 3) / 4)", _MID[1]), ("floor((x1 * 3 + x2) / 4)", _MID[1]), ("x1", "y1"), ("x2", "y1"), ("x1", "y2"), ("x2", "y2")])
+_QX, _QY = "floor((x2 - x1) / 4)", "floor((y2 - y1) / 4)"
+area_query("live_night", "j09_in_area_live_night", [_MID, *((x, y) for y in (f"(y1 + {_QY})", _MID[1], f"(y2 - {_QY})", "y2") for x in (f"(x1 + {_QX})", _MID[0], f"(x2 - {_QX})"))])
 
 
 @add("j05_point_in_polygon", f"SELECT det_id, camera, {s.inside('x1', 'y1')} AS inside FROM v_det JOIN v_area USING (camera)")
@@ -205,11 +206,11 @@ over("v_reads", "x07_pattern_coherence", lambda d: d.select("read_id", r4(p.patt
 over("v_reads", "x08_format_break", lambda d: d.select("read_id", p.format_break(F.trim("text")).alias("cut")), """WITH t AS (SELECT read_id, trim(text) AS t FROM v_reads), u AS (SELECT *, [i FOR i IN range(2, length(t) + 1) IF (regexp_matches(t[i - 1], '[A-Za-z]') AND regexp_matches(t[i], '[0-9]')) OR (regexp_matches(t[i - 1], '[0-9]') AND regexp_matches(t[i], '[A-Za-z]'))] AS c,
 length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS l, [i FOR i IN range(1, length(t) + 1) IF regexp_matches(t[i], '[0-9]')] AS d FROM t)
 SELECT read_id, (CASE WHEN length(t) = 0 THEN 0 WHEN len(c) > 0 THEN c[1] - 1 WHEN l > 0 AND l < length(t) AND l <= floor(length(t) / 2) THEN l WHEN l > 0 AND l < length(t) AND len(d) > 0 THEN d[1] - 1 ELSE floor(length(t) / 2) END)::INT AS cut FROM u""")
-over("v_reads", "x09_context_correct", lambda d: d.select("read_id", p.context_correct(p.clean_plate("text", True)).alias("text")))
+over("v_reads", "x09_context_correct", lambda d: d.select("read_id", p.context_correct(p.clean_plate("text", True)).alias("text")), s.context("v_reads"))
 over("v_reads", "x10_split_correct", lambda d: d.select("read_id", p.split_correct(F.upper(F.trim("text"))).alias("text")), f"""WITH t AS (SELECT read_id, {UP} AS t FROM v_reads), c AS (SELECT *, CASE WHEN contains(t, '-') THEN instr(t, '-') - 1 ELSE 3 END AS k FROM t),
 e AS (SELECT read_id, translate(substr(t, 1, k), '012584', 'OIZSBA') || translate(substr(t, k + 1), 'OIZSBA', '012584') AS r FROM c)
 SELECT read_id, CASE WHEN length(r) = 6 AND NOT contains(r, '-') AND {s.letters('r[1:3]')} >= 2 AND {s.digits('r[4:6]')} >= 2 THEN r[1:3] || '-' || r[4:6] ELSE r END AS text FROM e""")
-over("v_reads", "x11_region_normalise", lambda d: d.select("read_id", p.region_normalise("text").alias("plate")))
+over("v_reads", "x11_region_normalise", lambda d: d.select("read_id", p.region_normalise("text").alias("plate")), s.region("v_reads"))
 _SCORE = """round((CASE WHEN n > 8 THEN -100 WHEN n BETWEEN 5 AND 7 THEN 5 WHEN n BETWEEN 4 AND 8 THEN 3 ELSE 1 END
 + CASE WHEN regexp_full_match(text, '[A-Z]{2}-[0-9]{4}') THEN 8 WHEN regexp_full_match(text, '[A-Z]{3}-[0-9]{4}') THEN 5 WHEN regexp_full_match(text, '[A-Z]-[0-9]{4,5}') THEN 4 WHEN contains(text, '-') THEN 2 ELSE 0 END
 - 2 * length(regexp_replace(text, '[A-Za-z0-9-]', '', 'g')) - CASE WHEN contains(text, 'L') AND contains(text, 'I') THEN 1 ELSE 0 END - CASE WHEN contains(text, 'O') AND contains(text, '0') THEN 1 ELSE 0 END - CASE WHEN contains(text, 'S') AND contains(text, '5') THEN 1 ELSE 0 END - CASE WHEN contains(text, 'B') AND contains(text, '8') THEN 1 ELSE 0 END
@@ -219,6 +220,9 @@ _FORM = "(CASE WHEN regexp_full_match(text, '[A-Z]+-[0-9]+') THEN 1.0 WHEN regex
 over("v_reads", "x13_quality_score", lambda d: d.select("read_id", r4(p.quality_score("text", "conf", F.col("conf") - 0.4)).alias("quality")), f"""WITH q AS (SELECT *, conf - 0.4::DOUBLE AS v, {_FORM} AS f FROM v_reads)
 SELECT read_id, round((0.4 * conf + 0.2 * v + 0.2 * f + 0.1 * CASE WHEN regexp_full_match(text, '[A-Z]{{2,3}}-[0-9]{{3,4}}') THEN 0.9 WHEN regexp_full_match(text, '[A-Z]-[0-9]{{3,5}}') THEN 0.8 WHEN regexp_full_match(text, '[0-9]{{3,4}}-[A-Z]{{2,3}}') THEN 0.7 ELSE 0 END
 + 0.1 * CASE WHEN conf > 0.5 AND v > 0.5 AND f > 0.5 THEN 0.8 WHEN conf < 0.3 OR v < 0.3 THEN 0.2 ELSE 0 END)::DOUBLE * CASE WHEN length(text) NOT BETWEEN 4 AND 10 THEN 0.7::DOUBLE ELSE 1 END, 4) AS quality FROM q""")
+#: Quality without a picture of the vehicle.
+_QUALITY = f"""round((0.4 * conf + 0.2 * {_FORM} + 0.1 * CASE WHEN regexp_full_match(text, '[A-Z]{{2,3}}-[0-9]{{3,4}}') THEN 0.9 WHEN regexp_full_match(text, '[A-Z]-[0-9]{{3,5}}') THEN 0.8 WHEN regexp_full_match(text, '[0-9]{{3,4}}-[A-Z]{{2,3}}') THEN 0.7 ELSE 0 END)::DOUBLE
+* CASE WHEN length(text) NOT BETWEEN 4 AND 10 THEN 0.7::DOUBLE ELSE 1 END, 9)"""
 _PAIRS = "WITH p AS (SELECT a.read_id, a.text AS a, b.text AS b, a.t - b.t AS dt FROM v_reads a JOIN v_reads b ON b.read_id = a.read_id + 1)"
 
 
@@ -264,15 +268,20 @@ def j14(spark, d):
 
 
 _LIKE = " ".join("WHEN greatest({}) >= 0.7 THEN '{}'".format(", ".join(f"{s.matches('c', chr(39) + v + chr(39))}::DOUBLE / nullif(least(length(c), {len(v)}), 0) + CASE WHEN length(c) = {len(v)} THEN 0.1 ELSE 0 END" for v in vs), k) for k, vs in _VARIANTS.items())
-over("v_reads", "j15_canonicalise_fuzzy", lambda d: reads.canonicalise_fuzzy(d.withColumn("c", p.clean_plate("text")), _VARIANTS, col="c").select("read_id", "canonical"), f"SELECT read_id, CASE {_LIKE} ELSE c END AS canonical FROM (SELECT read_id, {_CL} AS c FROM v_reads)")
 
 
-@add("j16_best_plate_version", f"""WITH k AS (SELECT DISTINCT {_CL} AS k FROM v_reads WHERE read_id % 50 = 0), t AS (SELECT DISTINCT {_CL} AS c FROM v_reads),
+@add("j15_canonicalise_fuzzy", f"SELECT read_id, CASE {_LIKE} ELSE c END AS canonical FROM (SELECT read_id, {_CL} AS c FROM v_reads)")
+def j15(spark, d):
+    table = spark.createDataFrame([(i, k, v) for i, (k, vs) in enumerate(_VARIANTS.items()) for v in vs], "rank int, canonical string, variant string")
+    return reads.canonicalise_fuzzy(view(spark, d, "v_reads").withColumn("c", p.clean_plate("text")), table, col="c").select("read_id", "canonical")
+
+
+@add("j16_best_plate_version", f"""WITH k AS (SELECT DISTINCT {_CL} AS k FROM v_reads WHERE conf >= 0.99), t AS (SELECT DISTINCT {_CL} AS c FROM v_reads),
 m AS (SELECT c, min(k) AS k FROM t JOIN k ON length(c) = length(k) WHERE length(c) - {s.matches('c', 'k')} BETWEEN 0 AND 2 GROUP BY c)
 SELECT read_id, CASE WHEN c IN (SELECT k FROM k) THEN c ELSE coalesce(m.k, c) END AS version FROM (SELECT read_id, {_CL} AS c FROM v_reads) r LEFT JOIN m USING (c)""")
 def j16(spark, d):
     r = view(spark, d, "v_reads").withColumn("c", p.clean_plate("text"))
-    return reads.best_plate_version(r, r.where("read_id % 50 = 0").select(F.col("c").alias("plate")), "c").select("read_id", "version")
+    return reads.best_plate_version(r, r.where("conf >= 0.99").select(F.col("c").alias("plate")), "c").select("read_id", "version")
 
 
 _SIM = f"""WITH r AS (SELECT read_id, vehicle, t, upper(regexp_replace(text, '[- ]', '', 'g')) AS x FROM v_reads), q AS (SELECT *, {s.run('x')} AS m, {s.fold('x')} AS f FROM r WHERE x <> ''),
@@ -337,7 +346,11 @@ _U = f"WITH u AS (SELECT read_id, crop_id, camera, conf, {UP} AS text FROM v_rea
 _GS = f"(0.5 * count(*) + 0.3 * avg(conf) + 0.2 * avg({s.coherence('text')})) * CASE WHEN bool_or({s.valid('text')}) THEN 1.8::DOUBLE ELSE 1 END"
 _PRE = f"SELECT *, {s.coherence('text')} AS coh, {s.valid('text')} AS ok, {s.pattern('text')} AS pattern FROM u"
 over("v_reads", "a12_majority_vote", lambda d: reads.majority_vote(d.withColumn("text", F.substring(p.clean_plate("text"), 1, 2))), f"""WITH c AS (SELECT crop_id, {_CL}[1:2] AS text, count(*) AS votes, min(read_id) AS first_id FROM v_reads GROUP BY ALL) SELECT crop_id, arg_max(text, (votes, -first_id)) AS text, max(votes) AS votes FROM c GROUP BY crop_id""")
-over("v_reads", "a13_consensus", lambda d: reads.consensus(upper_reads(d)))
+over("v_reads", "a13_consensus", lambda d: reads.consensus(upper_reads(d)), f"""WITH RECURSIVE{_U[4:]}, e AS ({_PRE}), o AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY read_id) AS rn FROM e),
+k AS (SELECT crop_id, read_id, rn, pattern AS grp, [pattern] AS keys FROM o WHERE rn = 1 UNION ALL SELECT crop_id, read_id, rn, g AS grp, list_append(keys, g) AS keys FROM (
+  SELECT o.crop_id, o.read_id, o.rn, k.keys, coalesce(list_filter(k.keys, lambda q: q = o.pattern)[1], list_filter(k.keys, lambda q: {s.similar('o.pattern', 'q')} > 0.7)[1], o.pattern) AS g FROM k JOIN o ON o.crop_id = k.crop_id AND o.rn = k.rn + 1 WHERE o.rn <= 15)),
+j AS (SELECT e.*, k.grp FROM e JOIN k USING (crop_id, read_id)), c AS (SELECT crop_id, grp, (0.5 * count(*) + 0.3 * avg(conf) + 0.2 * avg(coh)) * CASE WHEN bool_or(ok) THEN 1.8::DOUBLE ELSE 1 END AS score, min(read_id) AS f, arg_max(text, (ok::INT, conf, -read_id)) AS text FROM j GROUP BY crop_id, grp)
+SELECT crop_id, arg_max(text, (round(score, 9), -f)) AS text FROM c GROUP BY crop_id""")
 over("v_reads", "a13_consensus_exact", lambda d: reads.consensus_exact(upper_reads(d)).select("crop_id", "pattern", "text"), f"""{_U}, e AS ({_PRE}), k AS (SELECT crop_id, pattern, (0.5 * count(*) + 0.3 * avg(conf) + 0.2 * avg(coh)) * CASE WHEN bool_or(ok) THEN 1.8::DOUBLE ELSE 1 END AS score, min(read_id) AS f FROM e GROUP BY ALL),
 b AS (SELECT crop_id, arg_max(pattern, (round(score, 9), -f)) AS pattern FROM k GROUP BY crop_id)
 SELECT crop_id, pattern, arg_max(text, (ok::INT, conf, -read_id)) AS text FROM e JOIN b USING (crop_id, pattern) GROUP BY ALL""")
@@ -358,7 +371,8 @@ over("v_det", "w03_last_per_car_frame", lambda d: detections.last_per_car_frame(
 over("v_reads", "w04_first_seen", lambda d: reads.first_seen(d.withColumn("c", p.clean_plate("text")), "c", ["t", "read_id"]).select("c", "read_id"), f"SELECT c, read_id FROM (SELECT {_CL} AS c, read_id, row_number() OVER (PARTITION BY {_CL} ORDER BY t, read_id) AS rn FROM v_reads) WHERE rn = 1")
 over("v_reads", "w05_best_per_vehicle", lambda d: reads.best_per_vehicle(d, "vehicle", "sharpness").select("vehicle", "read_id", r4("score").alias("score")), f"""WITH q AS (SELECT *, {_SCORE.replace('- EXTRA', '')} AS score FROM (SELECT *, length(regexp_replace(text, '[- ]', '', 'g')) AS n FROM v_reads))
 SELECT vehicle, arg_max(read_id, (score, -read_id)) AS read_id, max(score) AS score FROM q GROUP BY vehicle""")
-over("v_reads", "w06_best_per_group", lambda d: reads.best_per_group(d, d.groupBy("crop_id").agg(F.collect_list("read_id").alias("m")).select(F.explode("m").alias("node"), F.array_min("m").alias("root"))).select("read_id", "members"))
+over("v_reads", "w06_best_per_group", lambda d: reads.best_per_group(d, d.groupBy("crop_id").agg(F.collect_list("read_id").alias("m")).select(F.explode("m").alias("node"), F.array_min("m").alias("root"))).select("read_id", "members"), f"""WITH q AS (SELECT *, min(read_id) OVER (PARTITION BY crop_id) AS grp, {_QUALITY} AS quality FROM v_reads)
+SELECT arg_max(read_id, (quality, -read_id)) AS read_id, count(*) AS members FROM q GROUP BY grp""")
 over("v_det", "w07_reuse_previous", lambda d: detections.reuse_previous(d.withColumn("sig", F.floor(F.col("det_id") / 30) % 2), ["camera"], "sig", "det_id").select("det_id", "run", "reused"), """WITH a AS (SELECT *, floor(det_id / 30) % 2 AS sig FROM v_det), b AS (SELECT *, CASE WHEN coalesce(lag(sig) OVER w <> sig, true) THEN 1 ELSE 0 END AS n FROM a WINDOW w AS (PARTITION BY camera ORDER BY frame, det_id)),
 c AS (SELECT *, (sum(n) OVER (PARTITION BY camera ORDER BY frame, det_id))::BIGINT AS run FROM b) SELECT det_id, run, first_value(det_id) OVER (PARTITION BY camera, run ORDER BY frame, det_id) AS reused FROM c""")
 over("v_track", "w08_ema_rate", lambda d: tracks.ema_rate(d, "car_id", "frame").select("car_id", r4("rate").alias("rate")), """WITH RECURSIVE s AS (SELECT car_id, frame - lag(frame) OVER w AS dt, row_number() OVER w - 1 AS i FROM v_track WINDOW w AS (PARTITION BY car_id ORDER BY frame)),
@@ -374,16 +388,21 @@ over("v_det", "k04_nms", lambda d: detections.nms(d, ["camera", "frame"]), f"""W
 k AS (SELECT camera, frame, 1 AS rn, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'id': det_id, 's': score}}] AS kept FROM d WHERE rn = 1 UNION ALL
 SELECT k.camera, k.frame, k.rn + 1, CASE WHEN len(list_filter(k.kept, lambda b: {s.iou('b.', 'd.')} > 0.45)) > 0 THEN k.kept ELSE list_append(k.kept, {{'x1': d.x1, 'y1': d.y1, 'x2': d.x2, 'y2': d.y2, 'id': d.det_id, 's': d.score}}) END FROM k JOIN d ON d.camera = k.camera AND d.frame = k.frame AND d.rn = k.rn + 1),
 l AS (SELECT camera, frame, arg_max(kept, rn) AS kept FROM k GROUP BY camera, frame) SELECT camera, frame, b.id AS det_id, b.s AS score FROM (SELECT camera, frame, unnest(kept) AS b FROM l)""")
-over("v_reads", "k05_segment_dedup", lambda d: reads.segment_dedup(d, ["crop_id"]))
+over("v_reads", "k05_segment_dedup", lambda d: reads.segment_dedup(d, ["crop_id"]), f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY sharpness DESC, read_id) AS rn FROM v_reads WHERE text <> '' AND length({s.BARE.format('text')}) <= 7),
+k AS (SELECT crop_id, rn, [{{'id': read_id, 't': text}}] AS kept FROM o WHERE rn = 1 UNION ALL
+SELECT k.crop_id, o.rn, CASE WHEN len(list_filter(k.kept, lambda x: length(x.t) = length(o.text) AND length(o.text) - {s.matches('x.t', 'o.text')} <= CASE WHEN length(o.text) <= 6 THEN 1 ELSE 2 END)) > 0 THEN k.kept ELSE list_append(k.kept, {{'id': o.read_id, 't': o.text}}) END FROM k JOIN o ON o.crop_id = k.crop_id AND o.rn = k.rn + 1)
+SELECT crop_id, x.id AS read_id, x.t AS text FROM (SELECT crop_id, unnest(arg_max(kept, rn)) AS x FROM k GROUP BY crop_id)""")
 over("v_det", "k06_union", lambda d: d.where("camera < 3").select("det_id", "camera").unionByName(d.where("camera > 6").select("det_id", "score"), allowMissingColumns=True), "SELECT det_id, camera, NULL::DOUBLE AS score FROM v_det WHERE camera < 3 UNION ALL SELECT det_id, NULL, score FROM v_det WHERE camera > 6")
 over("v_reads", "k07_distinct_plates", lambda d: d.select(p.clean_plate("text").alias("plate")).distinct(), f"SELECT DISTINCT {_CL} AS plate FROM v_reads")
 over("v_det", "k08_unmatched", lambda d: detections.unmatched(d, d.where("class_id = 2").select("camera", "frame").distinct(), ["camera", "frame"]).select("det_id"), "SELECT det_id FROM v_det d WHERE NOT EXISTS (SELECT 1 FROM v_det e WHERE e.class_id = 2 AND e.camera = d.camera AND e.frame = d.frame)")
 
 # --- duplicates, tracking, identity --------------------------------------------------------
 over("v_reads", "j12_dup_pairs", lambda d: reads.dup_pairs(d, ["vehicle"], 0.75).select("a", "b", r4("similarity").alias("similarity")), _SIM + " SELECT a, b, round(similarity, 4) AS similarity FROM y WHERE similarity >= 0.75")
-over("v_reads", "t3_dup_groups", lambda d: reads.dup_groups(reads.dup_pairs(d, ["vehicle"], 0.75)), _SIM.replace("WITH r", "WITH RECURSIVE r") + """, e AS (SELECT a, b FROM y WHERE similarity >= 0.8 UNION SELECT b, a FROM y WHERE similarity >= 0.8), c(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node WHERE e.b > c.root)
-SELECT node, min(root) AS root FROM c GROUP BY node""")
-over("v_reads", "t4_dedup_plates", lambda d: reads.dedup_plates(d, ["vehicle"]).select("read_id", "members"))
+_GROUPS = _SIM.replace("WITH r", "WITH RECURSIVE r") + """, e AS (SELECT a, b FROM y WHERE similarity >= 0.8 UNION SELECT b, a FROM y WHERE similarity >= 0.8), c(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node WHERE e.b > c.root),
+g AS (SELECT node, min(root) AS root FROM c GROUP BY node)"""
+over("v_reads", "t3_dup_groups", lambda d: reads.dup_classes(d, ["vehicle"]), _GROUPS + " SELECT node, root FROM g")
+over("v_reads", "t4_dedup_plates", lambda d: reads.dedup_plates(d, ["vehicle"]).select("read_id", "members"), _GROUPS + f""", h AS (SELECT v.*, coalesce(root, read_id) AS grp, {_QUALITY} AS quality FROM v_reads v LEFT JOIN g ON node = read_id)
+SELECT arg_max(read_id, (quality, -read_id)) AS read_id, count(*) AS members FROM h GROUP BY grp""")
 
 
 def sequences(spark, d) -> DataFrame:
@@ -401,7 +420,7 @@ add("a18_tracking_throughput", "SELECT 250.0::DOUBLE * count(*) / 1000 AS second
 _IMG = "WITH m AS (SELECT image_id, list_avg(pixels) AS mean, sqrt(list_avg([(x - list_avg(pixels)) ** 2 FOR x IN pixels])) AS std, list_sort(pixels)[floor((len(pixels) - 1) * 0.1)::INT + 1] AS p10 FROM v_img)"
 over("v_img", "i1_pixel_stats", lambda d: images.pixel_stats(d).select("image_id", r4("mean").alias("mean"), r4("std").alias("std"), "p10"), _IMG + " SELECT image_id, round(mean, 4) AS mean, round(std, 4) AS std, p10 FROM m")
 over("v_img", "i2_is_night", lambda d: images.pixel_stats(d).select("image_id", images.is_night("offline").alias("night"), images.is_night("batch").alias("batch")), _IMG + " SELECT image_id, mean < 85 OR p10 < 30 AS night, mean < 100 AS batch FROM m")
-over("v_img", "i3_plate_quality", lambda d: images.pixel_stats(d).withColumns({"sharpness": F.lit(50.0), "width": F.lit(8), "height": F.lit(8)}).select("image_id", r4(images.plate_quality()).alias("reader"), r4(images.plate_quality("stored")).alias("stored")), _IMG + " SELECT image_id, round(least(1.0, greatest(0.0, 0.4 * 0.5 + 0.3 * std / 80 + 0.2 * (1 - abs((mean - 127.5) / 127.5)) + 0.1 * 64 / 10000)), 4)::DOUBLE AS reader, round(least(1.0, greatest(0.0, 0.4 * 0.1 + 0.3 * std / 80 + 0.15 * 64 / 10000)), 4)::DOUBLE AS stored FROM m")
+over("v_img", "i3_plate_quality", lambda d: images.pixel_stats(d).withColumns({"sharpness": F.lit(50.0), "width": F.lit(8), "height": F.lit(8)}).select("image_id", r4(images.plate_quality()).alias("reader"), r4(images.plate_quality("stored", noise=F.col("image_id") % 150)).alias("stored")), _IMG + " SELECT image_id, round(least(1.0, greatest(0.0, 0.4 * 0.5 + 0.3 * std / 80 + 0.2 * (1 - abs((mean - 127.5) / 127.5)) + 0.1 * 64 / 10000)), 4)::DOUBLE AS reader, round(least(1.0, greatest(0.0, 0.4 * 0.1 + 0.3 * std / 80 + 0.15 * 64 / 10000 + 0.05 * (1 - least(1, (image_id % 150) / 100)))), 4)::DOUBLE AS stored FROM m")
 over("v_img", "s15_route_params", lambda d: images.pixel_stats(d).withColumn("sharpness", F.col("image_id") % 160).select("image_id", images.route_params().alias("route")), _IMG + " SELECT image_id, CASE WHEN mean < 100 AND std < 25 THEN 'night_contrast' WHEN mean < 100 THEN 'night' WHEN std < 25 THEN 'contrast' WHEN image_id % 160 < 80 THEN 'sharpen' ELSE 'plain' END AS route FROM m")
 
 
