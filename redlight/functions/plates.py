@@ -343,4 +343,24 @@ def valid_length(col, most: int = 8) -> Column:
     return F.length(F.regexp_replace(_c(col), r"[^\p{L}0-9]", "")) <= most
 
 
-SQL_FUNCTIONS = {f.__name__: f for f in (clean_plate, complies_7, format_7, valid_format, valid_plate, pattern_key, pattern_similarity, pattern_coherence, split_correct, region_normalise, plate_similarity, fold_confusable, position_correct, six_g)}
+#: Functions of texts alone that SQL can write down, by their number of arguments (it cannot
+#: write lambdas, and its parser does not take the length of ``region_normalise``).
+SQL_FUNCTIONS = {
+    1: (clean_plate, complies_7, format_7, valid_format, valid_plate, pattern_key, pattern_coherence, format_break, split_correct, detection_score, format_score, image_format_score, fold_confusable, normal_plate, position_correct, six_g, region_of, valid_length),
+    2: (pattern_similarity,),
+}
+
+
+def register(spark, prefix: str = "") -> list[str]:
+    """Publish the text functions as temporary SQL functions of the session; returns their
+    names. Each is defined by its expression's own SQL, so Catalyst sees through it."""
+    names = []
+    for n, functions in SQL_FUNCTIONS.items():
+        args = ["a", "b"][:n]
+        rows = spark.createDataFrame([], ", ".join(f"{x} string" for x in args))
+        for f in functions:
+            body = rows.select(f(*map(F.col, args)).alias("r"))._jdf.queryExecution().analyzed().expressions().head().sql().removesuffix(" AS r")
+            name = f"{prefix}{f.__name__}"
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{x} STRING' for x in args)}) RETURN {body}")
+            names.append(name)
+    return names

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, partitions
+
 
 def standardise(df: DataFrame, id_col: str = "vec_id", col: str = "features") -> DataFrame:
     """Z-scores per dimension as rows ``id, dim, z``; a dimension without spread gives 0."""
@@ -14,24 +17,75 @@ def standardise(df: DataFrame, id_col: str = "vec_id", col: str = "features") ->
     return long.join(stats, "dim").select(id_col, "dim", F.coalesce(F.try_divide(F.col("v") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z"))
 
 
-def vehicle_ids(df: DataFrame, k: int = 10, seed: int = 42, id_col: str = "vec_id", col: str = "features", order: str = "t") -> DataFrame:
-    """``vehicle_id`` V1, V2, ... by first appearance: k-means on z-scores. Rows without
-    features get ids of their own after these; so does every row if at most one has any."""
+def ward_cut(points: np.ndarray, sizes: np.ndarray, share: float = 0.7) -> np.ndarray:
+    """Flat clusters of a Ward tree over weighted points, cut at ``share`` of its height."""
+    n = len(points)
+    sizes, group = sizes.astype(float).copy(), [[i] for i in range(n)]
+    d = ((points[:, None] - points[None]) ** 2).sum(2) * (2 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
+    np.fill_diagonal(d, np.inf)
+    alive, merges = np.ones(n, bool), []
+    for _ in range(n - 1):
+        i, j = divmod(int(d.argmin()), n)
+        i, j = min(i, j), max(i, j)
+        merges.append((d[i, j], list(group[i]), list(group[j])))
+        t = sizes[i] + sizes[j] + sizes
+        new = ((sizes[i] + sizes) * d[i] + (sizes[j] + sizes) * d[j] - sizes * d[i, j]) / t
+        alive[j] = False
+        sizes[i] += sizes[j]
+        group[i] += group[j]
+        new[~alive] = np.inf
+        new[i] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
+    label = np.arange(n)
+    height = max((m[0] for m in merges), default=0.0)
+    for h, a, b in merges:
+        if np.sqrt(h) <= share * np.sqrt(height):
+            label[a + b] = label[a[0]]
+    return np.unique(label, return_inverse=True)[1]
+
+
+def numbered(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
+    """Rows with a running number from ``after`` + 1 on: ranges of ``order`` are numbered each
+    on its own, and go on from the totals of the ranges before."""
+    spark = df.sparkSession
+    rows = materialize(df.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(totals, "_range").withColumn(name, F.col("_base") + after + F.row_number().over(Window.partitionBy("_range").orderBy(*order))).drop("_range", "_base")
+
+
+def vehicle_ids(df: DataFrame, micro: int = 256, share: float = 0.7, seed: int = 42, id_col: str = "vec_id", col: str = "features", order: str = "t") -> DataFrame:
+    """``vehicle_id`` V1, V2, ... by first appearance: a Ward tree over z-scores, cut at
+    ``share`` of its height. Rows without features get ids of their own after these; so does
+    every row if at most one has any.
+
+    A Ward tree of all rows is quadratic. Up to ``micro`` rows it is built over the rows
+    themselves; beyond, k-means first makes ``micro`` small clusters, and the tree is built
+    over their weighted centres, which are all that reaches the driver.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    have = df.where(F.col(col).isNotNull())
-    n = have.count()
+    keys = [order, id_col]
+    have, none = df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull())
+    named = lambda rows, after=0: numbered(rows, keys, "vehicle_id", after).withColumn("vehicle_id", F.concat(F.lit("V"), F.col("vehicle_id").cast("string")))
+    n = have.limit(micro + 1).count()
     if n <= 1:
-        alone = df.withColumn("_first", F.struct(F.col(order), F.col(id_col)))
+        return named(df)
+    rows = have.withColumn("_raw", array_to_vector(F.col(col).cast("array<double>")))
+    scaled = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True).fit(rows).transform(rows)
+    if n <= micro:
+        found = scaled.select(id_col, vector_to_array("_z").alias("z")).orderBy(id_col).toPandas()
+        points, sizes, made = np.stack(found["z"]), np.ones(n), scaled.join(scaled.sparkSession.createDataFrame(list(zip(found[id_col].tolist(), range(n))), f"{id_col} {df.schema[id_col].dataType.simpleString()}, _cluster int"), id_col)
     else:
-        rows = have.withColumn("_raw", array_to_vector(F.col(col).cast("array<double>")))
-        scaled = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True).fit(rows).transform(rows)
-        made = KMeans(k=min(n, k), seed=seed, featuresCol="_z", predictionCol="_cluster").fit(scaled).transform(scaled)
-        first = made.groupBy("_cluster").agg(F.min(F.struct(F.col(order), F.col(id_col))).alias("_first"))
-        alone = made.join(first, "_cluster").select(*df.columns, "_first").unionByName(df.where(F.col(col).isNull()).withColumn("_first", F.struct(F.col(order), F.col(id_col))))
-    # Ids are counted over groups, not rows.
-    groups = alone.select("_first", F.col(col).isNull().alias("_none")).groupBy("_first").agg(F.min("_none").alias("_none"))
-    named = groups.withColumn("vehicle_id", F.concat(F.lit("V"), F.row_number().over(Window.orderBy("_none", "_first")).cast("string"))).drop("_none")
-    return alone.join(named, "_first").drop("_first")
+        model = KMeans(k=micro, seed=seed, featuresCol="_z", predictionCol="_cluster").fit(scaled)
+        made, points = model.transform(scaled), np.array(model.clusterCenters())
+        count = {r["_cluster"]: r["count"] for r in made.groupBy("_cluster").count().collect()}
+        sizes = np.array([max(count.get(i, 0), 1e-9) for i in range(len(points))])
+    table = F.array(*(F.lit(int(x)) for x in ward_cut(points, sizes, share)))
+    made = made.withColumn("_cluster", F.get(table, F.col("_cluster"))).select(*df.columns, "_cluster")
+    # At most ``micro`` groups.
+    first = made.groupBy("_cluster").agg(F.min(F.struct(*keys)).alias("_first"))
+    ids = materialize(first.withColumn("vehicle_id", F.concat(F.lit("V"), F.row_number().over(Window.orderBy("_first")).cast("string"))).drop("_first"), "clusters")
+    return made.join(ids, "_cluster").drop("_cluster").unionByName(named(none, ids.count()))

@@ -78,33 +78,51 @@ def route_params(contrast: str = "std", blur: str = "sharpness", mean: str = "me
     return F.when(F.col(mean) < 100, F.when(F.col(contrast) < 25, "night_contrast").otherwise("night")).when(F.col(contrast) < 25, "contrast").when(F.col(blur) < 80, "sharpen").otherwise("plain")
 
 
+def _histograms(r, bins: int) -> list[np.ndarray]:
+    x = np.frombuffer(r.data, np.uint8).reshape(r.height * r.width, r.nChannels)
+    return [np.histogram(x[:, min(c, r.nChannels - 1)], bins, (0, 256))[0].astype(float) for c in range(3)]
+
+
 def histogram_features(images: DataFrame, key: str = "image_id", time_col: str = "t", bins: int = 16) -> DataFrame:
     """Three histograms of ``bins`` bins, each scaled from 0 to 1, and time / 100."""
 
+    def scaled(h: np.ndarray) -> np.ndarray:
+        spread = h.max() - h.min()
+        return (h - h.min()) / spread if spread else np.zeros(bins)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                x = np.frombuffer(r.data, np.uint8).reshape(r.height * r.width, r.nChannels)
-                parts = []
-                for c in range(3):
-                    h = np.histogram(x[:, min(c, r.nChannels - 1)], bins, (0, 256))[0].astype(float)
-                    spread = h.max() - h.min()
-                    parts.append((h - h.min()) / spread if spread else np.zeros(bins))
-                out.append((getattr(r, key), [*np.concatenate(parts), getattr(r, time_col) / 100.0]))
+            out = [(getattr(r, key), [*np.concatenate([scaled(h) for h in _histograms(r, bins)]), getattr(r, time_col) / 100.0]) for r in b.itertuples(index=False)]
             yield pd.DataFrame(out, columns=[key, "features"])
 
     kind = images.schema[key].dataType.simpleString()
     return images.select(key, time_col, "height", "width", "nChannels", "data").mapInPandas(work, f"{key} {kind}, features array<double>")
 
 
-def correlation(a: str, b: str) -> Column:
-    """Correlation of two arrays, negative values and no spread count as 0."""
+def channel_histograms(images: DataFrame, key: str = "image_id", bins: int = 32) -> DataFrame:
+    """``histograms``: one array of ``bins`` counts for each of the three channels."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(getattr(r, key), [h.tolist() for h in _histograms(r, bins)]) for r in b.itertuples(index=False)], columns=[key, "histograms"])
+
+    kind = images.schema[key].dataType.simpleString()
+    return images.select(key, "height", "width", "nChannels", "data").mapInPandas(work, f"{key} {kind}, histograms array<array<double>>")
+
+
+def colour_similarity(a: str, b: str) -> Column:
+    """Mean correlation of the channels' histograms (see :func:`channel_histograms`)."""
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    return (correlation(at(a, 0), at(b, 0)) + correlation(at(a, 1), at(b, 1)) + correlation(at(a, 2), at(b, 2))) / 3
+
+
+def correlation(a, b) -> Column:
+    """Correlation of two arrays; negative values count as 0, and an array without spread as 1."""
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
     dot = lambda x, y, mx, my: F.aggregate(F.zip_with(x, y, lambda u, v: (u - mx) * (v - my)), F.lit(0.0), lambda s, z: s + z)
     ma, mb = mean(a), mean(b)
     r = F.try_divide(dot(a, b, ma, mb), F.sqrt(dot(a, a, ma, ma) * dot(b, b, mb, mb)))
-    return F.greatest(F.lit(0.0), F.coalesce(r, F.lit(0.0)))
+    return F.greatest(F.lit(0.0), F.coalesce(r, F.lit(1.0)))
 
 
 def image_similarity(colour: Column, structure: Column, keypoints: Column | None = None) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, partitions
+
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -44,16 +48,17 @@ def hit_streaks(df: DataFrame, key: str = "car_id") -> DataFrame:
 def ema_rate(df: DataFrame, key: str, order: str, weight: float = 0.1) -> DataFrame:
     """One row per key: r = (1 - weight) r + weight / dt, from 0, over its ordered steps."""
     w = Window.partitionBy(key).orderBy(order)
-    steps = df.withColumn("dt", F.col(order) - F.lag(order).over(w)).where("dt > 0")
-    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "dt"))).alias("s"))
-    return listed.select(key, F.aggregate("s", F.lit(0.0), lambda r, x: r * (1 - weight) + weight / x["dt"]).alias("rate"))
+    steps = df.withColumn("_dt", F.col(order) - F.lag(order).over(w)).where("_dt > 0")
+    # The recurrence is a weighted sum: a step counts less by 1 - weight for each later one.
+    later = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1
+    return steps.withColumn("_later", later).groupBy(key).agg(F.sum(weight * F.pow(F.lit(1 - weight), F.col("_later")) / F.col("_dt")).alias("rate"))
 
 
 # --- tracker -------------------------------------------------------------------------------
 # Simple online tracking (arXiv 1602.00763): constant-velocity Kalman filter over
-# (centre, area, ratio), assignment by overlap. The noise of the filter.
+# (centre, area, ratio), assignment by overlap. The noise of the filter. The
+# order of steps within a frame is required, as results depend on it.
 _F = np.eye(7) + np.diag([1.0, 1, 1], 4)[:7, :7]
-_H = np.eye(4, 7)
 _R = np.diag([1.0, 1, 10, 10])
 _P = np.diag([10.0, 10, 10, 10, 1e4, 1e4, 1e4])
 _Q = np.diag([1.0, 1, 1, 1, 0.01, 0.01, 0.0001])
@@ -91,14 +96,17 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _z(b: np.ndarray) -> np.ndarray:
-    w, h = b[2] - b[0], b[3] - b[1]
-    return np.array([b[0] + w / 2, b[1] + h / 2, w * h, w / h if h else 0.0])
+    """Centre, area and ratio of boxes."""
+    w, h = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
+    ratio = np.divide(w, h, out=np.zeros_like(w), where=h != 0)
+    return np.stack([b[:, 0] + w / 2, b[:, 1] + h / 2, w * h, ratio], 1)
 
 
 def _box(x: np.ndarray) -> np.ndarray:
-    w = np.sqrt(max(x[2] * x[3], 0.0))
-    h = x[2] / w if w else np.nan
-    return np.array([x[0] - w / 2, x[1] - h / 2, x[0] + w / 2, x[1] + h / 2])
+    """Boxes of states; NaN where a state has no width."""
+    w = np.sqrt(np.maximum(x[:, 2] * x[:, 3], 0.0))
+    h = np.divide(x[:, 2], w, out=np.full_like(w, np.nan), where=w != 0)
+    return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2], 1)
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,67 +128,137 @@ def associate(dets: np.ndarray, tracks: np.ndarray, least: float) -> list[tuple[
 
 
 class Tracker:
-    """State of one sequence; :meth:`step` takes every frame, also empty ones."""
+    """State of one sequence, all its tracks in arrays; :meth:`step` takes every frame, also
+    empty ones. Tracks are told newest first, as the order of results is part of them."""
 
     def __init__(self, max_age: int = 1, min_hits: int = 3, iou: float = 0.3):
         self.max_age, self.min_hits, self.iou = max_age, min_hits, iou
-        self.frame, self.made, self.tracks = 0, 0, []
+        self.frame, self.made = 0, 0
+        self.x, self.p = np.zeros((0, 7)), np.zeros((0, 7, 7))
+        self.id, self.miss, self.streak = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _keep(self, ok: np.ndarray) -> None:
+        for name in ("x", "p", "id", "miss", "streak"):
+            setattr(self, name, getattr(self, name)[ok])
 
     def step(self, dets: np.ndarray) -> list[tuple]:
         self.frame += 1
-        alive = []
-        for t in self.tracks:
-            if t["x"][2] + t["x"][6] <= 0:
-                t["x"][6] = 0.0
-            t["x"], t["p"] = _F @ t["x"], _F @ t["p"] @ _F.T + _Q
-            if t["miss"] > 0:
-                t["streak"] = 0
-            t["miss"] += 1
-            t["b"] = _box(t["x"])
-            if not np.isnan(t["b"]).any():
-                alive.append(t)
-        self.tracks = alive
-        pairs = associate(dets, np.array([t["b"] for t in alive]).reshape(-1, 4), self.iou)
-        for d, i in pairs:
-            t = alive[i]
-            gain = t["p"] @ _H.T @ np.linalg.inv(_H @ t["p"] @ _H.T + _R)
-            t["x"] = t["x"] + gain @ (_z(dets[d]) - _H @ t["x"])
-            t["p"] = (np.eye(7) - gain @ _H) @ t["p"]
-            t["miss"], t["streak"] = 0, t["streak"] + 1
-        for d in sorted(set(range(len(dets))) - {d for d, _ in pairs}):
-            self.made += 1
-            self.tracks.append({"id": self.made, "x": np.concatenate([_z(dets[d]), np.zeros(3)]), "p": _P.copy(), "miss": 0, "streak": 0})
-        out = [(self.frame, t["id"], *_box(t["x"])) for t in reversed(self.tracks) if t["miss"] < 1 and (t["streak"] >= self.min_hits or self.frame <= self.min_hits)]
-        self.tracks = [t for t in self.tracks if t["miss"] <= self.max_age]
+        if len(self.id):
+            self.x[self.x[:, 2] + self.x[:, 6] <= 0, 6] = 0.0
+            self.x, self.p = self.x @ _F.T, _F @ self.p @ _F.T + _Q
+            self.streak[self.miss > 0] = 0
+            self.miss += 1
+            ok = ~np.isnan(_box(self.x)).any(1)
+            if not ok.all():
+                self._keep(ok)
+        pairs = associate(dets, _box(self.x), self.iou)
+        if pairs:
+            d, i = (np.array(v) for v in zip(*pairs))
+            p = self.p[i]
+            gain = p[:, :, :4] @ np.linalg.inv(p[:, :4, :4] + _R)
+            self.x[i] += (gain @ (_z(dets[d]) - self.x[i, :4])[:, :, None])[:, :, 0]
+            self.p[i] = p - gain @ p[:, :4, :]
+            self.miss[i] = 0
+            self.streak[i] += 1
+        new = np.setdiff1d(np.arange(len(dets)), [d for d, _ in pairs])
+        if len(new):
+            n = len(new)
+            self.x = np.concatenate([self.x, np.hstack([_z(dets[new]), np.zeros((n, 3))])])
+            self.p = np.concatenate([self.p, np.repeat(_P[None], n, 0)])
+            self.id = np.concatenate([self.id, np.arange(self.made + 1, self.made + n + 1)])
+            self.miss, self.streak = (np.concatenate([v, np.zeros(n, np.int64)]) for v in (self.miss, self.streak))
+            self.made += n
+        told = np.flatnonzero((self.miss < 1) & ((self.streak >= self.min_hits) | (self.frame <= self.min_hits)))[::-1]
+        out = [(self.frame, int(i), *b) for i, b in zip(self.id[told], _box(self.x[told]).tolist())]
+        if (self.miss > self.max_age).any():
+            self._keep(self.miss <= self.max_age)
         return out
 
 
-TRACKS = "track_id long, x1 double, y1 double, x2 double, y2 double"
+#: Frames of one key that are searched for gaps in one task.
+FRAME_BLOCK = 1 << 16
+
+
+def alive_parts(dets: DataFrame, key: str, max_age: int) -> DataFrame:
+    """``_k, _f, _part`` for every frame of every sequence: the first frame of the stretch that
+    it lies in. Between stretches more than ``max_age`` frames have no detection, so no track
+    lives through. Frames are searched in blocks; what blocks need of each other is one row
+    per block."""
+    frames = materialize(dets.select(F.col(key).alias("_k"), F.col("frame").alias("_f"), F.floor(F.col("frame") / FRAME_BLOCK).alias("_b")).distinct(), "frames")
+    inside, over = Window.partitionBy("_k", "_b").orderBy("_f"), Window.partitionBy("_k").orderBy("_b")
+    blocks = frames.groupBy("_k", "_b").agg(F.max("_f").alias("_hi")).select(F.col("_k").alias("_bk"), F.col("_b").alias("_bb"), F.lag("_hi").over(over).alias("_before"))
+    same = F.col("_k").eqNullSafe(F.col("_bk")) & (F.col("_b") == F.col("_bb"))
+    rows = frames.withColumn("_last", F.lag("_f").over(inside)).join(blocks, same).withColumn("_last", F.coalesce("_last", "_before"))
+    new = F.when(F.col("_last").isNull() | (F.col("_f") - F.col("_last") > max_age + 1), F.col("_f"))
+    rows = materialize(rows.select("_k", "_b", "_f", F.max(new).over(inside).alias("_part")), "frames")
+    starts = rows.groupBy("_k", "_b").agg(F.max("_part").alias("_part")).select(F.col("_k").alias("_bk"), F.col("_b").alias("_bb"), F.max("_part").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    return rows.join(starts, same).select("_k", "_f", F.coalesce("_part", "_open").alias("_part"))
 
 
 def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3, iou: float = 0.3, order: str = "det_id") -> DataFrame:
-    """``key, frame, track_id`` and the filtered boxes. Sequences run in parallel; within one,
-    frames are stepped in order, and frames without a detection are stepped empty. Rows of a
-    frame are taken in the order of ``order``, so input partitions do not matter."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        name, tracker, rows = part[key].iloc[0], Tracker(max_age, min_hits, iou), []
-        part = part.sort_values(["frame", order])
-        boxes = {f: g[list(BOX)].to_numpy(float) for f, g in part.groupby("frame")}
-        last = 0
-        for f in sorted(boxes):
-            # After ``max_age`` + 1 empty frames no track is left: skip the rest, keep the count.
-            for _ in range(min(f - last - 1, max_age + 1)):
+    """``key, frame, track_id`` and the filtered boxes. Within a sequence frames are stepped in
+    order, frames without a detection too. Rows of a frame are taken in the order of ``order``,
+    so input partitions do not matter.
+
+    Sequences are cut where no track lives through, and the parts run in parallel; ids are
+    numbered on by the number of tracks that earlier parts made. A task streams over its parts
+    and holds one frame and the tracks that live in it, however long a sequence is.
+    """
+    names = [key, "_part", "frame", order, *BOX]
+    types = {f.name: f.dataType.simpleString() for f in dets.schema.fields}
+    parts = alive_parts(dets.where("frame >= 1"), key, max_age)
+    rows = dets.where("frame >= 1").join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("frame") == F.col("_f"))).select(*names)
+    rows = rows.repartition(partitions(dets.sparkSession), key, "_part").sortWithinPartitions(key, "_part", "frame", order)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tracker, held, out = None, None, [], []
+
+        def batch():
+            cols = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[key, "_part", "frame", "track_id", *BOX])
+
+        def close():
+            """Step the frame that is complete."""
+            boxes = np.array(held, float)
+            for _ in range(min(at[2] - tracker.frame - 1, max_age + 1)):
                 tracker.step(np.zeros((0, 4)))
-            tracker.frame = f - 1
-            rows += tracker.step(boxes[f])
-            last = f
-        out = pd.DataFrame(rows, columns=["frame", "track_id", *BOX])
-        out.insert(0, key, name)
-        return out
-
-    kind = dets.schema[key].dataType.simpleString()
-    return dets.select(key, "frame", order, *BOX).where("frame >= 1").groupBy(key).applyInPandas(work, f"{key} {kind}, frame long, {TRACKS}")
+            tracker.frame = at[2] - 1
+            out.extend((at[0], at[1], *r) for r in tracker.step(boxes))
+
+        def end():
+            out.append((at[0], at[1], None, tracker.made, None, None, None, None))
+
+        kinds = None
+        for b in batches:
+            kinds = kinds or [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            cols = [b.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7)]
+            for k, part, f, *box in zip(*cols):
+                now = (k, part, f)
+                if now != at:
+                    if held:
+                        close()
+                        held = []
+                    if at is None or now[:2] != at[:2]:
+                        if at is not None:
+                            end()
+                        tracker = Tracker(max_age, min_hits, iou)
+                        tracker.frame = f - 1
+                    at = now
+                held.append(box)
+            if len(out) >= 20_000:
+                yield batch()
+                out = []
+        if held:
+            close()
+            end()
+        if out:
+            yield batch()
+
+    made = materialize(rows.mapInArrow(work, f"{key} {types[key]}, _part long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double"), "tracks")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = made.where("frame is null").select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("track_id").over(before), F.lit(0)).alias("_made"))
+    told = made.where("frame is not null").join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return told.select(key, "frame", (F.col("track_id") + F.col("_made")).alias("track_id"), *BOX)
 
 
 def tracking_throughput(df: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import plates as p
 from ..operators import config, detections, identity, images, indicators, reads, tracks
 from ..sources import io
+from ..storage import new_path
+from ..streaming import live
 from . import sqltext as s
 from .views import view, with_views
 
@@ -431,21 +433,209 @@ def image_rows(spark, d) -> DataFrame:
     return px.select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"), (F.col("image_id") / 10).alias("t"))
 
 
-add("i1_image_stats", _IMG + " SELECT image_id, round(mean, 4) AS mean, round(std, 4) AS std FROM m")(lambda spark, d: images.image_stats(image_rows(spark, d)).select("image_id", r4("mean").alias("mean"), r4("std").alias("std")))
-add("i4_histogram_features", "SELECT image_id, 49 AS n, round(image_id::DOUBLE / 1000, 4) AS t FROM v_img")(lambda spark, d: images.histogram_features(image_rows(spark, d)).select("image_id", F.size("features").alias("n"), r4(F.element_at("features", -1)).alias("t")))
+#: Pixel (row, column) of an 8 x 8 picture, rows and columns mirrored at the edges; lists count from 1.
+_AT = "pixels[(7 - abs(7 - abs(r + {}))) * 8 + 7 - abs(7 - abs(c + {})) + 1]"
+_PX = f"""WITH g AS (SELECT image_id, pixels, unnest(range(8)) AS r FROM v_img), h AS (SELECT image_id, pixels, r, unnest(range(8)) AS c FROM g),
+k AS (SELECT image_id, {_AT.format(-1, 0)} + {_AT.format(1, 0)} + {_AT.format(0, -1)} + {_AT.format(0, 1)} - 4 * {_AT.format(0, 0)} AS lap, {_AT.format(1, 1)} + {_AT.format(-1, -1)} - {_AT.format(1, -1)} - {_AT.format(-1, 1)} AS mixed FROM h),
+m AS (SELECT image_id, pixels, list_avg(pixels) AS mean, list_sort(pixels) AS o FROM v_img)"""
+# Variances are sums of powers of two: off the ties of rounding.
+add("i1_image_stats", _PX + """ SELECT image_id, round(mean, 4) AS mean, round(sqrt(list_avg([(x - mean) ** 2 FOR x IN pixels])), 4) AS std, round(o[7] + 0.3::DOUBLE * (o[8] - o[7]), 4) AS p10, round(var_pop(lap) + 0.00001::DOUBLE, 4) AS sharpness, round(stddev_pop(mixed), 4) AS noise
+FROM m JOIN k USING (image_id) GROUP BY image_id, mean, pixels, o""")(lambda spark, d: images.image_stats(image_rows(spark, d)).select("image_id", *(r4(c).alias(c) for c in ("mean", "std", "p10", "noise")), r4(F.col("sharpness") + 0.00001).alias("sharpness")))
+add("i4_histogram_features", """WITH b AS (SELECT image_id, [len(list_filter(pixels, lambda x: floor(x / 16) = i)) FOR i IN range(16)] AS h FROM v_img),
+s AS (SELECT image_id, [coalesce((x - list_min(h))::DOUBLE / nullif(list_max(h) - list_min(h), 0), 0) FOR x IN h] AS h FROM b), f AS (SELECT image_id, list_concat(h, h, h, [image_id::DOUBLE / 1000]) AS f FROM s)
+SELECT image_id, generate_subscripts(f, 1)::INT AS at, round(unnest(f), 4) AS value FROM f""")(lambda spark, d: images.histogram_features(image_rows(spark, d)).select("image_id", F.posexplode("features").alias("at", "value")).select("image_id", (F.col("at") + 1).alias("at"), r4("value").alias("value")))
 
 
-@add("i5_image_similarity", """WITH a AS (SELECT a.image_id, a.pixels AS p, b.pixels AS q FROM v_img a JOIN v_img b ON b.image_id = a.image_id + 1), k AS (SELECT image_id, list_avg(p) AS mp, list_avg(q) AS mq, p, q FROM a),
-c AS (SELECT image_id, greatest(0, coalesce(list_sum([(p[i] - mp) * (q[i] - mq) FOR i IN range(1, 65)]) / nullif(sqrt(list_sum([(x - mp) ** 2 FOR x IN p]) * list_sum([(x - mq) ** 2 FOR x IN q])), 0), 0)) AS r, 1 - least(1, list_avg([(p[i] - q[i]) ** 2 FOR i IN range(1, 65)]) / 10000) AS t FROM k)
+@add("i5_image_similarity", """WITH v AS (SELECT image_id, pixels, [len(list_filter(pixels, lambda x: floor(x / 8) = i))::DOUBLE FOR i IN range(32)] AS h FROM v_img),
+a AS (SELECT a.image_id, a.pixels AS x, b.pixels AS y, a.h AS p, b.h AS q FROM v a JOIN v b ON b.image_id = a.image_id + 1), k AS (SELECT *, list_avg(p) AS mp, list_avg(q) AS mq FROM a),
+c AS (SELECT image_id, greatest(0, coalesce(list_sum([(p[i] - mp) * (q[i] - mq) FOR i IN range(1, 33)]) / nullif(sqrt(list_sum([(x - mp) ** 2 FOR x IN p]) * list_sum([(x - mq) ** 2 FOR x IN q])), 0), 1)) AS r, 1 - least(1, list_avg([(x[i] - y[i]) ** 2 FOR i IN range(1, 65)]) / 10000) AS t FROM k)
 SELECT image_id, round(least(1, CASE WHEN r >= 0.85 AND t >= 0.7 THEN greatest(0.45 * r + 0.35 * t, 0.85) ELSE 0.45 * r + 0.35 * t END), 4) AS similarity FROM c""")
 def i5(spark, d):
-    px = view(spark, d, "v_img")
-    both = px.select("image_id", F.col("pixels").alias("a")).join(px.select((F.col("image_id") - 1).alias("image_id"), F.col("pixels").alias("b")), "image_id")
-    return both.select("image_id", r4(images.image_similarity(images.correlation("a", "b"), images.structure_similarity("a", "b"))).alias("similarity"))
+    px = view(spark, d, "v_img").join(images.channel_histograms(image_rows(spark, d)), "image_id")
+    side = lambda k, at: px.select((F.col("image_id") - at).alias("image_id"), F.col("pixels").alias(f"{k}_pixels"), F.col("histograms").alias(f"{k}_hist"))
+    both = side("a", 0).join(side("b", 1), "image_id")
+    return both.select("image_id", r4(images.image_similarity(images.colour_similarity("a_hist", "b_hist"), images.structure_similarity("a_pixels", "b_pixels"))).alias("similarity"))
+
+
+# --- files: written by the engine's sinks and read back --------------------------------------
+def _records(spark, d) -> DataFrame:
+    return view(spark, d, "v_inf").select("inf_id", *(F.col(c) if c in ("placa", "fecha", "hora", "ubicacion") else F.lit(None).cast("string").alias(c) for c in _TEXTS), F.lit(None).cast("boolean").alias("modo_nocturno"))
+
+
+_TEXTS = [c.split(" ")[0] for c in io.INFRACTION.split(", ")][:-1]
+_REC = "SELECT placa, fecha, hora, ubicacion FROM v_inf"
+
+
+def _json_folder(rows: DataFrame, at: str) -> str:
+    """One text per row into a file of its own."""
+    rows.select("part", "value").repartition("part").write.partitionBy("part").text(at)
+    return at
+
+
+@add("s01_read_infractions", _REC)
+def s01(spark, d):
+    """JSON arrays of up to a thousand records a file."""
+    rows = _records(spark, d).groupBy(F.floor(F.col("inf_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*_TEXTS))).alias("value"))
+    at = _json_folder(rows, new_path(spark, "log"))
+    return io.read_infractions(spark, f"{at}/*").select("placa", "fecha", "hora", "ubicacion")
+
+
+@add("s02_camera_config", "SELECT a.camera, avenue, green, red, time_slot, len(poly) AS vertices, list_sum([p.x FOR p IN poly])::BIGINT AS xs FROM (SELECT camera::VARCHAR AS camera, avenue FROM v_avenue) a JOIN (SELECT camera::VARCHAR AS camera, green, red, time_slot FROM v_preset) USING (camera) JOIN (SELECT camera::VARCHAR AS camera, poly FROM v_area) USING (camera)")
+def s02(spark, d):
+    at = new_path(spark, "config")
+    tables = {"avenue_config": ("v_avenue", F.col("avenue")), "time_presets": ("v_preset", F.struct("green", "yellow", "red", "time_slot")), "polygon_config": ("v_area", F.transform("poly", lambda p: F.array(p["x"].cast("int"), p["y"].cast("int"))))}
+    for name, (source, value) in tables.items():
+        # Cameras are few: one JSON object holds them.
+        view(spark, d, source).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("camera").cast("string"), value)))).alias("value")).write.text(f"{at}/{name}.json")
+    c = io.read_camera_config(spark, at)
+    out = c["avenue"].join(c["preset"], "camera").join(c["polygon"], "camera")
+    return out.select("camera", "avenue", F.col("green").cast("long").alias("green"), F.col("red").cast("long").alias("red"), "time_slot", F.size("poly").cast("long").alias("vertices"), F.aggregate("poly", F.lit(0).cast("long"), lambda x, p: x + p["x"]).alias("xs"))
+
+
+_MOT = "SELECT 'c' || camera AS seq, (frame + 1)::INT AS frame, -1 AS track, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, score FROM v_det"
+
+
+@add("s03_read_mot", _MOT)
+def s03(spark, d):
+    """Detection files of all cameras, as many folders as there are cameras (ten)."""
+    at = new_path(spark, "mot")
+    rows = view(spark, d, "v_det").selectExpr("camera", "frame + 1 as frame", "-1 as track", "x1", "y1", "x2 - x1 as w", "y2 - y1 as h", "score", "-1 as c8", "-1 as c9", "-1 as c10")
+    for camera in range(10):
+        rows.where(F.col("camera") == camera).drop("camera").write.csv(f"{at}/train/c{camera}/det/det.txt")
+    return io.read_mot(spark, at).select("seq", "frame", "track", "x", "y", "w", "h", "score")
+
+
+@add("s05_processing_times", "SELECT processing_time AS seconds FROM v_hist")
+def s05(spark, d):
+    rows = view(spark, d, "v_hist").groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.to_json(F.struct(F.collect_list("processing_time").alias("processing_times"))).alias("value"))
+    return io.read_processing_times(spark, _json_folder(rows, new_path(spark, "times")) + "/*")
+
+
+@add("s06_list_media", "SELECT 'clip' || image_id || CASE WHEN image_id % 3 = 0 THEN '.JPG' ELSE '.png' END AS name, 64::BIGINT AS length FROM v_img WHERE image_id % 3 < 2")
+def s06(spark, d):
+    at = new_path(spark, "media")
+    ending = F.when(F.col("image_id") % 3 == 0, ".JPG").when(F.col("image_id") % 3 == 1, ".png").otherwise(".txt")
+    io.write_media(image_rows(spark, d).select(F.concat(F.lit("clip"), F.col("image_id").cast("string"), ending).alias("name"), "data"), at)
+    return io.list_media(spark, at, ["jpg", "png"]).select("name", "length")
+
+
+@add("s07_plate_csv", "SELECT frame AS frame_nmr, car_id, x1, y2, text_score AS license_number_score FROM v_track WHERE frame % 7 > 0")
+def s07(spark, d):
+    box = F.struct(*BOX)
+    rows = view(spark, d, "v_track").select(F.col("frame").alias("frame_nmr"), "car_id", box.alias("car_bbox"), box.alias("license_plate_bbox"), F.lit(0.5).alias("license_plate_bbox_score"), F.when(F.col("frame") % 7 > 0, "AB1234").alias("license_number"), F.col("text_score").alias("license_number_score"))
+    at = new_path(spark, "plates")
+    io.write_plate_csv(rows, at)
+    return io.read_plate_csv(spark, at).select("frame_nmr", "car_id", "car_bbox.x1", "license_plate_bbox.y2", "license_number_score")
+
+
+@add("s08_write_mot", "SELECT camera AS seq, (frame + 1) || ',' || det_id || ',' || printf('%.2f,%.2f,%.2f,%.2f', x1, y1, x2 - x1, y2 - y1) || ',1,-1,-1,-1' AS value FROM v_det")
+def s08(spark, d):
+    at = new_path(spark, "tracks")
+    io.write_mot(view(spark, d, "v_det").select(F.col("camera").alias("seq"), (F.col("frame") + 1).alias("frame"), F.col("det_id").alias("track_id"), *BOX), at)
+    return spark.read.text(at).select(F.col("seq").cast("long").alias("seq"), "value")
+
+
+@add("s09_append_infractions", "SELECT inf_id, placa, fecha FROM v_inf")
+def s09(spark, d):
+    """Half of the rows, then all of them by key: no row twice."""
+    at, rows = new_path(spark, "store"), _records(spark, d)
+    io.append_infractions(rows.where("inf_id % 2 = 0"), at)
+    io.append_infractions(rows, at, ["inf_id"])
+    return spark.read.parquet(at).select("inf_id", "placa", "fecha")
+
+
+@add("s10_export", "SELECT inf_id, placa, ubicacion, 'csv' AS fmt FROM v_inf UNION ALL SELECT inf_id, placa, ubicacion, 'json' FROM v_inf")
+def s10(spark, d):
+    at, rows = new_path(spark, "export"), _records(spark, d)
+    for fmt in ("csv", "json"):
+        io.export(rows, f"{at}-{fmt}", fmt)
+    back = [spark.read.schema(rows.schema).option("header", True).csv(f"{at}-csv"), spark.read.schema(rows.schema).json(f"{at}-json")]
+    return back[0].select("inf_id", "placa", "ubicacion", F.lit("csv").alias("fmt")).unionByName(back[1].select("inf_id", "placa", "ubicacion", F.lit("json").alias("fmt")))
+
+
+@add("s11_write_report", _DAYS + " SELECT round(sum(total)::DOUBLE / count(*), 4) AS ti, round(avg(repeated * 100.0::DOUBLE / total), 4) AS ir, 3.5::DOUBLE AS tr FROM c")
+def s11(spark, d):
+    at = new_path(spark, "report")
+    report = indicators.indicator_report(view(spark, d, "v_inf"), _months(spark, d), _survey(spark, d))
+    io.write_report(indicators.patch_report_tr(report, 3.5), at)
+    value = lambda k: r4(F.get_json_object("value", f"$.indicadores.{k}.con_software.valor").cast("double")).alias(k.lower())
+    return spark.read.text(at).select(value("TI"), value("IR"), value("TR"))
+
+
+# --- streams: the tables arrive as files, in one go or in batches -----------------------------
+def arriving(spark: SparkSession, rows: DataFrame, files: int = 1, order: str | None = None) -> DataFrame:
+    """``rows`` as a stream of ``files`` files, one a batch, in ranges of ``order``."""
+    at = new_path(spark, "arriving")
+    for i in range(files):
+        part = rows if order is None else rows.where(F.col(order) == i).drop(order)
+        part.coalesce(1).write.mode("append").parquet(at)
+    schema = rows.schema if order is None else rows.drop(order).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def settled(df: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream has to say of what is there now."""
+    spark = df.sparkSession
+    at = new_path(spark, "settled")
+    start = df.writeStream.option("checkpointLocation", f"{at}-log").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        query = start.format("parquet").option("path", at).start()
+    else:
+        query = start.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(at)).start()
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _seen(spark, d) -> DataFrame:
+    return view(spark, d, "v_hist").select("event_id", F.col("plate_key").alias("plate"), "processing_time", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@add("r1_live_infractions", f"SELECT det_id, camera, frame FROM ({INFRACTIONS_SQL})")
+def r1(spark, d):
+    det = arriving(spark, view(spark, d, "v_det"))
+    return settled(live.live_infractions(det, view(spark, d, "v_preset"), view(spark, d, "v_area")).select("det_id", "camera", "frame"))
+
+
+@add("r2_first_sightings", "SELECT DISTINCT plate_key AS plate FROM v_hist")
+def r2(spark, d):
+    return settled(live.first_sightings(arriving(spark, _seen(spark, d)), late="3650 days").select("plate"))
+
+
+@add("r3_running_panel", "WITH p AS (SELECT plate_key, count(*) AS n, sum(greatest(processing_time, 0.01)) FILTER (WHERE processing_time > 0) AS s, count(*) FILTER (WHERE processing_time > 0) AS k FROM v_hist GROUP BY 1) SELECT count(*) AS ti, round(coalesce(sum(s) / sum(k), 0), 4) AS tr, round(avg(CASE WHEN n > 1 THEN 100.0::DOUBLE ELSE 0 END), 4) AS ir FROM p")
+def r3(spark, d):
+    """The panel after the last of three batches."""
+    at = new_path(spark, "panel")
+    live.write_panel(arriving(spark, _seen(spark, d).withColumn("part", (F.col("event_id") % 3).cast("int")), 3, "part"), at, f"{at}-log").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/*")
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").select("ti", r4("tr").alias("tr"), r4("ir").alias("ir"))
+
+
+@add("r6_online_tracker")
+def r6(spark, d):
+    det = arriving(spark, sequences(spark, d).select("camera", "frame", "det_id", *BOX))
+    return settled(live.online_tracker(det)).select("camera", "frame", "track_id", r4("x1").alias("x1"))
+
+
+@add("r7_append", "SELECT event_id, plate_key AS plate FROM v_hist")
+def r7(spark, d):
+    at = new_path(spark, "live-store")
+    live.append_infractions(arriving(spark, _seen(spark, d)), at, f"{at}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(at).select("event_id", "plate")
+
+
+_BATCHES = "SELECT event_id, ts, CASE WHEN event_id % 10 = 0 THEN 3 ELSE least(2, (ntile(3) OVER (ORDER BY ts, event_id)) - 1) END AS batch FROM v_hist"
+
+
+@add("r8_late_rows", f"WITH b AS ({_BATCHES}), m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS mark FROM b GROUP BY batch) SELECT event_id FROM b JOIN m USING (batch) WHERE ts::DATE::TIMESTAMP + INTERVAL 1 DAY <= mark")
+def r8(spark, d):
+    """Rows that came after their day was closed: every tenth arrives last of all."""
+    ranked = F.ntile(3).over(Window.orderBy("ts", "event_id")) - 1
+    rows = _seen(spark, d).withColumn("batch", F.when(F.col("event_id") % 10 == 0, 3).otherwise(ranked))
+    return live.late_rows(rows, "batch").select("event_id")
 
 
 # --- batch twins of the streams ------------------------------------------------------------
-over("v_hist", "r4_daily_twin", lambda d: d.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "SELECT ts::DATE AS day, count(*) AS n FROM v_hist GROUP BY 1")
-over("v_hist", "r3_running_indicators_twin", lambda d: d.groupBy("plate_key").agg(F.count("*").alias("n"), F.max("ts").alias("last")), "SELECT plate_key, count(*) AS n, max(ts) AS last FROM v_hist GROUP BY 1")
-over("v_hist", "r5_session_twin", lambda d: d.groupBy(F.session_window(F.col("ts").cast("timestamp"), "1 hour"), "plate_key").agg(F.count("*").alias("n")).select("plate_key", F.unix_timestamp(F.col("session_window.start")).alias("start"), "n"), """WITH a AS (SELECT plate_key, ts, CASE WHEN coalesce(ts - lag(ts) OVER w >= INTERVAL 1 HOUR, true) THEN 1 ELSE 0 END AS n FROM v_hist WINDOW w AS (PARTITION BY plate_key ORDER BY ts)),
-b AS (SELECT *, sum(n) OVER (PARTITION BY plate_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT plate_key, epoch(date_trunc('second', min(ts)))::BIGINT AS start, count(*) AS n FROM b GROUP BY plate_key, g""")
+add("r4_daily_twin", "SELECT epoch(ts::DATE)::BIGINT AS day, count(*) AS n FROM v_hist GROUP BY 1")(lambda spark, d: live.daily_counts(_seen(spark, d)).select(F.unix_timestamp("day").alias("day"), "n"))
+add("r3_running_indicators_twin", "SELECT plate_key AS plate, count(*) AS n, epoch(date_trunc('second', max(ts)))::BIGINT AS last FROM v_hist GROUP BY 1")(lambda spark, d: live.running_indicators(_seen(spark, d)).select("plate", "n", F.unix_timestamp("last").alias("last")))
+add("r5_session_twin", """WITH a AS (SELECT plate_key, ts, CASE WHEN coalesce(ts - lag(ts) OVER w >= INTERVAL 1 HOUR, true) THEN 1 ELSE 0 END AS n FROM v_hist WINDOW w AS (PARTITION BY plate_key ORDER BY ts)),
+b AS (SELECT *, sum(n) OVER (PARTITION BY plate_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT plate_key AS plate, epoch(date_trunc('second', min(ts)))::BIGINT AS start, count(*) AS n FROM b GROUP BY plate_key, g""")(lambda spark, d: live.near_time_groups(_seen(spark, d), gap="1 hour").select("plate", F.unix_timestamp("start").alias("start"), "n"))

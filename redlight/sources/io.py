@@ -45,8 +45,8 @@ def read_camera_config(spark: SparkSession, folder: str) -> dict[str, DataFrame]
 
 def read_mot(spark: SparkSession, root: str, phase: str = "train") -> DataFrame:
     """Detection files ``root/phase/<sequence>/det/det.txt``."""
-    df = spark.read.schema(MOT).csv(f"{root}/{phase}/*/det/det.txt")
-    return df.withColumn("seq", F.regexp_extract(F.input_file_name(), "/([^/]+)/det/det.txt", 1))
+    df = _or_empty(spark, MOT, lambda: spark.read.schema(MOT).csv(f"{root}/{phase}/*/det/det.txt"))
+    return df.withColumn("seq", F.regexp_extract(F.input_file_name(), "/([^/]+)/det/det[.]txt", 1))
 
 
 def parse_box(col) -> F.col:
@@ -89,10 +89,29 @@ def read_processing_times(spark: SparkSession, path: str) -> DataFrame:
 
 def list_media(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
     """Files of the folder itself, in the order of their names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    files = _or_empty(spark, "path string, length long", read).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
     return files.where(F.regexp_extract("path", "^(.*)/[^/]+$", 1).endswith(folder.rstrip("/").split(":", 1)[-1].lstrip("/"))).where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions])).orderBy("name")
 
 
+def write_media(files: DataFrame, folder: str) -> None:
+    """Files ``name, data`` into ``folder``, which driver and executors share. A name is
+    written whole again if its task is run again."""
+
+    def work(batches):
+        from pyarrow import fs as pfs
+
+        fs, root = pfs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for name, data in zip(b["name"], b["data"]):
+                with fs.open_output_stream(f"{root}/{name}") as f:
+                    f.write(data)
+            yield b[["name"]]
+
+    files.select("name", "data").mapInPandas(work, "name string").write.format("noop").mode("overwrite").save()
+
+
 def append_infractions(df: DataFrame, path: str, key: list[str] | None = None) -> None:
     """Append as Parquet; with ``key`` only rows that are not stored yet."""
     if key:

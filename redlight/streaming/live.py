@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.detections import infractions
@@ -28,14 +28,49 @@ def first_sightings(df: DataFrame, key: str = "plate", late: str = "1 day") -> D
 
 
 def running_indicators(df: DataFrame, key: str = "plate") -> DataFrame:
-    """Per plate running count and last sighting (output mode update or complete)."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    """Per plate running count, last sighting and, where rows have a ``processing_time``, its
+    positive values' sum (0.01 at least each) and number (output mode update or complete)."""
+    found = [F.count("*").alias("n"), F.max("ts").alias("last")]
+    if "processing_time" in df.columns:
+        took = F.when(F.col("processing_time") > 0, F.greatest("processing_time", F.lit(0.01)))
+        found += [F.sum(took).alias("seconds"), F.count(took).alias("timed")]
+    return df.groupBy(key).agg(*found)
+
+
+def panel(running: DataFrame) -> DataFrame:
+    """``ti, tr, ir`` of a table of :func:`running_indicators`: plates seen, mean seconds, and
+    the share of plates that came back, in per cent; 0 where there is nothing."""
+    return running.agg(
+        F.count("*").alias("ti"),
+        F.coalesce(F.try_divide(F.sum("seconds"), F.sum("timed")), F.lit(0.0)).alias("tr"),
+        F.coalesce(F.avg(F.when(F.col("n") > 1, 100.0).otherwise(0.0)), F.lit(0.0)).alias("ir"),
+    )
+
+
+def write_panel(df: DataFrame, path: str, checkpoint: str, key: str = "plate"):
+    """Renews the panel after every batch: one row ``batch, ti, tr, ir`` each, under ``path``.
+    A batch that is run again overwrites its own row."""
+    def renew(table: DataFrame, batch: int) -> None:
+        panel(table).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/{batch:09d}")
+
+    return running_indicators(df, key).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(renew)
 
 
 def daily_counts(df: DataFrame, late: str = "1 day") -> DataFrame:
     return df.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "n")
 
 
+def late_rows(df: DataFrame, batch: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
+    """Rows that :func:`daily_counts` drops where it reads one ``batch`` number after the
+    other: those of windows that had ended by the watermark for late rows. That is the latest
+    time less ``late`` over all batches but this one and the one before it: the watermark
+    moves when a batch is done, and late rows are still told by the one before."""
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -2)
+    # One row per batch.
+    marks = df.groupBy(F.col(batch).alias("_b")).agg(F.max("ts").alias("_max")).select("_b", (F.max("_max").over(before) - F.expr(f"INTERVAL {late}")).alias("_mark"))
+    return df.join(marks, F.col(batch) == F.col("_b")).where(F.window("ts", window)["end"] <= F.col("_mark")).select(*df.columns)
+
+
 def near_time_groups(df: DataFrame, key: str = "plate", gap: str = "5 seconds", late: str = "1 minute") -> DataFrame:
     """Sightings of one plate that follow each other within ``gap``."""
     return df.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), "n")

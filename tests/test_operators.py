@@ -117,7 +117,7 @@ def test_empty_indicators(spark):
 def test_vehicle_ids(spark):
     rows = [(i, [float(i % 2), 1.0], i / 10) for i in range(8)] + [(8, None, 9.0)]
     df = spark.createDataFrame(rows, "vec_id long, features array<double>, t double")
-    got = {r["vec_id"]: r["vehicle_id"] for r in identity.vehicle_ids(df, k=2).collect()}
+    got = {r["vec_id"]: r["vehicle_id"] for r in identity.vehicle_ids(df).collect()}
     assert got[0] == "V1" and got[1] == "V2" and got[8] == "V3" and got[6] == "V1"
     assert {r["vehicle_id"] for r in identity.vehicle_ids(df.where("vec_id in (1, 8)")).collect()} == {"V1", "V2"}
 
