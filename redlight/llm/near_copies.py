@@ -13,7 +13,7 @@ the cost, never the result.
 
 Only components are asked for, so under each shingle everyone is first compared with the
 earliest, if no link joins them yet. Pairs that this leaves in different components are
-compared in a second step. Equal texts are folded before and are never compared.
+compared in a second step, first as sketches. Equal texts are folded before and are never compared.
 """
 
 from __future__ import annotations
@@ -148,18 +148,108 @@ def candidates(index: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return shared, stars
 
 
-def _left_over(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs under one shingle in different components, but for those with its earliest."""
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's members by 10 bits of their hash: two sketches differ in at most as
+    many bits as the sets do in members."""
+    return np.packbits(np.bincount(((s * _MIX) >> np.uint64(54)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).tobytes()
+
+
+#: Rows of one shingle that a task holds at once.
+HELD = 4096
+
+
+def _near(least: float, best: bool):
+    """Over rows ``h, part, kind, id, n, pos, root, main, s``, sorted by the first three: pairs
+    of a row of kind 0 with one of kind 1 that may be alike, by size, place and sketch; with
+    ``best`` only the nearest for each component of kind 0."""
+
+    def meet(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+        ia, na, pa_, ra, _, sa = a
+        ib, nb, pb, rb, mb, sb = b
+        found = []
+        step = max(1, 2_000_000 // max(len(ib), 1) // 16)
+        for i in range(0, len(ia), step):
+            j = slice(i, i + step)
+            both = na[j, None] + nb[None]
+            ok = (ra[j, None] != rb[None]) & (mb[None] | (ia[j, None] < ib[None]))
+            ok &= np.minimum((na - pa_)[j, None], (nb - pb)[None]) >= both * (least / (1 + least)) - 1e-6
+            r, c = np.nonzero(ok)
+            for k in range(0, len(r), 500_000):
+                x, y = r[k : k + 500_000], c[k : k + 500_000]
+                apart = np.bitwise_count(sa[j][x] ^ sb[y]).sum(1)
+                apart = apart / both[x, y]
+                near = apart <= (1 - least) / (1 + least) + 1e-9
+                found.append((ia[j][x[near]], ib[y[near]], ra[j][x[near]], apart[near]))
+        if not found:
+            return ia[:0], ia[:0]
+        x, y, root, apart = (np.concatenate(v) for v in zip(*found))
+        if best:
+            order = np.lexsort((y, x, apart, root))
+            first = order[np.concatenate([[True], root[order][1:] != root[order][:-1]])] if len(order) else order
+            x, y = x[first], y[first]
+        return x, y
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_copies")
+        last, held = None, None
+        for b in batches:
+            h, part, kind = (b.column(i).to_numpy() for i in range(3))
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)]
+            cols.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint64).reshape(-1, 16))
+            edges = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, e in zip([0, *edges], [*edges, len(h)]):
+                if i == e:
+                    continue
+                now, mine = (h[i], part[i]), [c[i:e] for c in cols]
+                if kind[i] == 0:
+                    held = [np.concatenate(x) for x in zip(held, mine)] if now == last and held is not None else mine
+                    last = now
+                elif now == last:
+                    x, y = meet(held, mine)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    return work
+
+
+def _drawn(shared: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``id, s``: sketches of the texts that may have a pair left."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_copies")
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingles(t.as_py(), shingle)) for t in b.column(1)], pa.binary())], names=["id", "s"])
+
+    return materialize(texts.join(shared.where("many > 2").select("id").distinct(), "id").select("id", "t").mapInArrow(draw, "id long, s binary"), "sketches")
+
+
+def _left_over(shared: DataFrame, drawn: DataFrame, roots: DataFrame, least: float, best: bool) -> DataFrame:
+    """Pairs under one shingle in different components that may be alike, but for those with
+    its earliest. Only shingles with a row outside the earliest one's component have any. All
+    such pairs are looked at, as sketches in a task; of a shingle with very many rows, part of
+    those outside in each of several tasks. Rows come out for the few that sketches let pass,
+    with ``best`` for the nearest of them only."""
     named = roots.select(F.col("node").alias("id"), "root")
     rows = shared.where("many > 2").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lead = named.select(F.col("id").alias("l_id"), F.col("root").alias("l_root"))
     rows = rows.join(lead, "l_id", "left").withColumn("l_root", F.coalesce("l_root", "l_id"))
     rows = materialize(rows.where("id <> l_id").select("h", "id", "n", "pos", "root", (F.col("root") == F.col("l_root")).alias("main")), "rooted")
-    # Only shingles with a row outside the earliest one's component have anything left.
-    a = rows.where("not main").select("h", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "root")))
-    b = rows.select("h", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "root", "main")))
-    pairs = a.join(b, "h").where("a_root <> b_root and (b_main or a_id < b_id)").where(_possible("a_", "b_", least))
-    return pairs.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()
+    parts = rows.groupBy("h").agg(F.count_if(~F.col("main")).alias("outside"), F.count("*").alias("all")).where("outside > 0 and all > 1").select("h", F.ceil(F.col("outside") / HELD).cast("int").alias("parts"))
+    rows = materialize(rows.join(parts, "h"), "outside")
+    own = F.array(F.when(~F.col("main"), F.struct(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"))))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(1).alias("kind")))
+    dealt = rows.withColumn("at", F.explode(F.concat(F.array_compact(own), every))).join(drawn, "id")
+    dealt = dealt.select("h", "at.part", "at.kind", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "root", "main", "s")
+    dealt = dealt.repartition(partitions(shared.sparkSession), "h", "part").sortWithinPartitions("h", "part", "kind")
+    return dealt.mapInArrow(_near(least, best), "a long, b long").distinct()
+
+
+def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Components after some more pairs: only those that the pairs join are gone through."""
+    top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    pairs = materialize(pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "joined")
+    nodes = roots.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))).distinct()
+    lifted = nodes.join(components(pairs).toDF("root", "higher"), "root", "left")
+    return materialize(lifted.select("node", F.coalesce("higher", "root").alias("root")), "roots")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -180,10 +270,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     of = lambda c: joined.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
     far = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
     edges = joined.unionByName(_verified(far, texts, shingle, least))
-    roots = components(edges)
-    more = _verified(_left_over(shared, roots, least), texts, shingle, least)
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
+    roots, drawn = components(edges), _drawn(shared, texts, shingle)
+    # Components join their nearest ones first, as these are many in a large group; what then
+    # is left is looked at in full.
+    for best in (True, True, False):
+        more = _verified(_left_over(shared, drawn, roots, least, best), texts, shingle, least)
+        if not more.isEmpty():
+            roots = _joined(roots, more)
     names = texts.select("k", "id", F.struct("f.none", "f.doc_id", "k").alias("f")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # A table of its own, so that Spark can split a component with very many texts below.
     firsts = materialize(names.groupBy("root").agg(F.min("f").alias("f")), "firsts")
