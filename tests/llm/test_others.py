@@ -40,8 +40,6 @@ def test_archives_round_trip(spark, tmp_path):
 def test_segments_are_the_definition_s():
     def brute(x):
         """Best segment (shortest of equals, leftmost), then the same left and right of it."""
-        if not len(x):
-            return []
         found = [(-(s := sum(x[i:j])), j - i, i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(x[i:j]) > 1e-12]
         if not found:
             return []
@@ -51,8 +49,10 @@ def test_segments_are_the_definition_s():
     rnd = random.Random(0)
     for _ in range(150):
         x = [rnd.choice([-3, -2, -1, -0.5, 1.25, 2.125, 4.0625]) * rnd.choice([1, 1.015625]) for _ in range(rnd.randrange(14))]
-        got = toxicity.segments(np.array(x))
-        assert sum(v for *_, v in got) == pytest.approx(sum(v for *_, v in brute(x)))
+        got, want = toxicity.segments(np.array(x)), brute(x)
+        # Segments of equal score that touch at a sum of zero may be told as one or cut elsewhere.
+        assert [v for *_, v in got] == pytest.approx([v for *_, v in want])
+        assert all(sum(x[i:j]) == pytest.approx(v) for i, j, v in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
 
 
 @pytest.mark.parametrize(("label", "folds", "out", "least_recall", "most_false"), [("toxic", 4, 2, 0.6, 0.05), ("quality", 5, 0, 0.9, 0.6)])
