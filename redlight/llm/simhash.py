@@ -166,8 +166,9 @@ def _match(index: DataFrame, k: int, run_limit: int) -> DataFrame:
 def _index(df: DataFrame, keys: list[tuple[Column, Column]]) -> DataFrame:
     n = partitions(df.sparkSession)
     every = F.array(*(F.struct(p.cast("int").alias("place"), v.alias("key")) for p, v in keys))
+    # Fingerprints are short, their variants many: the small table is spread out before.
     return (
-        df.select("fp", F.explode(every).alias("v")).select("v.place", "v.key", "fp")
+        df.select("fp").repartition(n).select("fp", F.explode(every).alias("v")).select("v.place", "v.key", "fp")
         .repartition(n, "place", "key").sortWithinPartitions("place", "key", "fp")
     )
 
