@@ -14,7 +14,7 @@ is shared by more (each step fixes more bits, so this ends).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +182,7 @@ def links(distinct: DataFrame, k: int = 2, run_limit: int = 4096) -> DataFrame:
         rest = found.where("more").select(F.col("b").alias("fp"), "place", F.col("a").alias("key")).distinct()
         if rest.isEmpty():
             break
-        sub = rest.withColumn("v", F.explode(F.array(*(F.struct(p.cast("int").alias("p"), v.alias("v")) for p, v in _open_keys(width, k)))))
+        sub = rest.withColumn("v", F.explode(F.transform(F.lit(_open_masks(width, k)), lambda m, i: F.struct(i.alias("p"), F.col("fp").bitwiseAND(m).alias("v")))))
         sub = sub.select(F.xxhash64("place", "key", "v.p", "v.v").alias("key"), "fp").withColumn("place", F.lit(127))
         n = partitions(distinct.sparkSession)
         last = width == 4
@@ -192,17 +192,12 @@ def links(distinct: DataFrame, k: int = 2, run_limit: int = 4096) -> DataFrame:
     return edges
 
 
-def _open_keys(width: int, k: int) -> list[tuple[Column, Column]]:
+def _open_masks(width: int, k: int) -> list[int]:
     """All 64 bits but ``width`` of them, in blocks of that width; any ``k`` differences lie
-    within ``k`` blocks, so the key leaves out every choice of ``k`` blocks."""
-    from itertools import combinations
-
-    fp, n = F.col("fp"), BITS // width
-    out = []
-    for j, gone in enumerate(combinations(range(n), min(k, n))):
-        mask = sum(((1 << width) - 1) << (b * width) for b in range(n) if b not in gone)
-        out.append((F.lit(j), fp.bitwiseAND(F.lit(_signed(mask)))))
-    return out
+    within ``k`` blocks, so the masks leave out every choice of ``k`` blocks."""
+    n = BITS // width
+    block = lambda b: ((1 << width) - 1) << (b * width)
+    return [_signed(sum(block(b) for b in range(n) if b not in gone)) for gone in combinations(range(n), min(k, n))]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 2, run_limit: int = 4096) -> DataFrame:
