@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from redlight.operators import detections, graph, identity, images, indicators, reads, tracks
-from redlight.plans import registry
 from redlight.sources import io
 
 
@@ -158,7 +157,3 @@ def test_files(spark, tmp_path):
     assert io.read_processing_times(spark, str(tmp_path / "times.json")).count() == 2
     assert [r["name"] for r in io.list_media(spark, str(tmp_path), ["JSON"]).collect()][0] == "avenue_config.json"
 
-
-def test_every_query_has_rows(spark):
-    for name in ("j11_infractions", "k05_segment_dedup", "a13_consensus", "x09_context_correct"):
-        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
