@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 
-from .common import worker_state
+from .common import give_back, worker_state
 
 
 def load_tokenizer(path: str):
@@ -89,4 +89,9 @@ class PieceEncoder:
 
 
 def piece_encoder(path: str) -> PieceEncoder:
-    return worker_state(f"encoder {path}", lambda: PieceEncoder(path))
+    def make() -> PieceEncoder:
+        encoder = PieceEncoder(path)
+        give_back()  # the file's tables
+        return encoder
+
+    return worker_state(f"encoder {path}", make)

@@ -42,6 +42,11 @@ def enter(owner: str) -> None:
     for name in [n for n in vars(home) if not n.startswith("_")]:
         delattr(home, name)
     home._owner = owner
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

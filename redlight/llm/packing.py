@@ -75,7 +75,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                 for i, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
                     keep.append(row), piece.append(i), start.append(at // 4), length.append(len(part) // 4), ids.append(part)
-                if len(ids) >= 4096:
+                if len(ids) >= 1024:
                     yield batch(b, keep, piece, start, length, ids)
                     keep, piece, start, length, ids = [], [], [], [], []
             if ids:

@@ -66,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of whole texts, with their tokens (``ids``, little-endian unsigned 32 bits) and
     their place in sequences of 2048."""
-    pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    # A smaller cache than the operator's own: the executors of a pipeline hold more.
+    pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), cache_rows=150_000)
     pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
     return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"])
