@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..storage import new_path, scratch, write_table
 from . import simhash
 from .common import enter, materialize, partitions, utf8
 
@@ -249,7 +250,7 @@ def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = materialize(pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "joined")
     nodes = roots.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))).distinct()
     lifted = nodes.join(components(pairs).toDF("root", "higher"), "root", "left")
-    return materialize(lifted.select("node", F.coalesce("higher", "root").alias("root")), "roots")
+    return lifted.select("node", F.coalesce("higher", "root").alias("root"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -260,6 +261,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     A null text counts as empty, and empty texts are equal. Long texts are compared whole.
     Only ``doc_id`` and ``text`` are read, so no name can clash; an empty table gives no rows.
     """
+    spark = docs.sparkSession
+    at = new_path(spark, "near-copies")
+    with scratch(spark):
+        return write_table(_near_copies(docs, shingle, least), at)
+
+
+def _near_copies(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     text = utf8("text")
     rows = docs.select(F.md5(text).alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")).alias("f"), text.alias("t"))
     # Own numbers, as ids may be null or repeat.
@@ -274,9 +282,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     # Components join their nearest ones first, as these are many in a large group; what then
     # is left is looked at in full.
     for best in (True, True, False):
-        more = _verified(_left_over(shared, drawn, roots, least, best), texts, shingle, least)
-        if not more.isEmpty():
-            roots = _joined(roots, more)
+        at = new_path(docs.sparkSession, "roots")
+        with scratch(docs.sparkSession):
+            more = _verified(_left_over(shared, drawn, roots, least, best), texts, shingle, least)
+            if not more.isEmpty():
+                roots = write_table(_joined(roots, more), at)
     names = texts.select("k", "id", F.struct("f.none", "f.doc_id", "k").alias("f")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # A table of its own, so that Spark can split a component with very many texts below.
     firsts = materialize(names.groupBy("root").agg(F.min("f").alias("f")), "firsts")
