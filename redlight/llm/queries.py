@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_fm, quality_rules, simhash, suffix, tokens, topk, toxicity, warc
+from . import mixing, packing, quality_fm, quality_rules, resampling, simhash, suffix, tokens, topk, toxicity, warc
 from .common import fold, materialize, new_path, table
 
 
@@ -79,9 +79,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts, op11_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle_sql(), "op6_top_k": topk.ORACLE_SQL, "op7_mix": mixing.oracle_sql()}
+    return {"op5_quality_rules": quality_rules.oracle_sql(), "op6_top_k": topk.ORACLE_SQL, "op7_mix": mixing.oracle_sql(), "op11_resample": resampling.ORACLE_SQL}
