@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_fm, quality_rules, resampling, simhash, suffix, tokens, topk, toxicity, warc
+from . import mixing, packing, periodic, quality_fm, quality_rules, resampling, simhash, suffix, tokens, topk, toxicity, warc
 from .common import fold, materialize, new_path, table
 
 
@@ -84,8 +84,18 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL: every repetition of every text."""
+    found = periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = found.select("doc_id", "runs", F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), periodic.longest("runs").alias("best"))
+    length, period = F.col("best.length"), -F.col("best.less")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts, op11_resample)}
+    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts, op11_resample, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
