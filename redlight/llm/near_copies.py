@@ -244,7 +244,7 @@ def _left_over(shared: DataFrame, drawn: DataFrame, roots: DataFrame, least: flo
     return dealt.mapInArrow(_near(least, best), "a long, b long").distinct()
 
 
-def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     """Components after some more pairs: only those that the pairs join are gone through."""
     top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     pairs = materialize(pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "joined")
@@ -286,7 +286,7 @@ def _near_copies(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         with scratch(docs.sparkSession):
             more = _verified(_left_over(shared, drawn, roots, least, best), texts, shingle, least)
             if not more.isEmpty():
-                roots = write_table(_joined(roots, more), at)
+                roots = write_table(joined(roots, more), at)
     names = texts.select("k", "id", F.struct("f.none", "f.doc_id", "k").alias("f")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # A table of its own, so that Spark can split a component with very many texts below.
     firsts = materialize(names.groupBy("root").agg(F.min("f").alias("f")), "firsts")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, periodic, quality_fm, quality_rules, resampling, simhash, suffix, tokens, topk, toxicity, warc
+from . import mixing, packing, periodic, quality_fm, quality_rules, resampling, signature_tree, simhash, suffix, tokens, topk, toxicity, warc
 from .common import fold, materialize, new_path, table
 
 
@@ -84,6 +84,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not in SQL: every repetition of every text."""
     found = periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents")))
@@ -95,8 +99,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts, op11_resample, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_warc, op2_pack, op3_simhash, op4_toxicity, op5_quality_rules, op6_top_k, op7_mix, op8_quality_fm, op9_suffix_dedup, op10_token_counts, op11_resample, op12_jaccard_join, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle_sql(), "op6_top_k": topk.ORACLE_SQL, "op7_mix": mixing.oracle_sql(), "op11_resample": resampling.ORACLE_SQL}
+    return {"op5_quality_rules": quality_rules.oracle_sql(), "op6_top_k": topk.ORACLE_SQL, "op7_mix": mixing.oracle_sql(), "op11_resample": resampling.ORACLE_SQL, "op12_jaccard_join": signature_tree.ORACLE_SQL}
