@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+# What the open scopes of this thread have made: threads never see each other's.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _scopes[-1:]:
+    for made in _scopes.get()[-1:]:
         made.append(path)
     return path
 
@@ -41,13 +43,14 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside go at the end: for work whose result is written by then."""
+    """Tables that this thread writes inside go at the end: for work whose result is written by
+    then. Scopes nest; a table belongs to the innermost."""
     made: list[str] = []
-    _scopes.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes.reset(token)
         for path in made:
             discard(spark, path)
 
