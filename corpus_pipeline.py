@@ -23,13 +23,19 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages. What a stage writes on its way goes when its result is written, and that
-    goes when the next stage's is; the last table stays for the caller to read."""
+    goes when the next stage's is; the last table stays for the caller to read. If a stage
+    raises, nothing stays."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = new_path(spark, f"stage-{name}")
-        with scratch(spark):
-            docs = write_table(stage(spark, docs, sf_dir), at)
-        if before:
-            discard(spark, before)
+        try:
+            with scratch(spark):
+                docs = write_table(stage(spark, docs, sf_dir), at)
+        except BaseException:
+            discard(spark, at)
+            raise
+        finally:
+            if before:
+                discard(spark, before)
         before = at
     return docs
