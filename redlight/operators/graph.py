@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, new_path, write_table
+from ..storage import discard, materialize, new_path, write_table
 
 
 def _settled(e: DataFrame) -> bool:
@@ -35,3 +35,13 @@ def components(edges: DataFrame) -> DataFrame:
         discard(spark, before)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, root`` after some more pairs ``a, b``: only components that these join are gone
+    through. A node that ``roots`` lacks is a component of its own until then."""
+    top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    pairs = materialize(pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "joined")
+    nodes = roots.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))).distinct()
+    lifted = nodes.join(components(pairs).toDF("root", "higher"), "root", "left")
+    return lifted.select("node", F.coalesce("higher", "root").alias("root"))

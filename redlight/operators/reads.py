@@ -252,10 +252,11 @@ def dup_groups(pairs: DataFrame, least: float = 0.80, least_with_images: float =
     return components(pairs.where(linked).select("a", "b"))
 
 
-def best_per_group(df: DataFrame, groups: DataFrame, id_col: str = "read_id") -> DataFrame:
-    """Every row without a group, and of each group the best by quality (ties: smaller id)."""
+def best_per_group(df: DataFrame, groups: DataFrame, id_col: str = "read_id", vehicle: str | None = None) -> DataFrame:
+    """Every row without a group, and of each group the best by quality (ties: smaller id);
+    ``vehicle`` names the quality of the vehicle's picture, null without one."""
     rows = df.join(groups.select(F.col("node").alias(id_col), F.col("root").alias("group_id")), id_col, "left").withColumn("group_id", F.coalesce("group_id", F.col(id_col)))
-    quality = p.quality_score("text", F.col("conf"), F.lit(None).cast("double"))
+    quality = p.quality_score("text", F.col("conf"), F.col(vehicle) if vehicle else F.lit(None).cast("double"))
     best = rows.groupBy("group_id").agg(F.max_by(id_col, F.struct(F.round(quality, 9), -F.col(id_col))).alias(id_col), F.count("*").alias("members"))
     return df.join(best, id_col)
 

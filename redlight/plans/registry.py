@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import plates as p
-from ..operators import config, detections, identity, images, indicators, reads, tracks
+from ..operators import config, detections, identity, images, indicators, picture_dups, reads, tracks
 from ..sources import io
 from ..storage import new_path
 from ..streaming import live
@@ -457,6 +457,49 @@ def i5(spark, d):
     return both.select("image_id", r4(images.image_similarity(images.colour_similarity("a_hist", "b_hist"), images.structure_similarity("a_pixels", "b_pixels"))).alias("similarity"))
 
 
+# Reads with pictures: three of four carry one of fifty, within a quarter of a minute.
+def _pictured(spark, d) -> tuple[DataFrame, DataFrame]:
+    r = view(spark, d, "v_reads").withColumn("t", F.when(F.col("read_id") % 41 > 0, (F.col("read_id") * 11 % 97) / 4))
+    image = F.when(F.col("read_id") % 4 > 0, (F.col("read_id") * 7 + F.col("vehicle")) % 50)
+    found = view(spark, d, "v_img").where("image_id < 50").join(images.channel_histograms(image_rows(spark, d).where("image_id < 50")), "image_id")
+    return r.withColumn("image_id", image), found
+
+
+_PICTURED = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT image_id, pixels, [len(list_filter(pixels, lambda x: floor(x / 8) = i))::DOUBLE FOR i IN range(32)] AS h FROM v_img WHERE image_id < 50),
+im AS MATERIALIZED (SELECT p, q, least(1, CASE WHEN r >= 0.85 AND t >= 0.7 THEN greatest(0.45 * r + 0.35 * t, 0.85) ELSE 0.45 * r + 0.35 * t END) AS image FROM (SELECT p, q, greatest(0, coalesce(list_sum([(x[i] - mx) * (y[i] - my) FOR i IN range(1, 33)]) / nullif(sqrt(list_sum([(u - mx) ** 2 FOR u IN x]) * list_sum([(u - my) ** 2 FOR u IN y])), 0), 1)) AS r, 1 - least(1, list_avg([(px[i] - py[i]) ** 2 FOR i IN range(1, 65)]) / 10000) AS t
+FROM (SELECT a.image_id AS p, b.image_id AS q, a.h AS x, b.h AS y, list_avg(a.h) AS mx, list_avg(b.h) AS my, a.pixels AS px, b.pixels AS py FROM v a, v b))),
+r AS (SELECT read_id, vehicle, CASE WHEN read_id % 41 > 0 THEN (read_id * 11 % 97) / 4.0::DOUBLE END AS t, CASE WHEN read_id % 4 > 0 THEN (read_id * 7 + vehicle) % 50 END AS pic, upper(regexp_replace(text, '[- ]', '', 'g')) AS x FROM v_reads), qq AS MATERIALIZED (SELECT *, {s.run('x')} AS m, {s.fold('x')} AS f FROM r WHERE x <> ''),
+pp AS (SELECT a.read_id AS a, b.read_id AS b, a.x, b.x AS y, a.m, b.m AS n, a.f, b.f AS fy, abs(a.t - b.t) AS dt, a.pic AS pa, b.pic AS pb FROM qq a JOIN qq b ON a.vehicle = b.vehicle AND a.read_id < b.read_id),
+u AS (SELECT *, coalesce(list_max([i FOR i IN range(1, least(length(m), length(n)) + 1) IF right(m, i) = right(n, i)]), 0) AS k FROM pp),
+vv AS (SELECT *, CASE WHEN least(length(m), length(n)) >= 3 AND m = n THEN 0.85 WHEN least(length(m), length(n)) >= 3 AND k >= 3 THEN 0.6 + k::DOUBLE / greatest(length(m), length(n)) * 0.3 ELSE 0 END AS z FROM u),
+w AS (SELECT a, b, pa IS NOT NULL AND pb IS NOT NULL AS both_images, CASE WHEN x = y THEN 1 WHEN z < 0.8 AND f = fy THEN 0.85 ELSE z END::DOUBLE AS s, CASE WHEN dt < 5 THEN 1 - dt / 5 ELSE 0 END::DOUBLE AS h, coalesce(image, 0)::DOUBLE AS i FROM vv LEFT JOIN im ON pa = p AND pb = q),
+wt AS (SELECT *, CASE WHEN i = 0 THEN 6.0 WHEN i >= 0.7 AND s < 0.5 THEN 3 WHEN i >= 0.7 THEN 5 ELSE 6 END::DOUBLE AS ws, CASE WHEN i = 0 THEN 0.0 WHEN i >= 0.7 AND s < 0.5 THEN 6 WHEN i >= 0.7 THEN 4 ELSE 3 END::DOUBLE AS wi, CASE WHEN h = 0 THEN 0 ELSE 1 END::DOUBLE AS wh FROM w),
+y AS MATERIALIZED (SELECT a, b, both_images, CASE WHEN i >= 0.75 AND h >= 0.8 THEN greatest(0.85, (ws * s + wi * i + wh * h) / (ws + wi + wh)) ELSE (ws * s + wi * i + wh * h) / (ws + wi + wh) END AS similarity FROM wt)"""
+_PICTURED_GROUPS = _PICTURED + """, l AS (SELECT a, b FROM y WHERE similarity >= 0.8 - 1e-9 OR (both_images AND similarity >= 0.75 - 1e-9)), e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), c(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node WHERE e.b > c.root),
+g AS (SELECT node, min(root) AS root FROM c GROUP BY node)"""
+
+
+@add("j12_dup_pairs_pictures", _PICTURED + " SELECT a, b, both_images, round(similarity, 4) AS similarity FROM y WHERE similarity >= 0.78")
+def j12_pictures(spark, d):
+    return picture_dups.dup_pairs(*_pictured(spark, d), ["vehicle"], 0.78).select("a", "b", "both_images", r4("similarity").alias("similarity"))
+
+
+@add("t3_dup_groups_pictures", _PICTURED_GROUPS + " SELECT node, root FROM g")
+def t3_pictures(spark, d):
+    return picture_dups.dup_classes(*_pictured(spark, d), ["vehicle"])
+
+
+@add("t4_dedup_plates_pictures", _PICTURED_GROUPS + f""", vq AS (SELECT r.read_id, (r.read_id * 13 % 101) / 100.0::DOUBLE AS vehicle_quality FROM r WHERE pic IS NOT NULL),
+h AS (SELECT v.read_id, v.text, coalesce(root, v.read_id) AS grp, conf, coalesce(vehicle_quality, 0) AS vehicle, vehicle_quality IS NOT NULL AS has FROM v_reads v LEFT JOIN g ON node = v.read_id LEFT JOIN vq ON vq.read_id = v.read_id),
+k AS (SELECT *, {_FORM} AS form, CASE WHEN regexp_full_match(text, '[A-Z]{{2,3}}-[0-9]{{3,4}}') THEN 0.9 WHEN regexp_full_match(text, '[A-Z]-[0-9]{{3,5}}') THEN 0.8 WHEN regexp_full_match(text, '[0-9]{{3,4}}-[A-Z]{{2,3}}') THEN 0.7 ELSE 0 END AS pattern FROM h),
+z AS (SELECT *, round((0.4 * conf + 0.2 * vehicle + 0.2 * form + 0.1 * pattern + 0.1 * CASE WHEN has AND length(text) > 0 AND conf > 0.5 AND vehicle > 0.5 AND form > 0.5 THEN 0.8 WHEN has AND length(text) > 0 AND (conf < 0.3 OR vehicle < 0.3) THEN 0.2 ELSE 0 END)::DOUBLE * CASE WHEN length(text) NOT BETWEEN 4 AND 10 THEN 0.7::DOUBLE ELSE 1 END, 9) AS quality FROM k)
+SELECT arg_max(read_id, (quality, -read_id)) AS read_id, count(*) AS members FROM z GROUP BY grp""")
+def t4_pictures(spark, d):
+    r, found = _pictured(spark, d)
+    r = r.withColumn("quality", F.when(F.col("image_id").isNotNull(), (F.col("read_id") * 13 % 101) / 100))
+    return picture_dups.dedup_plates(r, found, ["vehicle"], "quality").select("read_id", "members")
+
+
 # --- files: written by the engine's sinks and read back --------------------------------------
 def _records(spark, d) -> DataFrame:
     return view(spark, d, "v_inf").select("inf_id", *(F.col(c) if c in ("placa", "fecha", "hora", "ubicacion") else F.lit(None).cast("string").alias(c) for c in _TEXTS), F.lit(None).cast("boolean").alias("modo_nocturno"))
