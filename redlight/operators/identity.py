@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, partitions
+from .graph import components
 
 
 def standardise(df: DataFrame, id_col: str = "vec_id", col: str = "features") -> DataFrame:
@@ -17,30 +21,59 @@ def standardise(df: DataFrame, id_col: str = "vec_id", col: str = "features") ->
     return long.join(stats, "dim").select(id_col, "dim", F.coalesce(F.try_divide(F.col("v") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z"))
 
 
+def _ward(points: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Squared Ward distances of clusters (their centres and sizes) to others; the same to the
+    last bit in both directions, so that ties are ties."""
+    gap = np.zeros((len(points), len(others)))
+    for x, y in zip(points.T, others.T):
+        step = x[:, None] - y[None]
+        gap += step * step
+    return gap * (2 * sizes[:, None] * other_sizes / (sizes[:, None] + other_sizes))
+
+
+def ward_merges(points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float]]:
+    """``(kept, gone, squared height)`` of every merge of a Ward tree over weighted points; a
+    cluster is known by its first point. Ward distances are reducible: a merge brings nothing
+    nearer, so all pairs that are each other's nearest merge at once. Of equal distances the
+    smaller number counts as nearer. Equal points merge first."""
+    n = len(points)
+    c, size = points.astype(float).copy(), sizes.astype(float).copy()
+    alive, first = np.unique(c, axis=0, return_index=True, return_inverse=True)[1:]
+    first = alive[first.ravel()]
+    merges = [(int(a), i, 0.0) for i, a in enumerate(first) if a != i]
+    size, alive = np.bincount(first, weights=size, minlength=n), np.sort(alive)
+    near, dist = np.full(n, -1), np.full(n, np.inf)
+    ask = alive
+    while len(alive) > 1:
+        for i in range(0, len(ask), 1024):
+            rows = ask[i : i + 1024]
+            d = _ward(c[rows], size[rows], c[alive], size[alive])
+            d[rows[:, None] == alive[None]] = np.inf
+            best = d.argmin(1)
+            near[rows], dist[rows] = alive[best], d[np.arange(len(rows)), best]
+        a = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(a):  # rounding can break a tie in a ring
+            i = alive[dist[alive].argmin()]
+            a = np.array([min(i, near[i])])
+            near[a], dist[a] = max(i, near[i]), dist[i]
+        b = near[a]
+        merges += list(zip(a.tolist(), b.tolist(), dist[a].tolist()))
+        c[a] = (c[a] * size[a, None] + c[b] * size[b, None]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        alive = np.setdiff1d(alive, b)
+        changed = np.zeros(n, bool)
+        changed[a] = changed[b] = True
+        ask = alive[changed[alive] | changed[near[alive]]]
+    return merges
+
+
 def ward_cut(points: np.ndarray, sizes: np.ndarray, share: float = 0.7) -> np.ndarray:
     """Flat clusters of a Ward tree over weighted points, cut at ``share`` of its height."""
-    n = len(points)
-    sizes, group = sizes.astype(float).copy(), [[i] for i in range(n)]
-    d = ((points[:, None] - points[None]) ** 2).sum(2) * (2 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
-    np.fill_diagonal(d, np.inf)
-    alive, merges = np.ones(n, bool), []
-    for _ in range(n - 1):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        merges.append((d[i, j], list(group[i]), list(group[j])))
-        t = sizes[i] + sizes[j] + sizes
-        new = ((sizes[i] + sizes) * d[i] + (sizes[j] + sizes) * d[j] - sizes * d[i, j]) / t
-        alive[j] = False
-        sizes[i] += sizes[j]
-        group[i] += group[j]
-        new[~alive] = np.inf
-        new[i] = np.inf
-        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-    label = np.arange(n)
-    height = max((m[0] for m in merges), default=0.0)
-    for h, a, b in merges:
+    merges, label = ward_merges(points, sizes), np.arange(len(points))
+    height = max((m[2] for m in merges), default=0.0)
+    for a, b, h in sorted(merges, key=lambda m: m[2]):
         if np.sqrt(h) <= share * np.sqrt(height):
-            label[a + b] = label[a[0]]
+            label[label == label[b]] = label[a]
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -54,38 +87,124 @@ def numbered(df: DataFrame, order: list[str], name: str, after: int = 0) -> Data
     return rows.join(totals, "_range").withColumn(name, F.col("_base") + after + F.row_number().over(Window.partitionBy("_range").orderBy(*order))).drop("_range", "_base")
 
 
-def vehicle_ids(df: DataFrame, micro: int = 256, share: float = 0.7, seed: int = 42, id_col: str = "vec_id", col: str = "features", order: str = "t") -> DataFrame:
-    """``vehicle_id`` V1, V2, ... by first appearance: a Ward tree over z-scores, cut at
-    ``share`` of its height. Rows without features get ids of their own after these; so does
-    every row if at most one has any.
+#: Clusters that are merged on the driver, and that a task compares with as many others.
+FEW, BLOCK = 2048, 4096
+
+
+def _blocks(clusters: DataFrame, name: str) -> DataFrame:
+    """``block`` and up to :data:`BLOCK` clusters of it in one row: numbers, sizes, centres."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def row():
+            ids, n, c = zip(*held)
+            out = [np.array(ids, np.int64), np.array(n, float), np.array(c, float)]
+            return pa.RecordBatch.from_arrays([pa.array([now]), *(pa.array([x.tobytes()]) for x in out)], names=["block", "ids", "n", "c"])
+
+        for b in batches:
+            for block, *rest in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if block != now and held:
+                    yield row()
+                    held = []
+                now = block
+                held.append(rest)
+        if held:
+            yield row()
+
+    dealt = clusters.withColumn("block", F.floor(F.col("cid") / BLOCK)).repartition(partitions(clusters.sparkSession), "block").sortWithinPartitions("block", "cid")
+    return materialize(dealt.select("block", "cid", "n", "c").mapInArrow(pack, "block long, ids binary, n binary, c binary"), name)
+
+
+def _nearest(ask: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``cid, near, d``: the nearest of all ``clusters`` for each that is asked for, in blocks
+    of both; what leaves a task is one row for each cluster of a block."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(i) for i in range(6))):
+                (i, n, c), (j, m, e) = ([np.frombuffer(x.as_py(), k) for x, k in zip(part, (np.int64, float, float))] for part in (row[:3], row[3:]))
+                c, e = c.reshape(len(i), -1), e.reshape(len(j), -1)
+                for a in range(0, len(i), 512):
+                    at = slice(a, a + 512)
+                    d = _ward(c[at], n[at], e, m)
+                    d[i[at, None] == j[None]] = np.inf
+                    best = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(j[best]), pa.array(d[np.arange(len(best)), best])], names=["cid", "near", "d"])
+
+    rows, all_ = _blocks(ask, "asked"), _blocks(clusters, "clusters")
+    last = all_.agg(F.max("block")).first()[0]
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    both = rows.select("other", "ids", "n", "c").join(all_.toDF("other", "ids2", "n2", "c2"), "other").select("ids", "n", "c", "ids2", "n2", "c2")
+    found = both.repartition(partitions(ask.sparkSession)).mapInArrow(meet, "cid long, near long, d double")
+    return found.groupBy("cid").agg(F.min(F.struct("d", "near")).alias("b")).select("cid", "b.near", "b.d")
+
+
+def ward_tree(points: DataFrame, few: int = FEW) -> DataFrame:
+    """``kept, gone, d``: every merge (squared height ``d``) of the Ward tree over ``cid, c``
+    with numbers from 1 on and centres as arrays; a cluster is known by its smallest number.
+
+    Rounds over a table of nearest neighbours: all pairs that are each other's nearest merge,
+    and only clusters that have merged, or whose nearest has, are asked for again. The last
+    ``few`` clusters are merged on the driver in the same way, so the number changes nothing
+    but where the work is done. The first round compares all clusters, in blocks.
+    """
+    spark = points.sparkSession
+    points = materialize(points.select("cid", "c"), "points")
+    clusters = materialize(points.groupBy("c").agg(F.min("cid").alias("cid"), F.count("*").cast("double").alias("n")).select("cid", "n", "c"), "clusters")
+    equal = points.join(clusters.where("n > 1").select(F.col("cid").alias("kept"), "c"), "c").where("cid <> kept")
+    told = materialize(equal.select("kept", F.col("cid").alias("gone"), F.lit(0.0).alias("d")), "equal")
+    m, near = clusters.count(), None
+    ask = clusters
+    while m > few:
+        found = _nearest(ask, clusters)
+        near = materialize(found if near is None else found.unionByName(near.join(ask.select("cid"), "cid", "left_anti")), "near")
+        other = near.select(F.col("cid").alias("near"), F.col("near").alias("back"))
+        pairs = materialize(near.join(other, "near").where("back = cid and cid < near").select(F.col("cid").alias("kept"), F.col("near").alias("gone"), "d"), "merges")
+        if pairs.isEmpty():  # rounding can break a tie in a ring
+            pairs = materialize(near.orderBy("d", "cid").limit(1).select(F.least("cid", "near").alias("kept"), F.greatest("cid", "near").alias("gone"), "d"), "merges")
+        told = told.unionByName(pairs)
+        a = clusters.select(F.col("cid").alias("kept"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        b = clusters.select(F.col("cid").alias("gone"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        total = F.col("na") + F.col("nb")
+        made = pairs.join(a, "kept").join(b, "gone").select(F.col("kept").alias("cid"), total.alias("n"), F.zip_with("ca", "cb", lambda x, y: (x * F.col("na") + y * F.col("nb")) / total).alias("c"))
+        ends = materialize(pairs.select(F.explode(F.array("kept", "gone")).alias("cid")), "ends")
+        clusters = materialize(clusters.join(ends, "cid", "left_anti").unionByName(made), "clusters")
+        near = materialize(near.join(pairs.select(F.col("gone").alias("cid")), "cid", "left_anti"), "near")
+        lost = near.join(ends.select(F.col("cid").alias("near")), "near", "left_semi").select("cid").unionByName(pairs.select(F.col("kept").alias("cid"))).distinct()
+        ask = materialize(clusters.join(lost, "cid"), "ask")
+        m = clusters.count()
+    rest = clusters.orderBy("cid").toPandas()
+    merges = ward_merges(np.stack(rest["c"]), rest["n"].to_numpy()) if m else []
+    ids = rest["cid"].tolist()
+    last = spark.createDataFrame([(ids[a], ids[b], d) for a, b, d in merges], "kept long, gone long, d double")
+    return told.unionByName(last)
+
+
+def vehicle_ids(df: DataFrame, share: float = 0.7, few: int = FEW, id_col: str = "vec_id", col: str = "features", order: str = "t") -> DataFrame:
+    """``vehicle_id`` V1, V2, ... by first appearance: the Ward tree over z-scores, cut at
+    ``share`` of its height (see :func:`ward_tree`). Rows without features get ids of their own
+    after these; so does every row if at most one has any.
 
-    A Ward tree of all rows is quadratic. Up to ``micro`` rows it is built over the rows
-    themselves; beyond, k-means first makes ``micro`` small clusters, and the tree is built
-    over their weighted centres, which are all that reaches the driver.
+    Ids do not depend on partitions or on ``few``. An exact tree compares every row with all
+    others once, so work grows with the square of the rows of a table.
     """
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     keys = [order, id_col]
     have, none = df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull())
     named = lambda rows, after=0: numbered(rows, keys, "vehicle_id", after).withColumn("vehicle_id", F.concat(F.lit("V"), F.col("vehicle_id").cast("string")))
-    n = have.limit(micro + 1).count()
-    if n <= 1:
+    if have.limit(2).count() <= 1:
         return named(df)
-    rows = have.withColumn("_raw", array_to_vector(F.col(col).cast("array<double>")))
+    rows = materialize(numbered(have, keys, "_cid"), "rows").withColumn("_raw", array_to_vector(F.col(col).cast("array<double>")))
     scaled = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True).fit(rows).transform(rows)
-    if n <= micro:
-        found = scaled.select(id_col, vector_to_array("_z").alias("z")).orderBy(id_col).toPandas()
-        points, sizes, made = np.stack(found["z"]), np.ones(n), scaled.join(scaled.sparkSession.createDataFrame(list(zip(found[id_col].tolist(), range(n))), f"{id_col} {df.schema[id_col].dataType.simpleString()}, _cluster int"), id_col)
-    else:
-        model = KMeans(k=micro, seed=seed, featuresCol="_z", predictionCol="_cluster").fit(scaled)
-        made, points = model.transform(scaled), np.array(model.clusterCenters())
-        count = {r["_cluster"]: r["count"] for r in made.groupBy("_cluster").count().collect()}
-        sizes = np.array([max(count.get(i, 0), 1e-9) for i in range(len(points))])
-    table = F.array(*(F.lit(int(x)) for x in ward_cut(points, sizes, share)))
-    made = made.withColumn("_cluster", F.get(table, F.col("_cluster"))).select(*df.columns, "_cluster")
-    # At most ``micro`` groups.
-    first = made.groupBy("_cluster").agg(F.min(F.struct(*keys)).alias("_first"))
-    ids = materialize(first.withColumn("vehicle_id", F.concat(F.lit("V"), F.row_number().over(Window.orderBy("_first")).cast("string"))).drop("_first"), "clusters")
-    return made.join(ids, "_cluster").drop("_cluster").unionByName(named(none, ids.count()))
+    tree = materialize(ward_tree(scaled.select(F.col("_cid").cast("long").alias("cid"), vector_to_array("_z").alias("c")), few), "tree")
+    height = tree.agg(F.max("d")).first()[0]
+    low = tree.where(F.sqrt("d") <= share * float(np.sqrt(height))).select(F.col("gone").alias("a"), F.col("kept").alias("b"))
+    # Heights grow towards the root, so low merges alone join what a cut leaves together.
+    roots = components(low).select(F.col("node").alias("_cid"), "root")
+    made = materialize(rows.drop("_raw").join(roots, "_cid", "left").withColumn("_root", F.coalesce("root", "_cid")).drop("root"), "clustered")
+    ids = materialize(numbered(made.select("_root").distinct(), ["_root"], "_n"), "vehicles")
+    found = made.join(ids, "_root").withColumn("vehicle_id", F.concat(F.lit("V"), F.col("_n").cast("string"))).select(*df.columns, "vehicle_id")
+    return found.unionByName(named(none, ids.count()))

@@ -130,15 +130,35 @@ def test_ward_cut_is_the_definition(seed):
     assert list(identity.ward_cut(means, np.full(3, 5.0))) == [0, 0, 1]
 
 
-def test_identities_over_micro_clusters(spark):
-    rnd = random.Random(4)
-    rows = [(i, [10.0 * (i % 3) + rnd.random(), 5.0 * (i % 3)], float(i)) for i in range(60)] + [(100 + i, None, 0.0) for i in range(9)]
+@pytest.mark.parametrize(("n", "few", "block", "parts"), [(50, 8, 7, 3), (50, 2048, 4096, 1), (500, 40, 64, 5), (2000, 500, 300, 8)])
+def test_vehicle_ids_are_the_cut_at_every_size(spark, monkeypatch, n, few, block, parts):
+    """The same ids as the definition's, however many rows and partitions, wherever merged."""
+    monkeypatch.setattr(identity, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    points = np.concatenate([rng.normal(rng.uniform(-9, 9, 4), 0.8, (n // 10, 4)) for _ in range(10)])
+    points[n // 3] = points[n // 3 + 1] = points[2]
+    z = (points - points.mean(0)) / points.std(0)
+    label = identity.ward_cut(z, np.ones(n))
+    if n == 50:
+        merges, want = ward(z), np.arange(n)
+        for h, members in merges:
+            if h <= 0.7 * merges[-1][0]:
+                want[members] = min(want[members])
+        assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+    first = {}
+    want = [f"V{first.setdefault(x, len(first) + 1)}" for x in label]
+    rows = [(i, p.tolist(), float(i)) for i, p in enumerate(points)] + [(n + i, None, 0.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, features array<double>, t double").repartition(parts)
+    got = {r["vec_id"]: r["vehicle_id"] for r in identity.vehicle_ids(df, few=few).collect()}
+    assert [got[i] for i in range(n)] == want
+    assert sorted(got[n + i] for i in range(3)) == sorted(f"V{len(first) + 1 + i}" for i in range(3))
+
+
+def test_equal_points_need_no_rounds(spark):
+    rows = [(i, [float(i % 2), 1.0], float(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, features array<double>, t double")
-    for micro in (100, 12):
-        got = {r["vec_id"]: r["vehicle_id"] for r in identity.vehicle_ids(df, micro=micro).collect()}
-        groups = {got[i] for i in range(60)}
-        assert all(got[i] == got[i % 3] for i in range(60)) and got[0] == "V1"
-        assert sorted(got[100 + i] for i in range(9)) == sorted(f"V{len(groups) + 1 + i}" for i in range(9))
+    got = {r["vec_id"]: r["vehicle_id"] for r in identity.vehicle_ids(df, few=1).collect()}
+    assert all(got[i] == f"V{i % 2 + 1}" for i in range(400))
 
 
 def test_variants_from_a_table(spark):
