@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import plates as p
 from ..storage import materialize
 from .graph import components
+from .masked import by_shared_places, equal_length
 
 
 def usable_reads(df: DataFrame, least: float = 0.3) -> DataFrame:
@@ -136,40 +137,38 @@ def canonicalise(df: DataFrame, variants: DataFrame, col: str = "text") -> DataF
     return df.join(v, F.col(col) == F.col("_v"), "left").withColumn("canonical", F.coalesce("canonical", F.col(col))).drop("_v")
 
 
+def fuzzy_candidates(texts: DataFrame, variants: DataFrame, least: float) -> DataFrame:
+    """Pairs of distinct ``_t`` and rows of ``variants`` (``_v``) that may be alike enough."""
+    return by_shared_places(texts, variants, "_t", "_v", least, 0.1)
+
+
 def canonicalise_fuzzy(df: DataFrame, variants: DataFrame, night: bool = False, col: str = "text") -> DataFrame:
     """The first canonical plate with a variant alike enough: shared places over the shorter
     length, 0.1 more for equal length. ``variants``: ``rank, canonical, variant``; the
     smallest rank that accepts wins.
 
-    Blocks lose nothing: a variant is alike only if it has a character in common at the same
-    place, so those are the keys, and only distinct texts are compared. Without a shared
-    place nothing is alike.
+    Distinct texts meet variants under keys with as many places masked as may differ, so no
+    pair is lost and few others meet. Without a shared place nothing is alike.
     """
     least = 0.65 if night else 0.70
+    texts = df.select(F.col(col).alias("_t")).where("_t <> ''").distinct()
+    other = variants.select("rank", "canonical", F.col("variant").alias("_v")).where("_v <> ''")
+    like = p.positional_matches("_t", "_v") / F.least(F.length("_t"), F.length("_v")) + F.when(F.length("_t") == F.length("_v"), 0.1).otherwise(0.0)
+    best = fuzzy_candidates(texts, other, least).where(like >= least).groupBy("_t").agg(F.min_by("canonical", "rank").alias("canonical"))
+    return df.join(best, F.col(col) == F.col("_t"), "left").withColumn("canonical", F.coalesce("canonical", F.col(col))).drop("_t")
 
-    def places(c: str):
-        return F.explode(F.transform(p.chars(F.col(c)), lambda x, i: F.struct(i.alias("i"), x.alias("c"))))
 
-    texts = df.select(F.col(col).alias("_t")).where("_t <> ''").distinct().withColumn("_at", places("_t"))
-    other = variants.select("rank", "canonical", F.col("variant").alias("_v")).withColumn("_at", places("_v"))
-    # Shared places are counted by the join itself.
-    pairs = texts.join(other, "_at").groupBy("_t", "_v", "rank", "canonical").agg(F.count("*").alias("n"))
-    like = F.col("n") / F.least(F.length("_t"), F.length("_v")) + F.when(F.length("_t") == F.length("_v"), 0.1).otherwise(0.0)
-    best = pairs.where(like >= least).groupBy("_t").agg(F.min_by("canonical", "rank").alias("canonical"))
-    return df.join(best, F.col(col) == F.col("_t"), "left").withColumn("canonical", F.coalesce("canonical", F.col(col))).drop("_t")
+def version_candidates(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of texts ``_t`` and plates ``_k`` of equal length that may differ in two places."""
+    return equal_length(texts, known, "_t", "_k", 2)
 
 
 def best_plate_version(df: DataFrame, known: DataFrame, col: str = "text") -> DataFrame:
     """The known plate of equal length that differs in at most two places, the smallest of
-    several; else the text. Blocks: of three parts one is the same, so parts are the keys."""
-    def parts(c):
-        n = F.length(c)
-        cut = F.floor(n / 3)
-        return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), n.alias("n"), F.substring(c, (i * cut + 1).cast("int"), (cut if i < 2 else n - 2 * cut).cast("int")).alias("s")) for i in range(3))))
-
-    texts = df.select(F.col(col).alias("_t")).distinct().withColumn("_p", parts(F.col("_t")))
-    other = known.select(F.col("plate").alias("_k")).distinct().withColumn("_p", parts(F.col("_k")))
-    pairs = texts.join(other, "_p").where(p.hamming("_t", "_k") <= 2)
+    several; else the text. Keys have two places masked, so the pairs that meet are those."""
+    texts = df.select(F.col(col).alias("_t")).distinct()
+    other = known.select(F.col("plate").alias("_k")).distinct()
+    pairs = version_candidates(texts, other).where(p.hamming("_t", "_k") <= 2)
     best = pairs.groupBy("_t").agg(F.min_by("_k", F.struct(p.hamming("_t", "_k") > 0, "_k")).alias("version"))
     return df.join(best, F.col(col) == F.col("_t"), "left").withColumn("version", F.coalesce("version", F.col(col))).drop("_t")
 

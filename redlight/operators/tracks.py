@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,15 +196,9 @@ def alive_parts(dets: DataFrame, key: str, max_age: int) -> DataFrame:
     return rows.join(starts, same).select("_k", "_f", F.coalesce("_part", "_open").alias("_part"))
 
 
-def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3, iou: float = 0.3, order: str = "det_id") -> DataFrame:
-    """``key, frame, track_id`` and the filtered boxes. Within a sequence frames are stepped in
-    order, frames without a detection too. Rows of a frame are taken in the order of ``order``,
-    so input partitions do not matter.
-
-    Sequences are cut where no track lives through, and the parts run in parallel; ids are
-    numbered on by the number of tracks that earlier parts made. A task streams over its parts
-    and holds one frame and the tracks that live in it, however long a sequence is.
-    """
+def _stepped(dets: DataFrame, key: str, max_age: int, min_hits: int, iou: float, order: str) -> DataFrame:
+    """What tracks tell, by parts, and one row more for each part, without a frame: the number
+    of tracks it made, the ``seconds`` its steps took and its last frame."""
     names = [key, "_part", "frame", order, *BOX]
     types = {f.name: f.dataType.simpleString() for f in dets.schema.fields}
     parts = alive_parts(dets.where("frame >= 1"), key, max_age)
@@ -211,37 +206,40 @@ def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3
     rows = rows.repartition(partitions(dets.sparkSession), key, "_part").sortWithinPartitions(key, "_part", "frame", order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tracker, held, out = None, None, [], []
+        at, tracker, held, out, seconds = None, None, [], [], 0.0
 
         def batch():
             cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[key, "_part", "frame", "track_id", *BOX])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[key, "_part", "frame", "track_id", *BOX, "seconds", "last"])
 
         def close():
             """Step the frame that is complete."""
+            began = time.perf_counter()
             boxes = np.array(held, float)
             for _ in range(min(at[2] - tracker.frame - 1, max_age + 1)):
                 tracker.step(np.zeros((0, 4)))
             tracker.frame = at[2] - 1
-            out.extend((at[0], at[1], *r) for r in tracker.step(boxes))
+            told = tracker.step(boxes)
+            out.extend((at[0], at[1], *r, None, None) for r in told)
+            return time.perf_counter() - began
 
         def end():
-            out.append((at[0], at[1], None, tracker.made, None, None, None, None))
+            out.append((at[0], at[1], None, tracker.made, None, None, None, None, seconds, at[2]))
 
         kinds = None
         for b in batches:
-            kinds = kinds or [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            kinds = kinds or [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.int64()]
             cols = [b.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7)]
             for k, part, f, *box in zip(*cols):
                 now = (k, part, f)
                 if now != at:
                     if held:
-                        close()
+                        seconds += close()
                         held = []
                     if at is None or now[:2] != at[:2]:
                         if at is not None:
                             end()
-                        tracker = Tracker(max_age, min_hits, iou)
+                        tracker, seconds = Tracker(max_age, min_hits, iou), 0.0
                         tracker.frame = f - 1
                     at = now
                 held.append(box)
@@ -249,18 +247,43 @@ def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3
                 yield batch()
                 out = []
         if held:
-            close()
+            seconds += close()
             end()
         if out:
             yield batch()
 
-    made = materialize(rows.mapInArrow(work, f"{key} {types[key]}, _part long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double"), "tracks")
+    return materialize(rows.mapInArrow(work, f"{key} {types[key]}, _part long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, seconds double, last long"), "tracks")
+
+
+def _numbered_on(made: DataFrame, key: str) -> DataFrame:
+    """Tracks of all parts, with ids that go on from those of earlier parts."""
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ends = made.where("frame is null").select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("track_id").over(before), F.lit(0)).alias("_made"))
     told = made.where("frame is not null").join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
     return told.select(key, "frame", (F.col("track_id") + F.col("_made")).alias("track_id"), *BOX)
 
 
+def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3, iou: float = 0.3, order: str = "det_id") -> DataFrame:
+    """``key, frame, track_id`` and the filtered boxes. Within a sequence frames are stepped in
+    order, frames without a detection too. Frames count from 1; rows of frames below are not
+    part of a sequence and are left out. Rows of a frame are taken in the order of ``order``,
+    so input partitions do not matter.
+
+    Sequences are cut where no track lives through, and the parts run in parallel; ids are
+    numbered on by the number of tracks that earlier parts made. A task streams over its parts
+    and holds one frame and the tracks that live in it, however long a sequence is.
+    """
+    return _numbered_on(_stepped(dets, key, max_age, min_hits, iou, order), key)
+
+
+def track_timed(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3, iou: float = 0.3, order: str = "det_id") -> tuple[DataFrame, DataFrame]:
+    """The tracks, and ``key, frames, seconds`` of each sequence from the same run: frames up to
+    its last one, and the seconds that stepping them took in the tasks."""
+    made = _stepped(dets, key, max_age, min_hits, iou, order)
+    took = made.where("frame is null").groupBy(key).agg(F.max("last").alias("frames"), F.sum("seconds").alias("seconds"))
+    return _numbered_on(made, key), took
+
+
 def tracking_throughput(df: DataFrame) -> DataFrame:
     """``seconds, frames, per_second`` from rows of ``seconds, frames``."""
     return df.agg(F.sum("seconds").alias("seconds"), F.sum("frames").alias("frames"), F.coalesce(F.try_divide(F.sum("frames"), F.sum("seconds")), F.lit(0.0)).alias("per_second"))

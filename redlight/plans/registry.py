@@ -413,10 +413,48 @@ def sequences(spark, d) -> DataFrame:
 
 
 add("t1_track")(lambda spark, d: tracks.track(sequences(spark, d), "camera").select("camera", "frame", "track_id", r4("x1").alias("x1")))
-add("t5_vehicle_ids")(lambda spark, d: identity.vehicle_ids(view(spark, d, "v_vec")).select("vec_id", "vehicle_id"))
+add("t5_vehicle_ids", """WITH RECURSIVE l AS (SELECT vec_id, t, unnest(features)::DOUBLE AS v, generate_subscripts(features, 1) AS dim FROM v_vec), m AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY dim),
+z AS (SELECT row_number() OVER (ORDER BY any_value(t), vec_id)::BIGINT AS a, vec_id, list(coalesce((v - m) / nullif(s, 0), 0) ORDER BY dim) AS c FROM l JOIN m USING (dim) GROUP BY vec_id),
+r(kind, a, b, n, c, h) AS (SELECT 0, a, 0::BIGINT, 1.0::DOUBLE, c, 0.0::DOUBLE FROM z UNION ALL
+(WITH d AS (SELECT x.a, y.a AS b, 2 * x.n * y.n / (x.n + y.n) * list_distance(x.c, y.c) ** 2 AS h FROM r x JOIN r y ON x.a <> y.a WHERE x.kind = 0 AND y.kind = 0),
+k AS (SELECT a, arg_min(b, (h, b)) AS b, min(h) AS h FROM d GROUP BY a), p AS (SELECT k.a, k.b, k.h FROM k JOIN k o ON o.a = k.b AND o.b = k.a WHERE k.a < k.b)
+SELECT 1, a, b, 0.0, NULL, h FROM p UNION ALL SELECT 0, r.a, 0, r.n, r.c, 0.0 FROM r WHERE kind = 0 AND EXISTS (SELECT 1 FROM p) AND r.a NOT IN (SELECT a FROM p UNION ALL SELECT b FROM p)
+UNION ALL SELECT 0, p.a, 0, x.n + y.n, list_transform(list_zip(x.c, y.c), lambda e: (e[1] * x.n + e[2] * y.n) / (x.n + y.n)), 0.0 FROM p JOIN r x ON x.a = p.a AND x.kind = 0 JOIN r y ON y.a = p.b AND y.kind = 0)),
+e AS MATERIALIZED (SELECT a, b FROM r WHERE kind = 1 AND sqrt(h) <= 0.7 * sqrt((SELECT max(h) FROM r WHERE kind = 1))), u AS MATERIALIZED (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+g AS (SELECT a AS x, a AS y FROM z UNION SELECT g.x, u.y FROM g JOIN u ON g.y = u.x), f AS (SELECT x, min(y) AS root FROM g GROUP BY x)
+SELECT vec_id, 'V' || dense_rank() OVER (ORDER BY root) AS vehicle_id FROM z JOIN f ON f.x = z.a""")(lambda spark, d: identity.vehicle_ids(view(spark, d, "v_vec")).select("vec_id", "vehicle_id"))
 over("v_vec", "t6_standardise", lambda d: identity.standardise(d).select("vec_id", "dim", (r4("z") + 0.0).alias("z")), """WITH l AS (SELECT vec_id, unnest(features)::DOUBLE AS v, generate_subscripts(features, 1) - 1 AS dim FROM v_vec), m AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY dim)
 SELECT vec_id, dim::INT AS dim, round(coalesce((v - m) / nullif(s, 0), 0), 4) + 0.0 AS z FROM l JOIN m USING (dim)""")
-add("a18_tracking_throughput", "SELECT 250.0::DOUBLE * count(*) / 1000 AS seconds, sum(n)::BIGINT AS frames, round(sum(n) / (0.25 * count(*)), 4)::DOUBLE AS per_second FROM (SELECT camera, count(DISTINCT frame) AS n FROM v_det GROUP BY camera)")(lambda spark, d: tracks.tracking_throughput(view(spark, d, "v_det").groupBy("camera").agg(F.countDistinct("frame").alias("frames"), F.lit(0.25).alias("seconds"))).withColumn("per_second", r4("per_second")))
+
+
+@add("a18_tracking_throughput", "SELECT sum(n)::BIGINT AS frames, true AS measured, true AS consistent FROM (SELECT camera, max(frame) + 1 AS n FROM v_det GROUP BY camera)")
+def a18(spark, d):
+    """Seconds are those of the run, so only their sense can be compared."""
+    told, took = tracks.track_timed(sequences(spark, d), "camera")
+    rate = tracks.tracking_throughput(took)
+    return rate.select("frames", (F.col("seconds") > 0).alias("measured"), (F.abs(F.col("per_second") * F.col("seconds") - F.col("frames")) < 1).alias("consistent"))
+
+
+@add("a05_plates_from_sketches", """WITH s AS (SELECT coalesce(ubicacion, '-') AS ubicacion, month(try_strptime(fecha, '%d/%m/%Y')) AS month, placa FROM v_inf WHERE placa IS NOT NULL), a AS (SELECT ubicacion, count(DISTINCT placa) AS plates FROM s GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT placa) FROM s UNION ALL SELECT 'spring', count(DISTINCT placa) FROM s WHERE month IN (3, 4, 5))
+SELECT ubicacion, plates, true AS near FROM a""")
+def a05_sketches(spark, d):
+    """Places, all of them, and the springs of all years, each from stored sketches only."""
+    rows = view(spark, d, "v_inf").withColumn("ubicacion", F.coalesce("ubicacion", F.lit("-")))
+    at = new_path(spark, "sketches")
+    indicators.daily_sketches(rows, ["ubicacion"]).write.parquet(at)
+    stored = spark.read.parquet(at)
+    month = F.month(F.try_to_timestamp("fecha", F.lit("dd/MM/yyyy")))
+    cuts = {None: (stored, rows), "all": (stored, rows), "spring": (stored.where(month.isin(3, 4, 5)), rows.where(month.isin(3, 4, 5)))}
+    out = None
+    for name, (about, exact) in cuts.items():
+        keys = [] if name else ["ubicacion"]
+        label = F.lit(name) if name else F.col("ubicacion")
+        e = exact.groupBy(*keys).agg(F.countDistinct("placa").alias("plates")).select(label.alias("ubicacion"), "plates")
+        a = indicators.plates_from_sketches(about, keys).select(label.alias("ubicacion"), F.col("plates").alias("about"))
+        both = e.join(a, "ubicacion").select("ubicacion", "plates", (F.abs(F.col("about") - F.col("plates")) <= 0.02 * F.col("plates")).alias("near"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
 
 # --- images --------------------------------------------------------------------------------
 _IMG = "WITH m AS (SELECT image_id, list_avg(pixels) AS mean, sqrt(list_avg([(x - list_avg(pixels)) ** 2 FOR x IN pixels])) AS std, list_sort(pixels)[floor((len(pixels) - 1) * 0.1)::INT + 1] AS p10 FROM v_img)"
@@ -578,13 +616,14 @@ def s08(spark, d):
     return spark.read.text(at).select(F.col("seq").cast("long").alias("seq"), "value")
 
 
-@add("s09_append_infractions", "SELECT inf_id, placa, fecha FROM v_inf")
+@add("s09_append_infractions", "SELECT inf_id, placa, fecha, CASE WHEN inf_id % 2 = 0 THEN '0' ELSE '1' END AS batch FROM v_inf")
 def s09(spark, d):
-    """Half of the rows, then all of them by key: no row twice."""
+    """Half of the rows, then all of them by key, and both batches again: no row twice."""
     at, rows = new_path(spark, "store"), _records(spark, d)
-    io.append_infractions(rows.where("inf_id % 2 = 0"), at)
-    io.append_infractions(rows, at, ["inf_id"])
-    return spark.read.parquet(at).select("inf_id", "placa", "fecha")
+    for _ in range(2):
+        io.append_infractions(rows.where("inf_id % 2 = 0"), at, 0)
+        io.append_infractions(rows, at, 1, ["inf_id"])
+    return io.read_stored(spark, at).select("inf_id", "placa", "fecha", "batch")
 
 
 @add("s10_export", "SELECT inf_id, placa, ubicacion, 'csv' AS fmt FROM v_inf UNION ALL SELECT inf_id, placa, ubicacion, 'json' FROM v_inf")
@@ -605,6 +644,16 @@ def s11(spark, d):
     return spark.read.text(at).select(value("TI"), value("IR"), value("TR"))
 
 
+@add("i1_stats_of_files", _PX + """ SELECT 'p' || image_id || '.png' AS name, round(mean, 4) AS mean, round(sqrt(list_avg([(x - mean) ** 2 FOR x IN pixels])), 4) AS std, round(var_pop(lap) + 0.00001::DOUBLE, 4) AS sharpness
+FROM m JOIN k USING (image_id) GROUP BY image_id, mean, pixels""")
+def i1_files(spark, d):
+    """Pictures written as files and read through Spark's image source."""
+    at = new_path(spark, "pictures")
+    io.write_pictures(image_rows(spark, d).withColumn("name", F.concat(F.lit("p"), F.col("image_id").cast("string"), F.lit(".png"))), at)
+    stats = images.image_stats(io.read_pictures(spark, at), "name")
+    return stats.select("name", r4("mean").alias("mean"), r4("std").alias("std"), r4(F.col("sharpness") + 0.00001).alias("sharpness"))
+
+
 # --- streams: the tables arrive as files, in one go or in batches -----------------------------
 def arriving(spark: SparkSession, rows: DataFrame, files: int = 1, order: str | None = None) -> DataFrame:
     """``rows`` as a stream of ``files`` files, one a batch, in ranges of ``order``."""
@@ -644,19 +693,56 @@ def r2(spark, d):
     return settled(live.first_sightings(arriving(spark, _seen(spark, d)), late="3650 days").select("plate"))
 
 
-@add("r3_running_panel", "WITH p AS (SELECT plate_key, count(*) AS n, sum(greatest(processing_time, 0.01)) FILTER (WHERE processing_time > 0) AS s, count(*) FILTER (WHERE processing_time > 0) AS k FROM v_hist GROUP BY 1) SELECT count(*) AS ti, round(coalesce(sum(s) / sum(k), 0), 4) AS tr, round(avg(CASE WHEN n > 1 THEN 100.0::DOUBLE ELSE 0 END), 4) AS ir FROM p")
+@add("r3_running_panel", """WITH p AS (SELECT b, plate_key, count(*) AS n, sum(greatest(processing_time, 0.01)) FILTER (WHERE processing_time > 0) AS s, count(*) FILTER (WHERE processing_time > 0) AS k FROM v_hist JOIN range(3) t(b) ON event_id % 3 <= b GROUP BY 1, 2)
+SELECT b AS batch, count(*) AS ti, round(coalesce(sum(s) / sum(k), 0), 4) AS tr, round(avg(CASE WHEN n > 1 THEN 100.0::DOUBLE ELSE 0 END), 4) AS ir FROM p GROUP BY b""")
 def r3(spark, d):
-    """The panel after the last of three batches."""
+    """The panel after each of three batches."""
     at = new_path(spark, "panel")
+    live.use_state_store(spark)
     live.write_panel(arriving(spark, _seen(spark, d).withColumn("part", (F.col("event_id") % 3).cast("int")), 3, "part"), at, f"{at}-log").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{at}/*")
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").select("ti", r4("tr").alias("tr"), r4("ir").alias("ir"))
+    return spark.read.parquet(f"{at}/*").where("batch < 3").select(F.col("batch").cast("long").alias("batch"), "ti", r4("tr").alias("tr"), r4("ir").alias("ir"))
 
 
 @add("r6_online_tracker")
 def r6(spark, d):
-    det = arriving(spark, sequences(spark, d).select("camera", "frame", "det_id", *BOX))
-    return settled(live.online_tracker(det)).select("camera", "frame", "track_id", r4("x1").alias("x1"))
+    """In three batches, the frames of each out of order; equal to the tracker over the table."""
+    det = sequences(spark, d).select("camera", "frame", "det_id", *BOX)
+    last = det.agg(F.max("frame")).first()[0]
+    part = F.least(F.lit(2), F.floor(F.col("frame") * 3 / (last + 1))).cast("int")
+    shifted = F.when(F.col("frame") % 5 == 2, F.least(F.lit(2), part + 1)).otherwise(part)
+    ends = det.select("camera").distinct().select("camera", F.lit(last * 2 + 10).cast("long").alias("frame"), F.lit(None).cast("long").alias("det_id"), *(F.lit(None).cast("double").alias(c) for c in BOX), F.lit(3).alias("part"))
+    live.use_state_store(spark)
+    rows = arriving(spark, det.withColumn("part", shifted).unionByName(ends), 4, "part")
+    with live.only_with_rows(spark):
+        told = settled(live.online_tracker(rows, slack=int(last) + 5))
+    return told.where("not late").select("camera", "frame", "track_id", r4("x1").alias("x1"))
+
+
+@add("r6_late_frames", "SELECT camera, frame + 1 AS frame, count(*) AS n FROM v_det WHERE det_id % 97 = 5 GROUP BY ALL")
+def r6_late(spark, d):
+    """Rows that come when their frame is over are told as late, not lost."""
+    det = sequences(spark, d).select("camera", "frame", "det_id", *BOX)
+    ends = det.select("camera").distinct().select("camera", (F.lit(det.agg(F.max("frame")).first()[0]) + 1).alias("frame"), F.lit(None).cast("long").alias("det_id"), *(F.lit(None).cast("double").alias(c) for c in BOX), F.lit(1).alias("part"))
+    live.use_state_store(spark)
+    rows = arriving(spark, det.withColumn("part", F.when(F.col("det_id") % 97 == 5, 2).otherwise(0)).unionByName(ends), 3, "part")
+    with live.only_with_rows(spark):
+        told = settled(live.online_tracker(rows))
+    return told.where("late").groupBy("camera", "frame").agg(F.count("*").alias("n"))
+
+
+def _close_sightings(spark, d) -> DataFrame:
+    """Twenty sightings a second; every second plate is read with look-alike letters."""
+    plate = F.concat(F.lit("B"), F.col("plate_key").cast("string"))
+    return view(spark, d, "v_hist").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, plate).otherwise(F.translate(plate, "0158", "OISB")).alias("plate"), F.timestamp_seconds(1_700_000_000 + F.floor(F.col("event_id") / 20)).alias("ts"))
+
+
+@add("r5_near_duplicates", "WITH s AS (SELECT event_id AS id, plate_key, floor(event_id / 20.0) AS t FROM v_hist) SELECT a.id AS a, b.id AS b, (b.t - a.t)::DOUBLE AS dt FROM s a JOIN s b ON a.plate_key = b.plate_key AND b.t >= a.t AND b.t < a.t + 5 AND (a.t < b.t OR a.id < b.id)")
+def r5(spark, d):
+    """A stream joined with itself, in three batches that follow each other in time."""
+    rows = _close_sightings(spark, d)
+    n = rows.agg(F.max("id")).first()[0] + 1
+    files = lambda: arriving(spark, rows.withColumn("part", F.floor(F.col("id") * 3 / n).cast("int")), 3, "part")
+    return settled(live.near_duplicates(files(), files()))
 
 
 @add("r7_append", "SELECT event_id, plate_key AS plate FROM v_hist")
@@ -671,10 +757,13 @@ _BATCHES = "SELECT event_id, ts, CASE WHEN event_id % 10 = 0 THEN 3 ELSE least(2
 
 @add("r8_late_rows", f"WITH b AS ({_BATCHES}), m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS mark FROM b GROUP BY batch) SELECT event_id FROM b JOIN m USING (batch) WHERE ts::DATE::TIMESTAMP + INTERVAL 1 DAY <= mark")
 def r8(spark, d):
-    """Rows that came after their day was closed: every tenth arrives last of all."""
+    """Rows that came after their day was closed, split off a stream of four batches: every
+    tenth row arrives last of all."""
     ranked = F.ntile(3).over(Window.orderBy("ts", "event_id")) - 1
     rows = _seen(spark, d).withColumn("batch", F.when(F.col("event_id") % 10 == 0, 3).otherwise(ranked))
-    return live.late_rows(rows, "batch").select("event_id")
+    at = new_path(spark, "split")
+    live.split_late(arriving(spark, rows, 4, "batch"), at, f"{at}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/late").select("event_id")
 
 
 # --- batch twins of the streams ------------------------------------------------------------

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -21,10 +26,12 @@ def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
 
 
 def read_infractions(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array a file; a corrupt file gives no rows."""
+    """One JSON array a file; a corrupt file gives no rows. Records are kept whatever fields
+    they lack (see ``indicators.with_defaults``)."""
     read = lambda: spark.read.schema(INFRACTION + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
     out = _or_empty(spark, INFRACTION + ", _bad string", read)
-    return out.where("_bad is null and (placa is not null or fecha is not null)").drop("_bad")
+    # The second part never holds; Spark wants another column read beside the corrupt record.
+    return out.where("_bad is null or placa = _bad").drop("_bad")
 
 
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -112,12 +119,49 @@ def write_media(files: DataFrame, folder: str) -> None:
     files.select("name", "data").mapInPandas(work, "name string").write.format("noop").mode("overwrite").save()
 
 
-def append_infractions(df: DataFrame, path: str, key: list[str] | None = None) -> None:
-    """Append as Parquet; with ``key`` only rows that are not stored yet."""
+def append_infractions(df: DataFrame, path: str, batch: int | str, key: list[str] | None = None) -> None:
+    """Append as Parquet, as the rows of ``batch``: a batch that is written again takes the place
+    of what it wrote before, so a run can be repeated and writers of different batches do not
+    meet. With ``key`` only rows that no other batch has."""
     if key:
-        old = _or_empty(df.sparkSession, df.limit(0).schema.simpleString()[7:-1].replace(":", " "), lambda: df.sparkSession.read.parquet(path))
-        df = df.join(old.select(*key), key, "left_anti").select(*df.columns)
-    df.write.mode("append").parquet(path)
+        empty = df.limit(0).withColumn("batch", F.lit(str(batch)))
+        old = _or_empty(df.sparkSession, empty.schema.simpleString()[7:-1].replace(":", " "), lambda: read_stored(df.sparkSession, path))
+        df = df.join(old.where(F.col("batch") != str(batch)).select(*key), key, "left_anti").select(*df.columns)
+    out = df.withColumn("batch", F.lit(str(batch)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`append_infractions` has stored, with ``batch`` as text."""
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+
+
+def _png(data: bytes, height: int, width: int, channels: int) -> bytes:
+    """A PNG file of 8-bit pixels: one channel, or blue, green, red."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., ::-1].reshape(height, -1)
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), x], 1).tobytes()
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def write_pictures(images: DataFrame, folder: str) -> None:
+    """Rows ``name, height, width, nChannels, data`` (the image source's layout, one or three
+    channels) as PNG files."""
+    def work(batches):
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "data": [_png(*r) for r in zip(b["data"], b["height"], b["width"], b["nChannels"])]})
+
+    write_media(images.select("name", "height", "width", "nChannels", "data").mapInPandas(work, "name string, data binary"), folder)
+
+
+def read_pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """Picture files through Spark's image source: ``name, height, width, nChannels, data``;
+    what is no picture gives no row."""
+    read = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    return read.select(F.regexp_extract("origin", "([^/]+)$", 1).alias("name"), "height", "width", "nChannels", "data")
 
 
 def export(df: DataFrame, path: str, fmt: str = "json") -> None:

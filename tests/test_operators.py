@@ -131,6 +131,8 @@ def test_images(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "log.json").write_text('[{"placa": "A", "fecha": "01/01/2023"}, {"placa": "B", "modo_nocturno": true}]')
+    (tmp_path / "some.json").write_text('[{"hora": "10:00:00", "ubicacion": "X", "tipo": "T"}, {"placa": "B"}]')
+    assert io.read_infractions(spark, str(tmp_path / "some.json")).count() == 2
     (tmp_path / "bad.json").write_text('[{"placa": ')
     assert io.read_infractions(spark, str(tmp_path / "log.json")).count() == 2
     assert io.read_infractions(spark, str(tmp_path / "bad.json")).count() == 0
@@ -148,9 +150,16 @@ def test_files(spark, tmp_path):
     back = io.read_plate_csv(spark, str(tmp_path / "plates")).collect()
     assert len(back) == 1 and back[0]["car_bbox"]["y2"] == 4.0
     inf = io.read_infractions(spark, str(tmp_path / "log.json"))
-    io.append_infractions(inf, str(tmp_path / "store"))
-    io.append_infractions(inf, str(tmp_path / "store"), ["placa"])
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    for _ in range(2):  # a batch that is written again takes its own place
+        io.append_infractions(inf, str(tmp_path / "store"), "monday")
+    io.append_infractions(inf, str(tmp_path / "store"), "tuesday", ["placa"])
+    assert io.read_stored(spark, str(tmp_path / "store")).count() == 2
+    io.append_infractions(inf, str(tmp_path / "store"), "tuesday")
+    assert io.read_stored(spark, str(tmp_path / "store")).groupBy("batch").count().count() == 2
+    colours = spark.createDataFrame([("c.png", 2, 1, 3, bytearray([1, 2, 3, 250, 0, 9])), ("g.png", 1, 2, 1, bytearray([7, 8]))], "name string, height int, width int, nChannels int, data binary")
+    io.write_pictures(colours, str(tmp_path / "pictures"))
+    back = io.read_pictures(spark, str(tmp_path / "pictures"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, colours.collect()))
     io.export(inf, str(tmp_path / "csv"), "csv")
     assert "modo_nocturno" in spark.read.option("header", True).csv(str(tmp_path / "csv")).columns
     (tmp_path / "times.json").write_text('{"processing_times": [1.5, 2.5]}')

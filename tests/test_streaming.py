@@ -1,7 +1,9 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from redlight.operators import tracks
+from redlight.plans import registry
 from redlight.plans.views import view
 from redlight.streaming import live
 
@@ -53,8 +55,77 @@ def test_infractions_and_tracks_are_the_batch(spark, tmp_path):
     det.coalesce(1).write.parquet(at)
     got = run(spark, live.live_infractions(stream(spark, at), presets, areas)).select("det_id").collect()
     assert sorted(got) == sorted(live.live_infractions(det, presets, areas).select("det_id").collect())
-    online = run(spark, live.online_tracker(stream(spark, at).select("camera", "frame", "det_id", "x1", "y1", "x2", "y2")))
-    assert sorted(map(tuple, online.select("camera", "frame", "track_id").collect())) == sorted(map(tuple, tracks.track(det, "camera").select("camera", "frame", "track_id").collect()))
+
+
+def test_online_tracker_out_of_order_is_the_batch(spark):
+    """The query's frames come in three batches, out of order within its slack."""
+    online, batch = (sorted(map(tuple, registry.QUERIES[q](spark, SF).collect())) for q in ("r6_online_tracker", "t1_track"))
+    assert online == batch
+
+
+def boxes(camera, frames):
+    return [(camera, f, 10 * f, 2.0 * f, 0.0, 2.0 * f + 30, 20.0) for f in frames]
+
+
+def test_idle_cameras_leave_no_state_and_late_frames_are_told(spark, tmp_path):
+    schema = "camera long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double"
+    at = str(tmp_path / "in")
+    batches = [boxes(1, range(1, 6)), boxes(2, [1, 2]), boxes(2, [3]) + boxes(1, [100, 101, 102, 103]), boxes(2, [2, 4]) + boxes(1, [50])]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+    live.use_state_store(spark)
+    dets = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    with live.only_with_rows(spark):
+        got = run(spark, live.online_tracker(dets, slack=0, idle=1)).collect()
+    rows = {(r["camera"], r["session"], r["frame"], r["track_id"], r["late"]) for r in got}
+    # Camera 1 was idle for a batch: what it brings then is a session of its own.
+    assert {(1, 1, f, 1, False) for f in range(1, 6)} <= rows
+    assert {r[1] for r in rows if r[0] == 1 and not r[4] and r[2] >= 100} == {100}
+    assert all(r[3] == 1 for r in rows if r[0] == 1 and not r[4])
+    assert sum(r[4] for r in rows) + sum(not r[4] for r in rows) == len(rows)
+
+
+def test_late_frames_are_not_lost(spark, tmp_path):
+    schema = "camera long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double"
+    at = str(tmp_path / "in")
+    for rows in (boxes(1, [1, 2, 4, 5]), boxes(1, [3, 6])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+    live.use_state_store(spark)
+    dets = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    with live.only_with_rows(spark):
+        none = run(spark, live.online_tracker(dets)).collect()
+    assert {(r["frame"], r["x1"]) for r in none if r["late"]} == {(3, 6.0)}
+    with live.only_with_rows(spark):
+        some = run(spark, live.online_tracker(dets, slack=2)).collect()
+    assert not any(r["late"] for r in some) and {r["frame"] for r in some} == {1, 2, 3, 4}
+
+
+def test_late_rows_split_off_are_those_the_window_drops(spark, tmp_path):
+    days = lambda *d: [(i, datetime.datetime(2024, 1, x, 12)) for i, x in enumerate(d)]
+    at, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in (days(1, 2), days(9, 9), days(10), days(2, 3, 10, 9)):
+        spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(at)
+    files = lambda: spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(at)
+    live.split_late(files(), out, f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    late, kept = spark.read.parquet(f"{out}/late"), spark.read.parquet(f"{out}/kept")
+    assert sorted(r["ts"].day for r in late.collect()) == [2, 3] and kept.count() == 7
+    told = run(spark, live.daily_counts(files()), "update").groupBy("day").agg(F.max("n").alias("n"))
+    want = live.daily_counts(kept.select("ts"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+    # A batch that is run again takes its own place.
+    assert spark.read.parquet(f"{out}/marks").count() == 4
+
+
+def test_panel_costs_follow_the_batch(spark, tmp_path):
+    at, out = str(tmp_path / "in"), str(tmp_path / "out")
+    seen = [[("a", 2.0), ("b", -1.0), (None, 0.001)], [("a", 3.0), ("a", 1.0)], [("b", 0.0)]]
+    for rows in seen:
+        spark.createDataFrame(rows, "plate string, processing_time double").coalesce(1).write.mode("append").parquet(at)
+    live.use_state_store(spark)
+    rows = spark.readStream.schema("plate string, processing_time double").option("maxFilesPerTrigger", 1).parquet(at)
+    live.write_panel(rows, out, f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{out}/*").where("batch < 3").orderBy("batch").select("plates", "back", F.round("tr", 4), F.round("ir", 2)).collect()]
+    assert got == [(3, 0, 1.005, 0.0), (3, 1, 1.5025, 33.33), (3, 2, 1.5025, 66.67)]
 
 
 def test_append(spark, folder, tmp_path):
