@@ -18,34 +18,28 @@ compared in a second step, first as sketches. Equal texts are folded before and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, joined
 from ..storage import new_path, scratch, write_table
 from . import simhash
 from .common import enter, materialize, partitions, utf8
+from .shingling import shingle_sets
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``shingle`` words (ASCII lower case,
-    split at ASCII white space). A shorter text, also an empty one, is one run."""
-    words = text.lower().split()
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
-    n = max(1, len(w) - shingle + 1)
-    h = np.full(n, len(w) if len(w) < shingle else shingle, np.uint64)
-    for i in range(min(shingle, len(w))):
-        h = (h ^ w[i : i + n]) * _MIX
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+def shingles(texts: Iterable[bytes], shingle: int = 5) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the runs of ``shingle`` words of each text (ASCII lower case,
+    split at ASCII white space). A shorter text is one run, also one without words."""
+    none = np.zeros(1, np.uint64)
+    for s in shingle_sets(texts, shingle):
+        yield s if len(s) else none
 
 
 def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -72,8 +66,8 @@ def common_shingles(texts: DataFrame, shingle: int, most: int = 65_536, from_cou
         h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held, size = [], 0
         for b in batches:
-            for t in b.column(0):
-                held.append(shingles(t.as_py(), shingle))
+            for s in shingles((t.as_py() for t in b.column(0)), shingle):
+                held.append(s)
                 size += len(held[-1])
                 if size >= 1_000_000:
                     h, n = _fold_counts(np.concatenate([h, *held]), np.concatenate([n, np.ones(size, np.int64)]), most)
@@ -96,8 +90,7 @@ def prefixes(texts: DataFrame, shingle: int, least: float, common: np.ndarray) -
         enter("near_copies")
         for b in batches:
             row, h, n, pos = [], [], [], []
-            for i, t in enumerate(b.column(1)):
-                s = shingles(t.as_py(), shingle)
+            for i, s in enumerate(shingles((t.as_py() for t in b.column(1)), shingle)):
                 p = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -130,8 +123,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
                 if (y := y.as_py()) != last:
-                    last, seen = y, shingles(y, shingle)
-                ok.append(_similar(shingles(x.as_py(), shingle), seen, least))
+                    last, seen = y, next(shingles([y], shingle))
+                ok.append(_similar(next(shingles([x.as_py()], shingle)), seen, least))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
@@ -218,7 +211,7 @@ def _drawn(shared: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("near_copies")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingles(t.as_py(), shingle)) for t in b.column(1)], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(s) for s in shingles((t.as_py() for t in b.column(1)), shingle)], pa.binary())], names=["id", "s"])
 
     return materialize(texts.join(shared.where("many > 2").select("id").distinct(), "id").select("id", "t").mapInArrow(draw, "id long, s binary"), "sketches")
 
@@ -244,15 +237,6 @@ def _left_over(shared: DataFrame, drawn: DataFrame, roots: DataFrame, least: flo
     return dealt.mapInArrow(_near(least, best), "a long, b long").distinct()
 
 
-def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Components after some more pairs: only those that the pairs join are gone through."""
-    top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    pairs = materialize(pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "joined")
-    nodes = roots.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))).distinct()
-    lifted = nodes.join(components(pairs).toDF("root", "higher"), "root", "left")
-    return lifted.select("node", F.coalesce("higher", "root").alias("root"))
-
-
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``text_key, first``: for each distinct text (``text_key``: the MD5 of its UTF-8) the
     first document that links of similarity ``least`` reach, as ``doc_id, text_key``: that
@@ -273,11 +257,11 @@ def _near_copies(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     # Own numbers, as ids may be null or repeat.
     texts = materialize(rows.groupBy("k").agg(F.min("f").alias("f"), F.any_value("t").alias("t")).withColumn("id", F.monotonically_increasing_id()), "texts")
     close = simhash.near_duplicates(texts.select("id", F.col("t").cast("string").alias("text")), "id", "text", shingle)
-    joined = _verified(close.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), texts, shingle, least)
+    checked = _verified(close.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), texts, shingle, least)
     shared, stars = candidates(prefixes(texts, shingle, least, common_shingles(texts, shingle)), least)
-    of = lambda c: joined.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
+    of = lambda c: checked.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
     far = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-    edges = joined.unionByName(_verified(far, texts, shingle, least))
+    edges = checked.unionByName(_verified(far, texts, shingle, least))
     roots, drawn = components(edges), _drawn(shared, texts, shingle)
     # Components join their nearest ones first, as these are many in a large group; what then
     # is left is looked at in full.

@@ -14,8 +14,8 @@ shingle, and no pair is missed.
 1. Every set goes to the tree of its rarest shared shingle, with its text. Traversal and exact
    check run in the task; sets that are joined are not compared again.
 2. Trees of all shared shingles whose sets lie in several components, over bitmaps alone. They
-   first give the nearest pair of each component (twice), then every pair that is left, and
-   pairs are checked on the texts. Very large trees are dealt out by blocks of what lies
+   first give the nearest pair of each component, then every pair that is left, and pairs are
+   checked on the texts. Very large trees are dealt out by blocks of what lies
    outside their largest component.
 
 Equal sets are folded before. Shingles are known by 64-bit hashes, sets by 128-bit ones.
@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, joined
 from ..storage import discard, new_path, scratch, write_table
 from .common import enter, materialize, partitions, utf8
-from .near_copies import common_shingles, joined, shingles
+from .near_copies import common_shingles
+from .shingling import shingle_set, shingle_sets
 
 BITS = 1024
 FAN = 8
@@ -45,11 +46,6 @@ HELD = 4096
 SMALL = 1_000_000
 
 
-def members(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; none without words."""
-    return shingles(text, shingle) if text.strip() else np.zeros(0, np.uint64)
-
-
 def bitmap(s: np.ndarray) -> np.ndarray:
     """The bits of a set, as 64-bit words; hashes are mixed, as sets are sorted by them."""
     on = np.zeros(BITS, np.uint8)
@@ -144,7 +140,7 @@ def link(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def shingle_sets(docs: DataFrame, shingle: int, percent: int, common: np.ndarray) -> DataFrame:
+def named_sets(docs: DataFrame, shingle: int, percent: int, common: np.ndarray) -> DataFrame:
     """``doc_id, m, k1, k2, n, rare, prefix``: a hash of the text, the name and size of its set,
     and the members of its prefix, rarest first; the first ``rare`` are not ``common``."""
     order = np.argsort(common)
@@ -154,8 +150,7 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, common: np.ndarray
         enter("signature_tree")
         for b in batches:
             names, n, rare, prefix = [], [], [], []
-            for t in b.column(2):
-                s = members(t.as_py(), shingle)
+            for s in shingle_sets((t.as_py() for t in b.column(2)), shingle):
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 hit = np.zeros(len(s), bool)
@@ -185,54 +180,88 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
-    """``id, k1, k2, g, part, n, t``: the sets that share a shingle, the rarest of these, and one
-    of their texts each."""
+    """``id, g, part, n, t``: the sets that share a shingle, the rarest of these, and a text of
+    theirs, a few times for a set with many copies."""
     first = shared.groupBy("id").agg(F.min_by("h", -F.col("room")).alias("g"))
     wanted = materialize(sets.select("id", "m", "k1", "k2", "n").join(first, "id"), "wanted")
     parts = wanted.groupBy("g").agg(F.ceil(F.count("*") / (8 * WITH_TEXT)).cast("int").alias("parts")).where("parts > 1")
     wanted = wanted.join(parts, "g", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     few = wanted.limit(SMALL + 1).count() <= SMALL
-    found = docs.select(F.xxhash64("t").alias("m"), "t").join(F.broadcast(wanted) if few else wanted, "m")
-    one = found.groupBy("id", "k1", "k2", "g", "part", "n").agg(F.first("t").alias("t"))
-    return materialize(one, "set-texts")
+    found = docs.select(F.xxhash64("t").alias("m"), "t").join(F.broadcast(wanted) if few else wanted, "m").select("id", "g", "part", "n", "t")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of equal texts the first of each task: copies never meet in numbers."""
+        enter("signature_tree")
+        seen: set[int] = set()
+        for b in batches:
+            new = []
+            for k, i in enumerate(b.column(0).to_pylist()):
+                if i not in seen:
+                    seen.add(i)
+                    new.append(k)
+            if len(seen) > SMALL:
+                seen.clear()
+            yield b.take(pa.array(new, pa.int64()))
+
+    return materialize(found.mapInArrow(once, found.schema), "set-texts")
 
 
 def _tasks(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``a, b``: links within the trees of rarest shared shingles."""
+    """``a, b``: links within the trees of rarest shared shingles; ``a, s``: every set's bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("signature_tree")
-        now, ids, sets, a, b_ = None, [], [], [], []
+        now, ids, sets, size, pairs = None, [], [], 0, []
 
-        def close():
-            if len(ids) > 1:
-                for x, y in link(sets, percent):
-                    a.append(max(ids[x], ids[y]))
-                    b_.append(min(ids[x], ids[y]))
+        def close() -> list[tuple[int, int]]:
+            found = link(sets, percent) if len(ids) > 1 else []
+            return [(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in found]
 
         for b in batches:
-            for g, part, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
-                if (g, part) != now or len(ids) >= WITH_TEXT or sum(map(len, sets[-1:])) * len(sets) > 1 << 22:
-                    close()
-                    now, ids, sets = (g, part), [], []
+            own, bits = [], []
+            for g, part, i, s in zip(*(b.column(k).to_pylist() for k in range(3)), shingle_sets((t.as_py() for t in b.column(3)), shingle)):
+                if ids and i == ids[-1]:  # another copy
+                    continue
+                if (g, part) != now or len(ids) >= WITH_TEXT or size > 1 << 22:
+                    pairs += close()
+                    now, ids, sets, size = (g, part), [], [], 0
                 ids.append(i)
-                sets.append(members(t.as_py(), shingle))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
-            a, b_ = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+                sets.append(s)
+                size += len(s)
+                own.append(i)
+                bits.append(bitmap(s).tobytes())
+            yield told(pairs, own, bits)
+            pairs = []
+        yield told(pairs + close(), [], [])
+
+    def told(pairs: list, ids: list, bits: list) -> pa.RecordBatch:
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array([*a, *ids], pa.int64()), pa.array([*b, *[None] * len(ids)], pa.int64()), pa.array([*[None] * len(a), *bits], pa.binary())], names=["a", "b", "s"])
 
     dealt = texts.select("g", "part", "n", "id", "t").repartition(partitions(texts.sparkSession), "g", "part").sortWithinPartitions("g", "part", "n", "id")
-    return dealt.select("g", "part", "id", "t").mapInArrow(work, "a long, b long")
-
-
-def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("signature_tree")
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(members(t.as_py(), shingle)).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
-
-    return materialize(texts.select("id", "t").mapInArrow(work, "id long, s binary"), "bitmaps")
+    return materialize(dealt.select("g", "part", "id", "t").mapInArrow(work, "a long, b long, s binary"), "linked")
+
+
+def _small(cols: list[np.ndarray], at: np.ndarray, percent: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+    """What :func:`traverse` tells of many trees of so few sets that they have one level: rows
+    ``from, to`` of kind 0, then of kind 1, for each in ``at``. Yields the pairs' rows, shared
+    bits and tree; about ``most`` pairs a step."""
+    ids, n, room, root, bits = cols
+    extra = n - np.bitwise_count(bits).sum(1).astype(np.int64)
+    size = (at[:, 1] - at[:, 0]) * (at[:, 3] - at[:, 2])
+    step = np.cumsum(size) // most
+    for first, last in zip(np.searchsorted(step, np.unique(step)), np.searchsorted(step, np.unique(step), "right")):
+        a, c = at[first:last], size[first:last]
+        tree = np.repeat(np.arange(first, last), c)
+        k = np.arange(len(tree)) - np.repeat(np.cumsum(c) - c, c)
+        wide = np.repeat(a[:, 3] - a[:, 2], c)
+        i, j = np.repeat(a[:, 0], c) + k // wide, np.repeat(a[:, 2], c) + k % wide
+        need = percent * (n[i] + n[j])
+        ok = (root[i] != root[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i]) & ((100 + percent) * np.minimum(room[i], room[j]) >= need)
+        i, j, need, tree = i[ok], j[ok], need[ok], tree[ok]
+        shared = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
+        ok = (100 + percent) * (shared + np.minimum(extra[i], extra[j])) >= need
+        yield i[ok], j[ok], shared[ok], tree[ok]
 
 
 def _meet(percent: int, best: bool):
@@ -240,24 +269,19 @@ def _meet(percent: int, best: bool):
     size: pairs of a set of kind 0 with one of kind 1 that may be alike, with ``best`` only the
     nearest for each component of kind 0. Kind 0 is held, kind 1 streams by."""
 
-    def pairs(held: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x, y, near, of = [], [], [], []
+    def nearest(tree, x, y, near, of) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((y, x, -near, of, tree))
+        new = (of[order][1:] != of[order][:-1]) | (tree[order][1:] != tree[order][:-1])
+        first = order[np.concatenate([np.ones(min(1, len(order)), bool), new])]
+        return tuple(v[first] for v in (tree, x, y, near, of))
+
+    def large(held: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        found = []
         for i, j, shared in traverse(Tree(held[4], held[1], held[2], held[3]), Tree(b[4], b[1], b[2], b[3]), percent):
-            x.append(held[0][i])
-            y.append(b[0][j])
-            near.append(shared / (held[1][i] + b[1][j]))
-            of.append(held[3][i])
-            if best and len(x) > 1:
-                x, y, near, of = ([v] for v in nearest(*(np.concatenate(v) for v in (x, y, near, of))))
-        if not x:
-            return held[0][:0], held[0][:0]
-        x, y, near, of = (np.concatenate(v) for v in (x, y, near, of))
-        return nearest(x, y, near, of)[:2] if best else (x, y)
-
-    def nearest(x, y, near, of):
-        order = np.lexsort((y, x, -near, of))
-        first = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
-        return x[first], y[first], near[first], of[first]
+            found.append((np.zeros(len(i), np.int64), held[0][i], b[0][j], shared / (held[1][i] + b[1][j]), held[3][i]))
+            if best and len(found) > 1:
+                found = [nearest(*(np.concatenate(v) for v in zip(*found)))]
+        return tuple(np.concatenate(v) for v in zip(*found)) if found else ()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("signature_tree")
@@ -269,33 +293,48 @@ def _meet(percent: int, best: bool):
             cols = [b.column(i).to_numpy() for i in range(3, 7)]
             cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64))
             edges = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            start, end = np.concatenate([[0], edges]), np.concatenate([edges, [len(h)]])
+            # Kind 0 and kind 1 of one tree, both here and whole, and few.
+            pair = (kind[start[:-1]] == 0) & (kind[start[1:]] == 1) & (h[start[:-1]] == h[start[1:]]) & (part[start[:-1]] == part[start[1:]])
+            few = pair & ((end - start)[:-1] * (end - start)[1:] <= 4 * FAN * FAN) & (start[:-1] > 0) & (end[1:] < len(h))
+            at = np.flatnonzero(few)
             out = []
-            for i, e in zip([0, *edges], [*edges, len(h)]):
+            for i, j, shared, tree in _small(cols, np.stack([start[at], end[at], start[at + 1], end[at + 1]], 1), percent):
+                found = (tree, cols[0][i], cols[0][j], shared / (cols[1][i] + cols[1][j]), cols[3][i])
+                out.append(nearest(*found) if best else found)
+            done = np.zeros(len(start), bool)
+            done[at] = done[at + 1] = True
+            for k in np.flatnonzero(~done):
+                i, e = start[k], end[k]
                 now, mine = (h[i], part[i]), [c[i:e] for c in cols]
                 if kind[i] == 0:
                     held = [np.concatenate(x) for x in zip(held, mine)] if now == last and held is not None else mine
                     last = now
-                elif now == last:
-                    out.append(pairs(held, mine))
+                elif now == last and (found := large(held, mine)):
+                    out.append(nearest(*found) if best else found)
             if out:
-                x, y = (np.concatenate(v) for v in zip(*out))
+                x, y = (np.concatenate([o[k] for o in out]) for k in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     return work
 
 
-def _between(shared: DataFrame, bitmaps: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """``a, b`` in different components that may be alike, by the trees of all shingles."""
-    rows = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = materialize(rows, "rooted")
+def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of ``h, id, n, room`` the rows of trees whose sets lie in several components, with their
+    ``root``, the tree's largest (``main``), and by how many tasks the others are dealt out."""
+    rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     size = rows.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", "c").alias("main"))
     trees = size.where("roots > 1").select("h", "main", F.ceil((F.col("all") - F.col("most")) / HELD).cast("int").alias("parts"))
-    rows = materialize(rows.join(trees, "h"), "outside")
+    return materialize(rows.join(trees, "h").select("h", "id", "n", "room", "root", "main", "parts"), "unsettled")
+
+
+def _between(rows: DataFrame, bitmaps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """``a, b`` in different components that may be alike, by the trees of unsettled rows."""
     own = F.array(F.when(F.col("root") != F.col("main"), F.struct(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"))))
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(1).alias("kind")))
-    dealt = rows.withColumn("at", F.explode(F.concat(F.array_compact(own), every))).join(bitmaps, "id")
+    dealt = rows.join(bitmaps, "id").withColumn("at", F.explode(F.concat(F.array_compact(own), every)))
     dealt = dealt.select("h", "at.part", "at.kind", "id", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), "root", "s")
-    dealt = dealt.repartition(partitions(shared.sparkSession), "h", "part").sortWithinPartitions("h", "part", "kind", "root", "n")
+    dealt = dealt.repartition(partitions(rows.sparkSession), "h", "part").sortWithinPartitions("h", "part", "kind", "root", "n")
     return dealt.mapInArrow(_meet(percent, best), "a long, b long").distinct()
 
 
@@ -309,15 +348,15 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
                 if (y := y.as_py()) != last:
-                    last, seen = y, members(y, shingle)
-                ok.append(alike(members(x.as_py(), shingle), seen, percent))
+                    last, seen = y, shingle_set(y, shingle)
+                ok.append(alike(shingle_set(x.as_py(), shingle), seen, percent))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     pairs = materialize(pairs, "candidates")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
     few = ids.limit(SMALL + 1).count() <= SMALL
-    found = texts.select("id", "t").join(F.broadcast(ids) if few else ids, "id")
+    found = texts.select("id", "t").join(F.broadcast(ids) if few else ids, "id").groupBy("id").agg(F.first("t").alias("t"))
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), "alike")
 
@@ -326,20 +365,17 @@ def _components(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     spark = docs.sparkSession
     shared = shared_shingles(sets)
     texts = with_texts(docs, sets, shared)
-    bitmaps = _bitmaps(texts, shingle)
-    at = new_path(spark, "roots")
-    roots = write_table(components(materialize(_tasks(texts, shingle, percent), "links")), at)
-    turns = [True, True, False]
-    while turns:
-        best, before = turns.pop(0), at
-        kept = new_path(spark, "roots")
+    linked = _tasks(texts, shingle, percent)
+    bitmaps = linked.where("s is not null").select(F.col("a").alias("id"), "s").dropDuplicates(["id"])
+    roots = materialize(components(linked.where("b is not null").select("a", "b")), "roots")
+    rows = shared
+    for best in (True, False):
+        kept, left = new_path(spark, "roots"), new_path(spark, "left")
         with scratch(spark):
-            more = _checked(_between(shared, bitmaps, roots, percent, best), texts, shingle, percent)
-            if more.isEmpty():
-                turns = turns if not best else turns[-1:]
-                continue
-            roots, at = write_table(joined(roots, more), kept), kept
-        discard(spark, before)
+            rows = write_table(_unsettled(rows.select("h", "id", "n", "room"), roots), left)
+            more = _checked(_between(rows, bitmaps, percent, best), texts, shingle, percent)
+            if not more.isEmpty():
+                roots = write_table(joined(roots, more), kept)
     return roots
 
 
@@ -358,13 +394,16 @@ def similar_sets(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", utf8("text").alias("t"))
-    every = materialize(shingle_sets(texts, shingle, percent, common_shingles(texts, shingle)), "sets")
-    one = every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("m", "n", "rare", "prefix")).alias("x"))
-    sets = materialize(one.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "x.*"), "distinct-sets")
-    kept = new_path(spark, "set-components")
+    wide, slim, kept = (new_path(spark, n) for n in ("sets", "set-names", "set-components"))
     with scratch(spark):
-        roots = write_table(_components(texts.select("t"), sets, shingle, percent), kept)
-    names = sets.select("k1", "k2", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("root"))
+        found = write_table(named_sets(texts, shingle, percent, common_shingles(texts, shingle)), wide)
+        one = found.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("m", "n", "rare", "prefix")).alias("x"))
+        sets = materialize(one.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "x.*"), "distinct-sets")
+        every = write_table(found.select("doc_id", "k1", "k2", "n"), slim)
+        discard(spark, wide)
+        roots = _components(texts.select("t"), sets, shingle, percent)
+        names = sets.select("k1", "k2", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        names = write_table(names.select("k1", "k2", F.coalesce("root", "id").alias("root")), kept)
     own = every.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first")).join(names, ["k1", "k2"])
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))
     # A table of its own, so that Spark can split a set with very many documents below.
