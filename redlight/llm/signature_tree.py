@@ -183,7 +183,7 @@ def with_texts(docs: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame
     """``id, g, part, n, t``: the sets that share a shingle, the rarest of these, and a text of
     theirs, a few times for a set with many copies."""
     first = shared.groupBy("id").agg(F.min_by("h", -F.col("room")).alias("g"))
-    wanted = materialize(sets.select("id", "m", "k1", "k2", "n").join(first, "id"), "wanted")
+    wanted = materialize(sets.select("id", "m", "n").join(first, "id"), "wanted")
     parts = wanted.groupBy("g").agg(F.ceil(F.count("*") / (8 * WITH_TEXT)).cast("int").alias("parts")).where("parts > 1")
     wanted = wanted.join(parts, "g", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     few = wanted.limit(SMALL + 1).count() <= SMALL
@@ -264,6 +264,16 @@ def _small(cols: list[np.ndarray], at: np.ndarray, percent: int, most: int = 1 <
         yield i[ok], j[ok], shared[ok], tree[ok]
 
 
+def _side_by_side(h: np.ndarray, part: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From and to of each stretch of rows of one tree and kind, and the stretches of kind 0 with
+    that of kind 1 behind them that are few rows, and whole in this batch."""
+    edges = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+    start, end = np.concatenate([[0], edges]), np.concatenate([edges, [len(h)]])
+    pair = (kind[start[:-1]] == 0) & (kind[start[1:]] == 1) & (h[start[:-1]] == h[start[1:]]) & (part[start[:-1]] == part[start[1:]])
+    few = pair & ((end - start)[:-1] * (end - start)[1:] <= 4 * FAN * FAN) & (start[:-1] > 0) & (end[1:] < len(h))
+    return np.flatnonzero(few), start, end
+
+
 def _meet(percent: int, best: bool):
     """Over rows ``h, part, kind, id, n, room, root, s``, sorted by the first three and root and
     size: pairs of a set of kind 0 with one of kind 1 that may be alike, with ``best`` only the
@@ -292,12 +302,7 @@ def _meet(percent: int, best: bool):
             h, part, kind = (b.column(i).to_numpy() for i in range(3))
             cols = [b.column(i).to_numpy() for i in range(3, 7)]
             cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64))
-            edges = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
-            start, end = np.concatenate([[0], edges]), np.concatenate([edges, [len(h)]])
-            # Kind 0 and kind 1 of one tree, both here and whole, and few.
-            pair = (kind[start[:-1]] == 0) & (kind[start[1:]] == 1) & (h[start[:-1]] == h[start[1:]]) & (part[start[:-1]] == part[start[1:]])
-            few = pair & ((end - start)[:-1] * (end - start)[1:] <= 4 * FAN * FAN) & (start[:-1] > 0) & (end[1:] < len(h))
-            at = np.flatnonzero(few)
+            at, start, end = _side_by_side(h, part, kind)
             out = []
             for i, j, shared, tree in _small(cols, np.stack([start[at], end[at], start[at + 1], end[at + 1]], 1), percent):
                 found = (tree, cols[0][i], cols[0][j], shared / (cols[1][i] + cols[1][j]), cols[3][i])
@@ -328,14 +333,41 @@ def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(rows.join(trees, "h").select("h", "id", "n", "room", "root", "main", "parts"), "unsettled")
 
 
+def _possible(percent: int):
+    """Over rows as in :func:`_meet`, but without bitmaps: those that some row of the other kind
+    could be alike by size and room alone. Larger trees pass as they are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("signature_tree")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, part, kind = (b.column(i).to_numpy() for i in range(3))
+            at, start, end = _side_by_side(h, part, kind)
+            keep = np.ones(len(h), bool)
+            for k in at:
+                keep[start[k] : end[k + 1]] = False
+            none = np.zeros((len(h), 1), np.uint64)
+            cols = [b.column(i).to_numpy() for i in range(3, 7)]
+            for i, j, _, _ in _small([*cols, none], np.stack([start[at], end[at], start[at + 1], end[at + 1]], 1), percent):
+                keep[i] = keep[j] = True
+            yield b.filter(pa.array(keep))
+
+    return work
+
+
 def _between(rows: DataFrame, bitmaps: DataFrame, percent: int, best: bool) -> DataFrame:
     """``a, b`` in different components that may be alike, by the trees of unsettled rows."""
+    n = partitions(rows.sparkSession)
     own = F.array(F.when(F.col("root") != F.col("main"), F.struct(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"))))
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(1).alias("kind")))
-    dealt = rows.join(bitmaps, "id").withColumn("at", F.explode(F.concat(F.array_compact(own), every)))
-    dealt = dealt.select("h", "at.part", "at.kind", "id", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), "root", "s")
-    dealt = dealt.repartition(partitions(rows.sparkSession), "h", "part").sortWithinPartitions("h", "part", "kind", "root", "n")
-    return dealt.mapInArrow(_meet(percent, best), "a long, b long").distinct()
+    dealt = rows.withColumn("at", F.explode(F.concat(F.array_compact(own), every)))
+    dealt = dealt.select("h", "at.part", "at.kind", "id", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), "root")
+    dealt = dealt.repartition(n, "h", "part").sortWithinPartitions("h", "part", "kind", "root", "n")
+    # Few rows are left, so few bitmaps are sent.
+    left = materialize(dealt.mapInArrow(_possible(percent), dealt.schema), "possible")
+    met = left.join(bitmaps, "id").select(*dealt.columns, "s").repartition(n, "h", "part").sortWithinPartitions("h", "part", "kind", "root", "n")
+    return met.mapInArrow(_meet(percent, best), "a long, b long").distinct()
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -361,10 +393,13 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), "alike")
 
 
-def _components(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, sets: DataFrame, wide: str, shingle: int, percent: int) -> DataFrame:
+    """``node, root``. The table of ``sets`` at ``wide`` goes once their prefixes are not needed."""
     spark = docs.sparkSession
     shared = shared_shingles(sets)
-    texts = with_texts(docs, sets, shared)
+    slim = materialize(sets.select("id", "m", "n"), "set-sizes")
+    discard(spark, wide)
+    texts = with_texts(docs, slim, shared)
     linked = _tasks(texts, shingle, percent)
     bitmaps = linked.where("s is not null").select(F.col("a").alias("id"), "s").dropDuplicates(["id"])
     roots = materialize(components(linked.where("b is not null").select("a", "b")), "roots")
@@ -394,15 +429,16 @@ def similar_sets(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", utf8("text").alias("t"))
-    wide, slim, kept = (new_path(spark, n) for n in ("sets", "set-names", "set-components"))
+    wide, distinct, slim, kept = (new_path(spark, n) for n in ("sets", "distinct-sets", "set-names", "set-components"))
     with scratch(spark):
         found = write_table(named_sets(texts, shingle, percent, common_shingles(texts, shingle)), wide)
         one = found.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("m", "n", "rare", "prefix")).alias("x"))
-        sets = materialize(one.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "x.*"), "distinct-sets")
+        sets = write_table(one.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "x.*"), distinct)
+        ids = materialize(sets.select("k1", "k2", "id"), "set-ids")
         every = write_table(found.select("doc_id", "k1", "k2", "n"), slim)
         discard(spark, wide)
-        roots = _components(texts.select("t"), sets, shingle, percent)
-        names = sets.select("k1", "k2", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        roots = _components(texts.select("t"), sets, distinct, shingle, percent)
+        names = ids.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
         names = write_table(names.select("k1", "k2", F.coalesce("root", "id").alias("root")), kept)
     own = every.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first")).join(names, ["k1", "k2"])
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))

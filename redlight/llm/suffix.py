@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.identity import numbered
 from .common import enter, materialize, partitions, unwrapped, utf8, worker_state, wrapped
 
 KGRAM = 37
@@ -439,9 +440,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With ``characters`` the runs grow to whole characters, so that ``kept`` is the text
     without them. A null or empty text has neither. Long texts are searched whole, in tiles.
-    Rows with the same id and text are one document and get the same result. Columns of
-    ``docs`` named ``removed`` or ``kept`` give way to the new ones.
+    Rows with the same id and text are one document and get the same result. Of documents with
+    equal ids that with the smaller hash of its text counts as earlier. Ids may be of any type
+    that has an order; null ids come first. An empty table gives no rows. Columns of ``docs``
+    named ``removed`` or ``kept`` give way to the new ones.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        # By their ranks.
+        ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct()
+        ranks = materialize(numbered(ids, ["i"], "r").select("i", F.col("r").cast("long").alias("r")), "ranks")
+        rows = wrapped(docs, i=F.col(id_col)).join(ranks, "i", "left").select("row", F.col("r").alias("doc_id"), F.col("row")[text_col].alias("text"))
+        return unwrapped(cut_repeats(rows, "doc_id", "text", window, characters, **options), docs, removed=F.col("removed"), kept=F.col("kept"))
     d, dh = _document(docs, id_col, text_col)
     spans = materialize(
         repeated_spans(docs, id_col, text_col, window, **options)

@@ -19,11 +19,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, piece_encoder
-from .common import enter, worker_state
+from .common import enter, materialize, partitions, utf8, worker_state
 
 # White space in the sense of the tokenizer's pattern (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -46,24 +47,72 @@ class Lengths(dict):
         return n
 
 
-def frequent_chunks(df: DataFrame, text: str, sample_rows: int, table_rows: int) -> list[str]:
-    """The most frequent chunks of all documents, at most ``table_rows``. Each task counts its
-    own and sends the ``sample_rows`` most frequent. What the table lacks costs time only."""
+def _table(rows: list[tuple[int, Counter]], most: int) -> pa.RecordBatch:
+    top = [(task, c.most_common(most)) for task, c in rows]
+    return pa.RecordBatch.from_arrays([
+        pa.array([t for t, _ in top], pa.int64()), pa.array([[c for c, _ in x] for _, x in top], pa.list_(pa.string())), pa.array([[n for _, n in x] for _, x in top], pa.list_(pa.int64())),
+    ], names=["task", "chunks", "n"])
+
+
+_SUMMARY = "task long, chunks array<string>, n array<long>"
+
+
+def summaries(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """One row for each task: its ``rows`` most frequent chunks and how often they occur. Words
+    are counted as bytes between spaces, and only the frequent ones are cut into chunks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tokens")
         find, seen = re.compile(CHUNK).findall, Counter()
         for b in batches:
             for t in b.column(0):
-                seen.update(c for c in find(t.as_py()) if len(c) <= KEPT_CHARS)
-                if len(seen) > 8 * sample_rows:
-                    seen = Counter(dict(seen.most_common(4 * sample_rows)))
-        top = seen.most_common(sample_rows)
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
-
-    counts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(work, "chunk string, n long")
-    total = counts.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table_rows)
-    return [r["chunk"] for r in total.collect()]
+                seen.update(t.as_py().split(b" "))
+                if len(seen) > 8 * rows:
+                    seen = Counter(dict(seen.most_common(4 * rows)))
+        found: Counter = Counter()
+        for w, n in seen.most_common(2 * rows):
+            if len(w) <= 4 * KEPT_CHARS:
+                for c in find(" " + w.decode(errors="ignore")):
+                    if len(c) <= KEPT_CHARS:
+                        found[c] += n
+        yield _table([(TaskContext.get().partitionId(), found)], rows)
+
+    return df.select(utf8(text).alias("t")).mapInArrow(work, _SUMMARY)
+
+
+def merged(found: DataFrame, most: int, fan: int = 16) -> DataFrame:
+    """The summaries of ``fan`` tasks as one of at most ``most`` chunks, and these again, until
+    one is left: rows are dealt by the number of their task, never by chunk."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
+        task, held = None, Counter()
+        for b in batches:
+            for t, chunks, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if t != task and task is not None:
+                    yield _table([(task, held)], most)
+                    held = Counter()
+                task = t
+                for c, k in zip(chunks, n):
+                    held[c] += k
+        if task is not None:
+            yield _table([(task, held)], most)
+
+    spark = found.sparkSession
+    found = materialize(found, "summaries")
+    while (found.agg(F.max("task")).first()[0] or 0) > 0:
+        up = found.withColumn("task", F.floor(F.col("task") / fan)).repartition(partitions(spark), "task").sortWithinPartitions("task")
+        found = materialize(up.mapInArrow(work, _SUMMARY), "summaries")
+    return found
+
+
+def frequent_chunks(df: DataFrame, text: str, sample_rows: int, table_rows: int) -> list[str]:
+    """The most frequent chunks of all documents, at most ``table_rows``. What the table lacks,
+    as summaries are bounded by ``sample_rows``, costs time only."""
+    best: Counter = Counter()
+    for r in merged(summaries(df, text, sample_rows), sample_rows).collect():
+        best.update(dict(zip(r["chunks"], r["n"])))
+    return [c for c, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:table_rows]]
 
 
 def token_counts(

@@ -69,3 +69,13 @@ def test_tiles(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert cut_repeats(df).count() == 0
+
+
+def test_ids_of_any_type_and_an_empty_table(spark):
+    """Ids are put in their own order: as texts "10" comes before "9"."""
+    passage = "a passage that is long enough to be found again, as it has more than one hundred bytes in all its words. "
+    rows = [("9", "nine " + passage), ("10", passage + "ten"), (None, "short"), ("a1", passage + passage)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id string, text string, removed string")
+    cut = {r["doc_id"]: bytes(r["kept"]).decode() for r in cut_repeats(docs).collect()}
+    assert cut["10"] == passage + "ten" and cut[None] == "short" and passage not in cut["9"] and passage not in cut["a1"]
+    assert cut_repeats(docs.limit(0)).count() == 0

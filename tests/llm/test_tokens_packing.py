@@ -119,3 +119,15 @@ def test_frequent_chunks_come_from_all_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
     assert tokens.token_counts(df, tokenizer_path("byte_bpe_50k.json"), table_rows=2).count() == 3000
     assert sorted(seen[0]) == [" later", " words"]
+
+
+def test_summaries_merge_by_task(spark):
+    """Counts of frequent words survive the merging of bounded summaries; one row is left."""
+    rows = [(i, "the cat sat on the mat " * 3 + f"word{i} and\nmore the") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    left = tokens.merged(tokens.summaries(docs, "text", 50), 50, fan=3)
+    assert left.count() == 1 and len(left.first()["chunks"]) <= 50
+    found = dict(zip(left.first()["chunks"], left.first()["n"]))
+    assert found[" the"] == 300 * 7 and found[" cat"] == 300 * 3
+    assert tokens.frequent_chunks(docs, "text", 50, 3)[0] == " the"
+    assert tokens.frequent_chunks(docs.limit(0), "text", 50, 3) == []
