@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     ``docs`` has ``doc_id, source, text``, or is a table made by :func:`sized`. Null text has
     size 0, long ones count whole; a null source is a source of its own. Rows that repeat are
     rows of their own; such rows with equal id, size and text are interchangeable. Columns of
-    ``docs`` that are named like the new ones give way to them.
+    ``docs`` that are named like the new ones give way to them. An empty table gives no rows.
     """
     ready = {"size", "place"} <= set(docs.columns) and "text" not in docs.columns
     size, at = (F.col("size"), F.col("place")) if ready else (n_words("text"), place(F.col("doc_id"), F.col("text")))

@@ -60,8 +60,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     For tokenizers that drop white space before they cut words. Null text counts as empty
     (one piece that holds ``end_id``); rows that repeat and null ids are passed on. A long
-    text is encoded whole and gives as many pieces as it fills. Other columns are not read,
-    so no name can clash.
+    text is encoded whole and gives as many pieces as it fills. An empty table gives no rows.
+    Other columns are not read, so no name can clash.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,8 +139,8 @@ def score(docs: DataFrame, params: np.ndarray, text_col: str = "text", threshold
 
     Inputs are the whole text and ``n_chars`` (null: the text's own length), nothing else.
     Null text counts as empty. Texts are read whole, in linear time, whatever their length;
-    equal inputs get equal scores, and rows that repeat are each kept. Columns of ``docs``
-    with these names give way to them.
+    equal inputs get equal scores, and rows that repeat are each kept; an empty table gives no
+    rows. Columns of ``docs`` with these names give way to them.
     """
     now = docs.sparkSession.sparkContext.broadcast(params)
     size = len(params) - 1 - STRUCTURE

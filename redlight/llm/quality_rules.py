@@ -115,7 +115,9 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per document: ``doc_id``, the base figures, ``base_failed``, ``kept``, the
     rules' figures and the cutoffs that held. Null text has no words and fails the base; a
-    null language is a stratum. Other columns are not read, so no name can clash."""
+    null language is a stratum. Texts are read whole, also long ones; rows that repeat are each
+    judged, alike, and copies of a text count as one trial. An empty table gives no rows. Other
+    columns are not read, so no name can clash."""
     text = F.coalesce("text", F.lit(""))
     base = base_columns(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), text.alias("text"), F.md5(utf8("text")).alias("text_key"))).drop("text")
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -3,7 +3,8 @@
 Every stage takes the columns of documents and any others, of whatever name, and returns
 them as they were, but for what it cuts from ``text`` (and then ``n_chars``). Operators see
 the row as one struct beside what they read, so no name can clash. ``doc_id`` names a
-document but need not be there or be unique: rows are told apart by their texts as well.
+document but need not be unique: rows are told apart by their texts as well. Empty tables give
+no rows in every stage.
 """
 
 from __future__ import annotations

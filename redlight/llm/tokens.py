@@ -122,7 +122,9 @@ def token_counts(
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     A null text counts as empty: 0 bytes, 0 tokens. A long text is counted whole, chunk by
-    chunk. Rows that repeat are each counted; a null id is passed on. ``sample_rows`` bounds the summary of each task. Other columns are not read, so their names cannot clash.
+    chunk. Rows that repeat are each counted; a null id is passed on; an empty
+    table gives no rows. ``sample_rows`` bounds every summary. Other columns are not read, so
+    their names cannot clash.
     """
     spark = docs.sparkSession
     chunks = frequent_chunks(docs, text_col, sample_rows, table_rows)

@@ -204,7 +204,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", e_value: float
 
     Null text counts as empty and gets the score of no evidence. Texts are scanned whole, in
     linear time, and all their segments count, whatever their length. Equal texts get equal
-    scores; rows that repeat are each kept. Columns of ``docs`` with these names give way to them.
+    scores; rows that repeat are each kept; an empty table gives no rows. Columns of ``docs``
+    with these names give way to them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kind = "array<struct<start:int,end:int,score:double,e_value:double>>"

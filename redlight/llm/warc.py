@@ -38,7 +38,8 @@ def classify(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     of at least ``least_bytes`` bytes, every row with the largest page_id is a response
     (``refers_to`` null), the others refer to it. A null page_id is never the largest. A null
     html is empty; other columns are not read, so no name can clash. A payload and its record
-    stand whole in memory, one at a time, and in a frame of its own if it is longer than one."""
+    stand whole in memory, one at a time, and in a frame of its own if it is longer than one.
+    An empty table gives no rows, and no file."""
     rows = pages.select("page_id", "url", utf8("html").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     target = (
