@@ -225,7 +225,7 @@ def dup_classes(df: DataFrame, keys: list[str], least: float = 0.80) -> DataFram
     """
     if least > 6 / 7:
         raise ValueError("reads of one plate are linked for sure up to 6/7 only")
-    rows = plate_rows(df, keys)
+    rows = materialize(plate_rows(df, keys), "plate-rows")
     plates = materialize(rows.groupBy(*keys, "x").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")), "plates")
     side = lambda x, k: plates.select(*keys, F.col("x").alias(x), *(F.col(c).alias(f"{c}_{k}") for c in ("first", "lo", "hi")))
     pairs = plate_pairs(plates, keys, least).join(side("x", "a"), [*keys, "x"]).join(side("y", "b"), [*keys, "y"])
