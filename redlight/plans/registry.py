@@ -13,6 +13,7 @@ from ..operators import config, detections, identity, images, indicators, pictur
 from ..sources import io
 from ..storage import new_path
 from ..streaming import live
+from . import chains
 from . import sqltext as s
 from .views import view, with_views
 
@@ -456,6 +457,15 @@ def a05_sketches(spark, d):
     return out
 
 
+@add("e2_plate_pipeline")
+def e2(spark, d):
+    """Detections to annotated frames; tracks have no SQL."""
+    det = sequences(spark, d)
+    plates = det.where("det_id % 3 = 0").selectExpr("det_id as plate_id", "camera", "frame", "x1 + 20 as x1", "y1 + 15 as y1", "x1 + 30 as x2", "y1 + 25 as y2", "concat('P', det_id % 50) as text", "(det_id * 29 % 100) / 100 as text_score")
+    out = chains.plate_pipeline(det, plates)
+    return out.select("camera", "track_id", "frame", "imputed", "best_text", "best_score", "best_frame", r4("x1").alias("x1"))
+
+
 # --- images --------------------------------------------------------------------------------
 _IMG = "WITH m AS (SELECT image_id, list_avg(pixels) AS mean, sqrt(list_avg([(x - list_avg(pixels)) ** 2 FOR x IN pixels])) AS std, list_sort(pixels)[floor((len(pixels) - 1) * 0.1)::INT + 1] AS p10 FROM v_img)"
 over("v_img", "i1_pixel_stats", lambda d: images.pixel_stats(d).select("image_id", r4("mean").alias("mean"), r4("std").alias("std"), "p10"), _IMG + " SELECT image_id, round(mean, 4) AS mean, round(std, 4) AS std, p10 FROM m")
