@@ -49,10 +49,10 @@ def base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # Windows of three words as (hash, place), sorted: equal ones lie side by side.
     part = lambda i: F.slice("_hashes", i, n - 2).alias("abc"[i - 1])
     rows = rows.withColumn("_windows", F.when(n >= 3, F.arrays_zip(part(1), part(2), part(3))))
-    rows = rows.withColumn("_sorted", F.array_sort(F.transform("_windows", lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), i.alias("i")))))
+    rows = rows.withColumn("_sorted", F.sort_array(F.transform("_windows", lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), i.alias("i")))))
     more = F.size("_sorted") - 1
     same = F.zip_with(F.slice("_sorted", 1, more), F.slice("_sorted", 2, more), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    rows = rows.withColumn("_starts", F.when(F.size("_sorted") > 1, F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
+    rows = rows.withColumn("_starts", F.when(F.size("_sorted") > 1, F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
     covered = F.zip_with("_starts", F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     return unwrapped(
         rows, docs,
