@@ -36,6 +36,12 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def _once(x: Column, then) -> Column:
+    """``then(x)`` with ``x`` evaluated once, however often ``then`` names it: Spark puts a
+    named expression in every place that it is named in."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def _at(x: Column, i) -> Column:
     """Character at ``i`` from 0; empty beyond the ends."""
     i = i if isinstance(i, Column) else F.lit(i)
@@ -124,29 +130,34 @@ def context_correct(col, density=0.0) -> Column:
     """Letters before the break and digits after it, by look-alikes; a leading A for texts
     of low density that start with three digits; a hyphen where letters end, unless the
     result has a known format."""
-    t = _c(col)
     density = density if isinstance(density, Column) else F.lit(density)
-    n = _size(t)
-    cut = F.when(F.instr(t, "-") > 0, F.instr(t, "-") - 1).otherwise(format_break(t))
-    cut = F.when(cut > 0, cut).otherwise(F.floor(n / 2))
-    special = t.rlike(r"^[A-Z]\d{2,4}[A-Z]\d{1,2}$")
     is_letter = lambda c: c.rlike(r"^\p{L}$")
     is_digit = lambda c: c.rlike("^[0-9]$")
 
-    def one(c, i):
-        before = F.when(i > 0, F.substring(t, i, F.lit(1))).otherwise("")
-        lead, tail = F.translate(c, *LEAD_LETTERS), F.translate(c, *TAIL_DIGITS)
-        keep = i.isin(0, 4)
-        as_special = F.when(keep & is_digit(c), lead).when(~keep & is_letter(c), tail).otherwise(c)
-        plain = F.when((i < cut) & is_digit(c) & ~is_digit(before), lead).when((i >= cut) & is_letter(c) & ~is_letter(before), tail).otherwise(c)
-        return F.when(special, as_special).otherwise(plain)
-
-    done = F.array_join(F.transform(chars(t), one), "")
-    done = F.when(done.rlike("^[0-9]{3}.{2,}") & (density > 0) & (density < 0.01), F.concat(F.lit("A"), done)).otherwise(done)
-    place = F.regexp_instr(done, F.lit(r"(?<=.\p{L})[0-9][0-9]"))
-    hyphen = ~done.rlike(f"^(?:{FORMATS})$") & (F.instr(done, "-") == 0) & (place > 0)
-    done = F.when(hyphen, F.concat(F.substring(done, F.lit(1), place - 1), F.lit("-"), F.substring(done, place, _size(done)))).otherwise(done)
-    return F.when(n < 3, t).otherwise(done)
+    def letters(t, cut, special):
+        def one(c, i):
+            before = F.when(i > 0, F.substring(t, i, F.lit(1))).otherwise("")
+            lead, tail = F.translate(c, *LEAD_LETTERS), F.translate(c, *TAIL_DIGITS)
+            keep = i.isin(0, 4)
+            as_special = F.when(keep & is_digit(c), lead).when(~keep & is_letter(c), tail).otherwise(c)
+            plain = F.when((i < cut) & is_digit(c) & ~is_digit(before), lead).when((i >= cut) & is_letter(c) & ~is_letter(before), tail).otherwise(c)
+            return F.when(special, as_special).otherwise(plain)
+
+        return F.array_join(F.transform(chars(t), one), "")
+
+    def hyphened(done):
+        place = F.regexp_instr(done, F.lit(r"(?<=.\p{L})[0-9][0-9]"))
+        hyphen = ~done.rlike(f"^(?:{FORMATS})$") & (F.instr(done, "-") == 0) & (place > 0)
+        return F.when(hyphen, F.concat(F.substring(done, F.lit(1), place - 1), F.lit("-"), F.substring(done, place, _size(done)))).otherwise(done)
+
+    def corrected(t):
+        at = F.when(F.instr(t, "-") > 0, F.instr(t, "-") - 1).otherwise(format_break(t))
+        fixed = F.struct(_once(at, lambda k: F.when(k > 0, k).otherwise(F.floor(_size(t) / 2))).alias("cut"), t.rlike(r"^[A-Z]\d{2,4}[A-Z]\d{1,2}$").alias("special"))
+        done = _once(fixed, lambda x: letters(t, x["cut"], x["special"]))
+        led = _once(done, lambda d: F.when(d.rlike("^[0-9]{3}.{2,}") & (density > 0) & (density < 0.01), F.concat(F.lit("A"), d)).otherwise(d))
+        return F.when(_size(t) < 3, t).otherwise(_once(led, hyphened))
+
+    return _once(_c(col), corrected)
 
 
 def split_correct(col) -> Column:
