@@ -11,6 +11,10 @@ from .graph import components
 from .masked import by_shared_places, equal_length
 
 
+#: Reads that are this many seconds apart have the similarity of their texts alone.
+APART = 5
+
+
 def usable_reads(df: DataFrame, least: float = 0.3) -> DataFrame:
     return df.where(F.col("conf") > least).withColumn("text", F.regexp_replace(F.upper("text"), r"[^\p{L}0-9]", "")).where("text <> ''")
 
@@ -178,19 +182,55 @@ def plate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("x", p.normal_plate("text")).where("x <> ''").select(*keys, F.col("read_id").alias("id"), "t", "x")
 
 
+def plate_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct plates ``x`` of each group, their longest run of digits ``m`` (null if shorter
+    than three) and their form ``f`` without look-alikes."""
+    run = p.longest_digit_run("x")
+    return rows.select(*keys, "x").distinct().select(*keys, "x", F.when(F.length(run) >= 3, run).alias("m"), p.fold_confusable("x").alias("f"))
+
+
+def run_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs ``m <= n`` of distinct runs of one group that share their last three digits, and
+    the similarity ``s`` that they give their plates."""
+    runs = texts.where("m is not null").select(*keys, "m").distinct().withColumn("_d", F.right("m", F.lit(3)))
+    both = runs.join(runs.withColumnRenamed("m", "n"), [*keys, "_d"]).where("m <= n").drop("_d")
+    return both.withColumn("s", F.when(F.col("m") == F.col("n"), 0.85).otherwise(_digits("m", "n")))
+
+
+def _digits(m: str, n: str) -> Column:
+    """Similarity of different runs of digits with the same last three."""
+    return 0.6 + p.common_suffix(m, n) / F.greatest(F.length(m), F.length(n)) * 0.3
+
+
+def _no_shared_digits(m: str, n: str) -> Column:
+    return ~F.coalesce(F.right(F.col(m), F.lit(3)) == F.right(F.col(n), F.lit(3)), F.lit(False))
+
+
+def unlike(m: str, n: str, f: str, g: str) -> Column:
+    """Whether plates with these runs and forms are not alike at all."""
+    return (F.col(f) != F.col(g)) & _no_shared_digits(m, n)
+
+
+def folded_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs ``x < y`` that are alike (0.85) by their form alone, not by their digits."""
+    other = texts.withColumnsRenamed({"x": "y", "m": "n"})
+    return texts.join(other, [*keys, "f"]).where(F.expr("x < y") & _no_shared_digits("m", "n")).select(*keys, "x", "y", F.lit(0.85).alias("s"))
+
+
 def plate_pairs(texts: DataFrame, keys: list[str], least: float) -> DataFrame:
     """Pairs ``x < y`` of distinct plates of one group with their text similarity ``s``, where
-    reads of them could reach ``least``.
+    reads of them could reach ``least``; ``texts`` as of :func:`plate_texts`.
 
     Lossless blocks: plates are alike only if equal after folding look-alikes, or if they
-    share the last three digits of their longest run of digits.
+    share the last three digits of their longest run of digits. Runs are compared once for
+    each pair of distinct runs, so a pair of plates costs no work on texts.
     """
-    run = p.longest_digit_run("x")
-    block = F.explode(F.array_compact(F.array(F.concat(F.lit("f"), p.fold_confusable("x")), F.when(F.length(run) >= 3, F.concat(F.lit("d"), F.right(run, F.lit(3)))))))
-    rows = texts.select(*keys, "x").distinct().withColumn("block", block)
-    both = rows.join(rows.withColumnRenamed("x", "y"), [*keys, "block"]).where("x < y").select(*keys, "x", "y").distinct()
-    found = both.withColumn("s", p.dup_text_similarity("x", "y"))
-    return found.where((F.col("s") >= least) | (F.col("s") * 6 / 7 + 1 / 7 >= least))
+    one = texts.select(*keys, "m", F.col("x").alias("_x"), "f")
+    two = texts.select(*keys, F.col("m").alias("n"), F.col("x").alias("_y"), F.col("f").alias("g"))
+    met = run_pairs(texts, keys).join(one, [*keys, "m"]).join(two, [*keys, "n"]).where("m <> n or _x < _y")
+    s = F.when((F.col("s") < 0.8) & (F.col("f") == F.col("g")), 0.85).otherwise(F.col("s"))
+    by_digits = met.select(*keys, F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"), s.alias("s"))
+    return by_digits.unionByName(folded_pairs(texts, keys)).where((F.col("s") >= least) | (F.col("s") * 6 / 7 + 1 / 7 >= least))
 
 
 def _fused(s: str, dt: Column) -> Column:
@@ -204,8 +244,8 @@ def dup_pairs(df: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     asked for, so rows grow with the square of a group: for groups of duplicates see
     :func:`dup_classes`.
     """
-    rows = plate_rows(df, keys)
-    texts = rows.select(*keys, "x").distinct()
+    rows = materialize(plate_rows(df, keys), "plate-rows")
+    texts = materialize(plate_texts(rows, keys), "plate-texts")
     pairs = plate_pairs(texts, keys, least).unionByName(texts.select(*keys, "x", F.col("x").alias("y"), F.lit(1.0).alias("s")))
     a = rows.select(*keys, "x", F.col("id").alias("ia"), F.col("t").alias("ta"))
     b = rows.select(*keys, F.col("x").alias("y"), F.col("id").alias("ib"), F.col("t").alias("tb"))
@@ -218,27 +258,52 @@ def dup_classes(df: DataFrame, keys: list[str], least: float = 0.80) -> DataFram
     """``node, root`` of the groups that pairs of reads from ``least`` on make, without making
     the pairs (no images).
 
-    Reads of one plate are always linked (6/7 at least), so plates are the nodes. Two plates
-    are linked by any pair of their reads: one that is five seconds apart or more has the
-    texts' similarity itself, and there is one unless all lie within five seconds; only where
-    that does not decide are their near reads looked at.
+    Reads of one plate are always linked (6/7 at least), so plates are nodes. Reads that are
+    five seconds apart or more, or have no time, have the texts' similarity itself. So plates
+    that are alike by a common run of digits, or by form, are one node where their reads span
+    ten seconds: each is five seconds from the first or the last. What is left are pairs of
+    nodes with different runs, and plates whose reads lie close in time. Two nodes are linked
+    by a pair of reads that is far, and only where none is are their near reads looked at.
     """
     if least > 6 / 7:
         raise ValueError("reads of one plate are linked for sure up to 6/7 only")
     rows = materialize(plate_rows(df, keys), "plate-rows")
-    plates = materialize(rows.groupBy(*keys, "x").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")), "plates")
-    side = lambda x, k: plates.select(*keys, F.col("x").alias(x), *(F.col(c).alias(f"{c}_{k}") for c in ("first", "lo", "hi")))
-    pairs = plate_pairs(plates, keys, least).join(side("x", "a"), [*keys, "x"]).join(side("y", "b"), [*keys, "y"])
-    far = F.greatest(F.col("hi_a") - F.col("lo_b"), F.col("hi_b") - F.col("lo_a")) >= 5
-    pairs = materialize(pairs.select(*keys, "x", "y", "s", "first_a", "first_b", ((F.col("s") >= least) & far).alias("sure")), "plate-pairs")
-    slot = F.floor(F.col("t") / 5)
-    a = rows.select(*keys, "x", F.col("t").alias("ta"), slot.alias("slot"))
-    b = rows.select(*keys, F.col("x").alias("y"), F.col("t").alias("tb"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    seen = rows.groupBy(*keys, "x").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.count_if(F.col("t").isNull()).alias("timeless"))
+    plates = materialize(seen.join(plate_texts(rows, keys), [*keys, "x"]), "plates")
+    spans = (F.min("first").alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("timeless").alias("timeless"), F.count("*").alias("plates"))
+    whole = F.coalesce(F.col("hi") - F.col("lo") >= 10, F.lit(False)) | (F.col("timeless") > 0)
+    # Nodes, named ``u`` by a read: a run of digits that holds together, else a plate.
+    runs = plates.where("m is not null").groupBy(*keys, "m").agg(*spans).where(whole & F.lit(least <= 0.85)).select(*keys, "m", "held")
+    placed = materialize(plates.join(runs, [*keys, "m"], "left").withColumn("u", F.coalesce("held", "first")).drop("held"), "placed")
+    edges = placed.where("u <> first").select(F.col("first").alias("a"), F.col("u").alias("b"))
+    forms = placed.groupBy(*keys, "f").agg(*spans).where("plates > 1").select(*keys, "f", "held", (whole & F.lit(least <= 0.8)).alias("whole"))
+    formed = placed.join(forms, [*keys, "f"])
+    edges = edges.unionByName(formed.where("whole").select(F.col("u").alias("a"), F.col("held").alias("b")))
+    # Pairs of nodes with their digits' similarity, and of plates (``kind`` 0) of a form that does
+    # not hold together.
+    about = ("id", "lo", "hi", "timeless")
+    side = lambda d, k, *more: d.select(*keys, *more, *(F.col(c).alias(f"{c}_{k}") for c in about))
+    nodes = placed.groupBy(*keys, "m", F.col("u").alias("id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("timeless").alias("timeless"))
+    by_digits = run_pairs(plates, keys).join(side(nodes, "a", "m"), [*keys, "m"]).join(side(nodes, "b", F.col("m").alias("n")), [*keys, "n"]).where("m <> n or id_a < id_b")
+    loose = formed.where("not whole").withColumn("id", F.col("first"))
+    met = side(loose, "a", "f", "m", "u").join(side(loose, "b", "f", F.col("m").alias("n"), F.col("u").alias("v")), [*keys, "f"]).where("id_a < id_b and u <> v")
+    digits = F.when(_no_shared_digits("m", "n"), 0.0).when(F.col("m") == F.col("n"), 0.85).otherwise(_digits("m", "n"))
+    by_form = met.withColumn("s", F.when(digits < 0.8, 0.85).otherwise(digits))
+    columns = ["s", *(f"{c}_{k}" for k in "ab" for c in about)]
+    pairs = by_digits.select(F.lit(1).alias("kind"), *columns).unionByName(by_form.select(F.lit(0).alias("kind"), *columns)).where((F.col("s") >= least) | (F.col("s") * 6 / 7 + 1 / 7 >= least))
+    far = F.coalesce(F.greatest(F.col("hi_a") - F.col("lo_b"), F.col("hi_b") - F.col("lo_a")) >= APART, F.lit(False)) | (F.col("timeless_a") + F.col("timeless_b") > 0)
+    pairs = materialize(pairs.select("kind", "s", "id_a", "id_b", ((F.col("s") >= least) & far).alias("sure")), "node-pairs")
     open_ = pairs.where("not sure")
-    met = open_.join(a, [*keys, "x"]).join(b, [*keys, "y", "slot"]).where(_fused("s", F.col("ta") - F.col("tb")) >= least)
-    edges = pairs.where("sure").select("first_a", "first_b").unionByName(met.select("first_a", "first_b")).toDF("a", "b").distinct()
+    times = rows.where("t is not null").join(placed.select(*keys, "x", "first", "u"), [*keys, "x"])
+    times = times.select("t", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("first").alias("id")), F.struct(F.lit(1).alias("kind"), F.col("u").alias("id")))).alias("k")).select("t", "k.*")
+    times = times.join(open_.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), ["kind", "id"], "left_semi").distinct()
+    slot = F.floor(F.col("t") / APART)
+    a = times.select("kind", F.col("id").alias("id_a"), F.col("t").alias("ta"), slot.alias("slot"))
+    b = times.select("kind", F.col("id").alias("id_b"), F.col("t").alias("tb"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    near = open_.join(a, ["kind", "id_a"]).join(b, ["kind", "id_b", "slot"]).where(_fused("s", F.col("ta") - F.col("tb")) >= least)
+    edges = edges.unionByName(pairs.where("sure").unionByName(near.select(*pairs.columns)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).where("a <> b").distinct()
     roots = components(edges)
-    named = plates.join(roots, plates["first"] == roots["node"], "left").where("n > 1 or root is not null").select(*keys, "x", F.coalesce("root", "first").alias("root"))
+    named = placed.join(roots, placed["first"] == roots["node"], "left").where("n > 1 or root is not null").select(*keys, "x", F.coalesce("root", "first").alias("root"))
     return rows.join(named, [*keys, "x"]).select(F.col("id").alias("node"), "root")
 
 
