@@ -69,30 +69,36 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Assignment of least cost (shortest augmenting paths)."""
     if not cost.size:
         return []
+    # Lists: frames hold few boxes, for which a step on arrays costs more than a loop.
     turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
-    n, m = c.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)
+    c = (cost.T if turned else cost).tolist()
+    n, m = len(c), len(c[0])
+    inf = float("inf")
+    u, v, owner = [0.0] * n, [0.0] * (m + 1), [-1] * (m + 1)
     for i in range(n):
         owner[m], j = i, m
-        least, back, seen = np.full(m + 1, np.inf), np.full(m + 1, m), np.zeros(m + 1, bool)
+        least, back, seen, free = [inf] * m, [m] * m, [], list(range(m))
         while owner[j] >= 0:
-            seen[j] = True
+            seen.append(j)
             row = owner[j]
-            slack = c[row] - u[row] - v[:m]
-            better = ~seen[:m] & (slack < least[:m])
-            least[:m][better], back[:m][better] = slack[better], j
-            free = np.where(seen[:m], np.inf, least[:m])
-            nxt = int(free.argmin())
-            gain = free[nxt]
-            for k in np.flatnonzero(seen):
+            costs, at = c[row], u[row]
+            gain, nxt = inf, -1
+            for k in free:
+                slack = costs[k] - at - v[k]
+                if slack < least[k]:
+                    least[k], back[k] = slack, j
+                if nxt < 0 or least[k] < gain:
+                    gain, nxt = least[k], k
+            for k in seen:
                 u[owner[k]] += gain
                 v[k] -= gain
-            least[:m][~seen[:m]] -= gain
+            for k in free:
+                least[k] -= gain
+            free.remove(nxt)
             j = nxt
         while j != m:
             owner[j], j = owner[back[j]], back[j]
-    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
+    pairs = [(owner[j], j) for j in range(m) if owner[j] >= 0]
     return sorted((b, a) if turned else (a, b) for a, b in pairs)
 
 
@@ -100,14 +106,18 @@ def _z(b: np.ndarray) -> np.ndarray:
     """Centre, area and ratio of boxes."""
     w, h = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
     ratio = np.divide(w, h, out=np.zeros_like(w), where=h != 0)
-    return np.stack([b[:, 0] + w / 2, b[:, 1] + h / 2, w * h, ratio], 1)
+    out = np.empty((len(b), 4))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = b[:, 0] + w / 2, b[:, 1] + h / 2, w * h, ratio
+    return out
 
 
 def _box(x: np.ndarray) -> np.ndarray:
     """Boxes of states; NaN where a state has no width."""
     w = np.sqrt(np.maximum(x[:, 2] * x[:, 3], 0.0))
     h = np.divide(x[:, 2], w, out=np.full_like(w, np.nan), where=w != 0)
-    return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2], 1)
+    out = np.empty((len(x), 4))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2
+    return out
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,10 +159,12 @@ class Tracker:
             self.x, self.p = self.x @ _F.T, _F @ self.p @ _F.T + _Q
             self.streak[self.miss > 0] = 0
             self.miss += 1
-            ok = ~np.isnan(_box(self.x)).any(1)
-            if not ok.all():
-                self._keep(ok)
-        pairs = associate(dets, _box(self.x), self.iou)
+        boxes = _box(self.x)
+        ok = ~np.isnan(boxes).any(1)
+        if not ok.all():
+            self._keep(ok)
+            boxes = boxes[ok]
+        pairs = associate(dets, boxes, self.iou)
         if pairs:
             d, i = (np.array(v) for v in zip(*pairs))
             p = self.p[i]
@@ -161,7 +173,8 @@ class Tracker:
             self.p[i] = p - gain @ p[:, :4, :]
             self.miss[i] = 0
             self.streak[i] += 1
-        new = np.setdiff1d(np.arange(len(dets)), [d for d, _ in pairs])
+        taken = {d for d, _ in pairs}
+        new = [d for d in range(len(dets)) if d not in taken]
         if len(new):
             n = len(new)
             self.x = np.concatenate([self.x, np.hstack([_z(dets[new]), np.zeros((n, 3))])])
