@@ -225,10 +225,16 @@ class FrameTracker(StatefulProcessor):
         done = pickle.loads(data)["frame"] if data else 0
         late = []
         for part in rows:
-            for f, g in part.groupby("frame"):
-                f = int(f)
-                boxed = g[g["det_id"].notna()]
-                new = list(zip(boxed["det_id"].tolist(), *(boxed[c].tolist() for c in BOX)))
+            part = part[part["frame"].notna()]
+            frames = part["frame"].to_numpy(dtype="int64")
+            order = np.argsort(frames, kind="stable")
+            boxed = part["det_id"].notna().to_numpy()[order].tolist()
+            found = list(zip(*(part[c].to_numpy()[order].tolist() for c in ("det_id", *BOX))))
+            # A frame of few rows costs more as a table of its own than as a stretch of a list.
+            starts, counts = np.unique(frames[order], return_index=True, return_counts=True)[1:]
+            for i, n in zip(starts.tolist(), counts.tolist()):
+                f = int(frames[order[i]])
+                new = [r for r, has in zip(found[i : i + n], boxed[i : i + n]) if has]
                 if f <= done:
                     late += [(key[0], None, f, None, *r[1:], True) for r in new]
                     continue
