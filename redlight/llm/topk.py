@@ -73,6 +73,49 @@ class Shard:
         return best_s, best_i
 
 
+    def top_many(self, q: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`top` of every row of ``q`` (doubles that hold whole numbers): a block is
+        bounded, split into terms and scored for all queries that it can matter to at once."""
+        row, s, i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        bars, d = reached.astype(float).copy(), q.shape[1]
+        for ids, post, least, most in self.blocks:
+            self.postings += post.size * len(q)
+            x, y = q * least, q * most
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            live = np.flatnonzero(high.sum(1) >= bars)
+            if not len(live):
+                continue
+            ql, high, low, bar = q[live], high[live], low[live], bars[live]
+            terms = np.argsort(low - high, axis=1, kind="stable")
+            zero = np.zeros((len(live), 1))
+            rest = np.hstack([np.cumsum(np.take_along_axis(high, terms, 1)[:, ::-1], 1)[:, ::-1], zero])
+            under = np.hstack([zero, np.cumsum(np.take_along_axis(low, terms, 1), 1)]) + rest < bar[:, None]
+            n = np.where(under.any(1), under.argmax(1), d)
+            place = np.empty_like(terms)
+            np.put_along_axis(place, terms, np.broadcast_to(np.arange(d), terms.shape), 1)
+            scores = np.where(place < n[:, None], ql, 0.0) @ post
+            self.touched += int(n.sum()) * len(ids)
+            r, c = np.nonzero(scores + rest[np.arange(len(n)), n][:, None] >= bar[:, None])
+            score, at = scores[r, c], n[r]
+            while (at < d).any():
+                probe = at[:, None] + np.arange(8)
+                t = terms[r[:, None], np.minimum(probe, d - 1)]
+                self.touched += int((probe < d).sum())
+                score = score + np.where(probe < d, ql[r[:, None], t] * post[t, c[:, None]], 0.0).sum(1)
+                at = np.minimum(at + 8, d)
+                ok = score + rest[r, at] >= bar[r]
+                r, c, score, at = r[ok], c[ok], score[ok], at[ok]
+            other = ids[c] != own[live[r]]
+            row, s, i = np.concatenate([row, live[r[other]]]), np.concatenate([s, score[other]]), np.concatenate([i, ids[c[other]]])
+            order = np.lexsort((i, -s, row))
+            row, s, i = row[order], s[order], i[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            bars[row[nth == k - 1]] = np.maximum(bars[row[nth == k - 1]], s[nth == k - 1])
+            row, s, i = row[nth < k], s[nth < k], i[nth < k]
+        ends = np.searchsorted(row, np.arange(len(q) + 1))
+        return [(s[a:b], i[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
 def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, x``: floor(scale * component). Rows without an id, vectors that are null or
     hold null or non-finite components are left out."""
@@ -140,8 +183,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                 if exact:
                     x, q = x.astype(float), q.astype(float)
                 shard, out = Shard(ids, x, block), ([], [], [])
-                for j, (own, row) in enumerate(zip(q_ids.tolist(), q)):
-                    s, i = shard.top(row, own, k, reached[j] if exact else -np.inf)
+                best = shard.top_many(q, q_ids, k, reached) if exact else (shard.top(row, own, k) for own, row in zip(q_ids.tolist(), q))
+                for j, (own, (s, i)) in enumerate(zip(q_ids.tolist(), best)):
                     if exact and len(s) == k:
                         reached[j] = max(reached[j], s[-1])
                     out[0].append(np.full(len(s), own, np.int64))

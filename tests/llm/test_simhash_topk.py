@@ -88,3 +88,21 @@ def test_top_k(spark, n, dim, scale):
     got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), shard_rows=97, query_rows=3, block=16).collect()))
     assert got == brute_top(rows)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_top_of_many_queries_is_the_top_of_each():
+    """op6: a block is bounded and scored for all queries at once."""
+    import numpy as np
+
+    from redlight.llm.topk import Shard
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-9, 9, (700, 16)).astype(float)
+    x[300:600] *= 0.0
+    ids, shard = np.arange(700) * 3, Shard(np.arange(700) * 3, x, 64)
+    reached = np.where(np.arange(40) % 3, -np.inf, 300.0)
+    many = shard.top_many(x[:40], ids[:40], 5, reached)
+    assert shard.touched < shard.postings
+    for j in range(40):
+        s, i = shard.top(x[j], int(ids[j]), 5, reached[j])
+        assert many[j][0].tolist() == s.tolist() and many[j][1].tolist() == i.tolist()
