@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -59,25 +62,42 @@ def ema_rate(df: DataFrame, key: str, order: str, weight: float = 0.1) -> DataFr
 # Simple online tracking (arXiv 1602.00763): constant-velocity Kalman filter over
 # (centre, area, ratio), assignment by overlap. The noise of the filter. The
 # order of steps within a frame is required, as results depend on it.
-_F = np.eye(7) + np.diag([1.0, 1, 1], 4)[:7, :7]
-_R = np.diag([1.0, 1, 10, 10])
-_P = np.diag([10.0, 10, 10, 10, 1e4, 1e4, 1e4])
-_Q = np.diag([1.0, 1, 1, 1, 0.01, 0.01, 0.0001])
-
-
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
+#
+# All noise is diagonal and a velocity acts on its own coordinate alone, so the filter falls into
+# one of two values for each coordinate with a velocity and one of a single value (the ratio). A
+# frame holds few boxes, for which a call on arrays costs more than the sums themselves: tracks
+# are lists of numbers.
+_XY = (1.0, 1.0, 0.01)  # noise of a measured centre, of its step and of its velocity's step
+_AREA = (10.0, 1.0, 0.0001)
+_RATIO = (10.0, 1.0)
+_ID, _MISS, _STREAK, _X, _Y, _S, _R, _VX, _VY, _VS, _P, _PS, _PR = range(13)
+_NAN = float("nan")
+
+#: Pairs of boxes of one frame from which on arrays are faster.
+MANY = 1024
+
+
+def assign(cost: np.ndarray | list[list[float]]) -> list[tuple[int, int]]:
     """Assignment of least cost (shortest augmenting paths)."""
-    if not cost.size:
+    if not len(cost) or not len(cost[0]):
         return []
-    # Lists: frames hold few boxes, for which a step on arrays costs more than a loop.
-    turned = cost.shape[0] > cost.shape[1]
-    c = (cost.T if turned else cost).tolist()
+    turned = len(cost) > len(cost[0])
+    c = np.asarray(cost).T.tolist() if turned else [list(r) for r in cost]
     n, m = len(c), len(c[0])
     inf = float("inf")
     u, v, owner = [0.0] * n, [0.0] * (m + 1), [-1] * (m + 1)
     for i in range(n):
-        owner[m], j = i, m
-        least, back, seen, free = [inf] * m, [m] * m, [], list(range(m))
+        least = [x - y for x, y in zip(c[i], v)]
+        gain = min(least)
+        j = least.index(gain)
+        u[i] += gain
+        if owner[j] < 0:
+            owner[j] = i
+            continue
+        owner[m] = i
+        least = [x - gain for x in least]
+        back, seen, free = [m] * m, [m], list(range(m))
+        free.remove(j)
         while owner[j] >= 0:
             seen.append(j)
             row = owner[j]
@@ -102,95 +122,131 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if turned else (a, b) for a, b in pairs)
 
 
-def _z(b: np.ndarray) -> np.ndarray:
-    """Centre, area and ratio of boxes."""
-    w, h = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
-    ratio = np.divide(w, h, out=np.zeros_like(w), where=h != 0)
-    out = np.empty((len(b), 4))
-    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = b[:, 0] + w / 2, b[:, 1] + h / 2, w * h, ratio
-    return out
-
-
-def _box(x: np.ndarray) -> np.ndarray:
-    """Boxes of states; NaN where a state has no width."""
-    w = np.sqrt(np.maximum(x[:, 2] * x[:, 3], 0.0))
-    h = np.divide(x[:, 2], w, out=np.full_like(w, np.nan), where=w != 0)
-    out = np.empty((len(x), 4))
-    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2
-    return out
+def _box(t: list) -> tuple[float, float, float, float]:
+    """Box of a track; NaN where it has no width."""
+    square = t[_S] * t[_R]
+    w = math.sqrt(square) if square > 0 else square * 0.0
+    h = t[_S] / w if w else _NAN
+    return t[_X] - w / 2, t[_Y] - h / 2, t[_X] + w / 2, t[_Y] + h / 2
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inter = np.maximum(hi - lo, 0).prod(2)
     size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(all="ignore"):
         return inter / (size(a)[:, None] + size(b)[None, :] - inter)
 
 
-def associate(dets: np.ndarray, tracks: np.ndarray, least: float) -> list[tuple[int, int]]:
+def _shares(dets: list, boxes: list) -> list[list[float]]:
+    """Overlaps of few boxes; what has no area, no end or no number is left to arrays."""
+    ours, theirs = ([(*b, (b[2] - b[0]) * (b[3] - b[1])) for b in side] for side in (dets, boxes))
+    if len(dets) * len(boxes) >= MANY or not all(0 < b[4] < 1e100 for b in ours + theirs):
+        return np.nan_to_num(overlaps(np.array(dets, float), np.array(boxes, float))).tolist()
+    out = []
+    for x1, y1, x2, y2, size in ours:
+        row = []
+        for a1, b1, a2, b2, other in theirs:
+            w = (x2 if x2 < a2 else a2) - (x1 if x1 > a1 else a1)
+            h = (y2 if y2 < b2 else b2) - (y1 if y1 > b1 else b1)
+            inter = w * h if w > 0 and h > 0 else 0.0
+            row.append(inter / (size + other - inter))
+        out.append(row)
+    return out
+
+
+def associate(dets: list, tracks: list, least: float) -> list[tuple[int, int]]:
     """Pairs (detection, track) of an overlap of at least ``least``."""
-    if not len(dets) or not len(tracks):
+    if not dets or not tracks:
         return []
-    o = np.nan_to_num(overlaps(dets, tracks))
-    hit = o > least
-    pairs = list(zip(*np.nonzero(hit))) if hit.any() and hit.sum(0).max() == 1 and hit.sum(1).max() == 1 else assign(-o)
-    return [(int(d), int(t)) for d, t in pairs if o[d, t] >= least]
+    o = _shares(dets, tracks)
+    hits = [(d, t) for d, row in enumerate(o) for t, share in enumerate(row) if share > least]
+    if hits and len({d for d, _ in hits}) == len(hits) == len({t for _, t in hits}):
+        return hits
+    return [(d, t) for d, t in assign([[-share for share in row] for row in o]) if o[d][t] >= least]
+
+
+def _ahead(p: tuple, noise: tuple) -> tuple:
+    """Covariance of a coordinate and its velocity a frame later."""
+    a, b, d, c = p
+    return (a + d) + (b + c) + noise[1], b + c, d + c, c + noise[2]
+
+
+def _measured(p: tuple, noise: tuple) -> tuple[float, float, tuple]:
+    """Gains of a coordinate and its velocity, and their covariance after a measurement."""
+    a, b, d, c = p
+    inverse = 1.0 / (a + noise[0])
+    g, gv = a * inverse, d * inverse
+    return g, gv, (a - g * a, b - g * b, d - gv * a, c - gv * b)
 
 
 class Tracker:
-    """State of one sequence, all its tracks in arrays; :meth:`step` takes every frame, also
-    empty ones. Tracks are told newest first, as the order of results is part of them."""
+    """State of one sequence; :meth:`step` takes every frame, also empty ones. Tracks are told
+    newest first, as the order of results is part of them."""
 
     def __init__(self, max_age: int = 1, min_hits: int = 3, iou: float = 0.3):
         self.max_age, self.min_hits, self.iou = max_age, min_hits, iou
         self.frame, self.made = 0, 0
-        self.x, self.p = np.zeros((0, 7)), np.zeros((0, 7, 7))
-        self.id, self.miss, self.streak = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _keep(self, ok: np.ndarray) -> None:
-        for name in ("x", "p", "id", "miss", "streak"):
-            setattr(self, name, getattr(self, name)[ok])
+        self.tracks: list[list] = []
 
-    def step(self, dets: np.ndarray) -> list[tuple]:
+    def step(self, dets: np.ndarray | list) -> list[tuple]:
         self.frame += 1
-        if len(self.id):
-            self.x[self.x[:, 2] + self.x[:, 6] <= 0, 6] = 0.0
-            self.x, self.p = self.x @ _F.T, _F @ self.p @ _F.T + _Q
-            self.streak[self.miss > 0] = 0
-            self.miss += 1
-        boxes = _box(self.x)
-        ok = ~np.isnan(boxes).any(1)
-        if not ok.all():
-            self._keep(ok)
-            boxes = boxes[ok]
+        dets = dets.tolist() if isinstance(dets, np.ndarray) else dets
+        boxes, living = [], []
+        for t in self.tracks:
+            if t[_S] + t[_VS] <= 0:
+                t[_VS] = 0.0
+            t[_X] += t[_VX]
+            t[_Y] += t[_VY]
+            t[_S] += t[_VS]
+            t[_P], t[_PS], t[_PR] = _ahead(t[_P], _XY), _ahead(t[_PS], _AREA), t[_PR] + _RATIO[1]
+            if t[_MISS] > 0:
+                t[_STREAK] = 0
+            t[_MISS] += 1
+            box = _box(t)
+            if math.isfinite(sum(t[_X : _VS + 1]) + sum(box)):
+                living.append(t)
+                boxes.append(box)
+        self.tracks = living
         pairs = associate(dets, boxes, self.iou)
-        if pairs:
-            d, i = (np.array(v) for v in zip(*pairs))
-            p = self.p[i]
-            gain = p[:, :, :4] @ np.linalg.inv(p[:, :4, :4] + _R)
-            self.x[i] += (gain @ (_z(dets[d]) - self.x[i, :4])[:, :, None])[:, :, 0]
-            self.p[i] = p - gain @ p[:, :4, :]
-            self.miss[i] = 0
-            self.streak[i] += 1
+        for d, i in pairs:
+            t = living[i]
+            x1, y1, x2, y2 = dets[d]
+            w, h = x2 - x1, y2 - y1
+            g, gv, t[_P] = _measured(t[_P], _XY)
+            off = x1 + w / 2 - t[_X]
+            t[_X] += g * off
+            t[_VX] += gv * off
+            off = y1 + h / 2 - t[_Y]
+            t[_Y] += g * off
+            t[_VY] += gv * off
+            g, gv, t[_PS] = _measured(t[_PS], _AREA)
+            off = w * h - t[_S]
+            t[_S] += g * off
+            t[_VS] += gv * off
+            g = t[_PR] * (1.0 / (t[_PR] + _RATIO[0]))
+            t[_R] += g * ((w / h if h else 0.0) - t[_R])
+            t[_PR] -= g * t[_PR]
+            t[_MISS] = 0
+            t[_STREAK] += 1
         taken = {d for d, _ in pairs}
-        new = [d for d in range(len(dets)) if d not in taken]
-        if len(new):
-            n = len(new)
-            self.x = np.concatenate([self.x, np.hstack([_z(dets[new]), np.zeros((n, 3))])])
-            self.p = np.concatenate([self.p, np.repeat(_P[None], n, 0)])
-            self.id = np.concatenate([self.id, np.arange(self.made + 1, self.made + n + 1)])
-            self.miss, self.streak = (np.concatenate([v, np.zeros(n, np.int64)]) for v in (self.miss, self.streak))
-            self.made += n
-        told = np.flatnonzero((self.miss < 1) & ((self.streak >= self.min_hits) | (self.frame <= self.min_hits)))[::-1]
-        out = [(self.frame, int(i), *b) for i, b in zip(self.id[told], _box(self.x[told]).tolist())]
-        if (self.miss > self.max_age).any():
-            self._keep(self.miss <= self.max_age)
+        for d, (x1, y1, x2, y2) in enumerate(dets):
+            if d not in taken:
+                self.made += 1
+                w, h = x2 - x1, y2 - y1
+                at = [x1 + w / 2, y1 + h / 2, w * h, w / h if h else 0.0, 0.0, 0.0, 0.0]
+                living.append([self.made, 0, 0, *at, (10.0, 0.0, 0.0, 1e4), (10.0, 0.0, 0.0, 1e4), 10.0])
+        early = self.frame <= self.min_hits
+        out = [(self.frame, t[_ID], *_box(t)) for t in reversed(living) if t[_MISS] < 1 and (early or t[_STREAK] >= self.min_hits)]
+        self.tracks = [t for t in living if t[_MISS] <= self.max_age]
         return out
 
 
 #: Frames of one key that are searched for gaps in one task.
 FRAME_BLOCK = 1 << 16
+#: Frames of a part that are stepped at a stretch, how many more are looked at until the next
+#: stretch's tracks agree, and how often stretches that do not agree are joined one by one.
+STRETCH, LOOK, ROUNDS = 4096, 1024, 4
 
 
 def alive_parts(dets: DataFrame, key: str, max_age: int) -> DataFrame:
@@ -209,71 +265,139 @@ def alive_parts(dets: DataFrame, key: str, max_age: int) -> DataFrame:
     return rows.join(starts, same).select("_k", "_f", F.coalesce("_part", "_open").alias("_part"))
 
 
-def _stepped(dets: DataFrame, key: str, max_age: int, min_hits: int, iou: float, order: str) -> DataFrame:
-    """What tracks tell, by parts, and one row more for each part, without a frame: the number
-    of tracks it made, the ``seconds`` its steps took and its last frame."""
-    names = [key, "_part", "frame", order, *BOX]
-    types = {f.name: f.dataType.simpleString() for f in dets.schema.fields}
-    parts = alive_parts(dets.where("frame >= 1"), key, max_age)
-    rows = dets.where("frame >= 1").join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("frame") == F.col("_f"))).select(*names)
-    rows = rows.repartition(partitions(dets.sparkSession), key, "_part").sortWithinPartitions(key, "_part", "frame", order)
+def _agree(old: Tracker, new: Tracker, before: int) -> bool:
+    """Whether two trackers hold the same tracks, all of them begun after ``old`` had made
+    ``before``: from here on they tell the same, but for the ids."""
+    return len(old.tracks) == len(new.tracks) and all(x[_ID] > before and x[1:] == y[1:] for x, y in zip(old.tracks, new.tracks))
+
+
+def _stretches(rows: DataFrame, key: str, max_age: int, min_hits: int, iou: float, order: str) -> DataFrame:
+    """Steps the rows of each ``_part, _piece`` from no tracks on. Rows with ``_look`` are the
+    next stretch's first: there a second tracker starts as the next stretch does, and the
+    stretch ends with the frame in which both agree. Told is what tracks tell and, without a
+    frame, one row for each stretch: the number of tracks it made, the ``seconds`` its steps
+    took, its last frame and, for the next stretch, the frame ``_to`` in which they agree, the
+    tracks ``_skip`` that the second tracker made until then and the ``_names`` of those that
+    live, counted back from the last track made. ``_open``: they do not agree."""
+    names = [key, "_part", "_piece", "_look", "frame", order, *BOX]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows = rows.select(*names).repartition(partitions(rows.sparkSession), key, "_part", "_piece").sortWithinPartitions(key, "_part", "_piece", "frame", order)
+    schema = f"{key} {types[key]}, _part long, _piece long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, seconds double, last long, _to long, _skip long, _names map<bigint,bigint>, _open boolean"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tracker, held, out, seconds = None, None, [], [], 0.0
+        at, held, out, kinds = None, [], [], None
+        tracker = other = to = None
+        before, seconds, ahead = 0, 0.0, False
 
         def batch():
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[key, "_part", "frame", "track_id", *BOX, "seconds", "last"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in schema.split(", ")])
+
+        def step(tracker, boxes):
+            for _ in range(min(at[3] - tracker.frame - 1, max_age + 1)):
+                tracker.step([])
+            tracker.frame = at[3] - 1
+            return tracker.step(boxes)
 
         def close():
             """Step the frame that is complete."""
+            nonlocal other, before, to, seconds
             began = time.perf_counter()
-            boxes = np.array(held, float)
-            for _ in range(min(at[2] - tracker.frame - 1, max_age + 1)):
-                tracker.step(np.zeros((0, 4)))
-            tracker.frame = at[2] - 1
-            told = tracker.step(boxes)
-            out.extend((at[0], at[1], *r, None, None) for r in told)
-            return time.perf_counter() - began
+            boxes = [[_NAN if v is None else float(v) for v in b] for b in held]
+            if ahead and other is None:
+                other, before = Tracker(max_age, min_hits, iou), tracker.made
+                other.frame = at[3] - 1
+            out.extend((*at[:3], *r, *[None] * 6) for r in step(tracker, boxes))
+            if other:
+                step(other, boxes)
+                if _agree(tracker, other, before):
+                    to = at[3]
+            seconds += time.perf_counter() - began
 
         def end():
-            out.append((at[0], at[1], None, tracker.made, None, None, None, None, seconds, at[2]))
+            same = [(y[_ID], x[_ID] - tracker.made) for x, y in zip(tracker.tracks, other.tracks)] if to else None
+            out.append((*at[:3], None, tracker.made, *[None] * 4, seconds, at[3], to, other.made if to else None, same, bool(other) and not to))
 
-        kinds = None
         for b in batches:
-            kinds = kinds or [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.int64()]
-            cols = [b.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7)]
-            for k, part, f, *box in zip(*cols):
-                now = (k, part, f)
+            kinds = kinds or [b.column(0).type, *[pa.int64()] * 4, *[pa.float64()] * 5, *[pa.int64()] * 3, pa.map_(pa.int64(), pa.int64()), pa.bool_()]
+            cols = [b.column(i).to_pylist() for i in (0, 1, 2, 4, 3, 6, 7, 8, 9)]
+            for k, part, piece, f, look, *box in zip(*cols):
+                now = (k, part, piece, f)
                 if now != at:
                     if held:
-                        seconds += close()
+                        close()
                         held = []
-                    if at is None or now[:2] != at[:2]:
-                        if at is not None:
+                    if at is None or now[:3] != at[:3]:
+                        if at:
                             end()
-                        tracker, seconds = Tracker(max_age, min_hits, iou), 0.0
+                        tracker, other, to, seconds = Tracker(max_age, min_hits, iou), None, None, 0.0
                         tracker.frame = f - 1
-                    at = now
-                held.append(box)
+                    at, ahead = now, look
+                if not to:
+                    held.append(box)
             if len(out) >= 20_000:
                 yield batch()
                 out = []
         if held:
-            seconds += close()
+            close()
+        if at:
             end()
         if out:
             yield batch()
 
-    return materialize(rows.mapInArrow(work, f"{key} {types[key]}, _part long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, seconds double, last long"), "tracks")
+    return materialize(rows.mapInArrow(work, schema), "tracks")
+
+
+def _stepped(dets: DataFrame, key: str, max_age: int, min_hits: int, iou: float, order: str) -> DataFrame:
+    """What tracks tell, by parts and stretches (see :func:`_stretches`).
+
+    A stretch starts from no tracks, so what it tells counts from the frame on in which the
+    stretch before agrees with it. Where they do not agree in time, they are stepped again as
+    one; after some rounds, a part is one stretch from there on."""
+    look = max(LOOK, max_age + 2)
+    stretch = max(STRETCH, look)
+    same = lambda *more: F.col(key).eqNullSafe(F.col("_k")) & reduce(and_, (F.col(a) == F.col(b) for a, b in more))
+    parts = alive_parts(dets.where("frame >= 1"), key, max_age)
+    rows = dets.where("frame >= 1").join(parts, same(("frame", "_f"))).select(key, "_part", "frame", order, *BOX)
+    rows = rows.withColumns({"_piece": F.floor((F.col("frame") - F.col("_part")) / stretch), "_first": (F.col("frame") - F.col("_part")) % stretch < look})
+    both = F.when(F.col("_first") & (F.col("_piece") > 0), F.array("_piece", F.col("_piece") - 1)).otherwise(F.array("_piece"))
+    sent = rows.withColumns({"_own": F.col("_piece"), "_piece": F.explode(both)}).withColumn("_look", F.col("_own") > F.col("_piece"))
+    made = _stretches(sent, key, max_age, min_hits, iou, order)
+    pieces = made.where("frame is null").select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.col("_piece").alias("_i"), F.col("_piece").alias("_in"))
+    for n in range(1, ROUNDS + 1):
+        ends = made.where("frame is null").select(key, "_part", "_piece", "_open")
+        if ends.where("_open").isEmpty():
+            break
+        w = Window.partitionBy("_k", "_p").orderBy("_i")
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        now = pieces.join(ends, same(("_part", "_p"), ("_piece", "_in"))).select("_k", "_p", "_i", "_in", "_open")
+        fails = F.lag("_open").over(w) if n < ROUNDS else F.max("_open").over(before)
+        starts = F.lag("_in").over(w).isNull() | ((F.lag("_in").over(w) != F.col("_in")) & ~fails)
+        now = now.withColumn("_to", F.max(F.when(starts, F.col("_i"))).over(w))
+        now = now.withColumn("_again", F.max(F.col("_to") != F.col("_in")).over(Window.partitionBy("_k", "_p", "_to")))
+        last = F.lag(F.struct("_to", "_again")).over(w)
+        now = now.withColumn("_back", F.when(last["_again"] & (last["_to"] != F.col("_to")), last["_to"]))
+        now = materialize(now.select("_k", "_p", "_i", "_in", "_to", "_again", "_back"), "pieces")
+        targets = F.array_compact(F.array(F.when(F.col("_again"), F.col("_to")), F.when(F.col("_first"), F.col("_back"))))
+        sent = rows.join(now, same(("_part", "_p"), ("_piece", "_i"))).withColumns({"_own": F.col("_to"), "_piece": F.explode(targets)})
+        again = _stretches(sent.withColumn("_look", F.col("_own") > F.col("_piece")), key, max_age, min_hits, iou, order)
+        old = now.where("_again").select("_k", "_p", "_in").distinct()
+        made = made.join(old, same(("_part", "_p"), ("_piece", "_in")), "left_anti").unionByName(again)
+        pieces = now.select("_k", "_p", "_i", F.col("_to").alias("_in"))
+    return made
 
 
 def _numbered_on(made: DataFrame, key: str) -> DataFrame:
-    """Tracks of all parts, with ids that go on from those of earlier parts."""
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = made.where("frame is null").select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("track_id").over(before), F.lit(0)).alias("_made"))
-    told = made.where("frame is not null").join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
-    return told.select(key, "frame", (F.col("track_id") + F.col("_made")).alias("track_id"), *BOX)
+    """Tracks of all stretches, each from the frame on that it counts from, with ids that go on
+    from those of earlier stretches and parts."""
+    last = Window.partitionBy(key, "_part").orderBy("_piece")
+    before = Window.partitionBy(key).orderBy("_part", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = made.where("frame is null").select(key, "_part", "_piece", "track_id", *(F.lag(c).over(last).alias(c) for c in ("_to", "_skip", "_names")))
+    ends = ends.withColumn("_skip", F.coalesce("_skip", F.lit(0))).withColumn("_made", F.coalesce(F.sum(F.col("track_id") - F.col("_skip")).over(before), F.lit(0)))
+    ends = ends.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.col("_piece").alias("_i"), F.coalesce("_to", F.lit(0)).alias("_after"), "_skip", "_names", "_made")
+    told = made.where("frame is not null").select(key, "_part", "_piece", "frame", "track_id", *BOX)
+    told = told.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")) & (F.col("_piece") == F.col("_i"))).where("frame > _after")
+    own = F.when(F.col("track_id") > F.col("_skip"), F.col("track_id") - F.col("_skip")).otherwise(F.col("_names")[F.col("track_id")])
+    return told.select(key, "frame", (F.col("_made") + own).alias("track_id"), *BOX)
 
 
 def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3, iou: float = 0.3, order: str = "det_id") -> DataFrame:
@@ -282,16 +406,17 @@ def track(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3
     part of a sequence and are left out. Rows of a frame are taken in the order of ``order``,
     so input partitions do not matter.
 
-    Sequences are cut where no track lives through, and the parts run in parallel; ids are
-    numbered on by the number of tracks that earlier parts made. A task streams over its parts
-    and holds one frame and the tracks that live in it, however long a sequence is.
+    Sequences are cut where no track lives through and, between, into stretches that start from
+    no tracks and run in parallel; a stretch counts from the frame on in which the one before
+    holds the very same tracks. Ids are numbered on by the number of tracks that earlier ones
+    made. A task streams over its stretches and holds one frame and the tracks that live in it.
     """
     return _numbered_on(_stepped(dets, key, max_age, min_hits, iou, order), key)
 
 
 def track_timed(dets: DataFrame, key: str = "seq", max_age: int = 1, min_hits: int = 3, iou: float = 0.3, order: str = "det_id") -> tuple[DataFrame, DataFrame]:
     """The tracks, and ``key, frames, seconds`` of each sequence from the same run: frames up to
-    its last one, and the seconds that stepping them took in the tasks."""
+    its last one, and the seconds that stepping its stretches took in the tasks."""
     made = _stepped(dets, key, max_age, min_hits, iou, order)
     took = made.where("frame is null").groupBy(key).agg(F.max("last").alias("frames"), F.sum("seconds").alias("seconds"))
     return _numbered_on(made, key), took

@@ -87,6 +87,30 @@ def test_tracks_are_those_of_every_frame(spark, monkeypatch, block, options):
     assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-5)
 
 
+@pytest.mark.parametrize(("parked", "look", "rounds"), [(0, 8, 4), (0, 2, 1), (1, 8, 2)])
+def test_long_sequences_are_stepped_in_stretches(spark, monkeypatch, parked, look, rounds):
+    """A sequence without a gap is more than one task's work, with the tracks of every frame; so
+    it is where stretches do not agree in time, or never, as a parked car's track lives on."""
+    for name, value in (("STRETCH", 16), ("LOOK", look), ("ROUNDS", rounds)):
+        monkeypatch.setattr(tracks, name, value)
+    rnd, rows = random.Random(7), []
+    for seq in ("a", "b", None):
+        for f in range(1, 200):
+            for i in range(4):
+                if rnd.random() < 0.6:
+                    x, y = rnd.choice([0, 15, 200]) + 20 * rnd.random(), 40 * i
+                    rows.append((seq, f, len(rows), x, y, x + 30, y + 20))
+            if parked and 60 <= f < (130 if seq == "a" else 200):
+                rows.append((seq, f, len(rows), 900, 900, 930, 920))
+    df = spark.createDataFrame([(*r[:3], *map(float, r[3:])) for r in rows], "seq string, frame long, det_id long, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    made = tracks._stepped(df, "seq", 1, 3, 0.3, "det_id")
+    got = sorted((r["seq"] or "", r["frame"], r["track_id"], *(round(r[c], 6) for c in tracks.BOX)) for r in tracks._numbered_on(made, "seq").collect())
+    want = step_by_step([(r[0] or "", *r[1:]) for r in rows])
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-5)
+    pieces = [r["n"] for r in made.where("frame is null and not _open").groupBy("seq").agg(F.count("*").alias("n")).collect()]
+    assert len(pieces) == 3 and (rounds == 1 or min(pieces) > 2)
+
+
 def test_tracker_first_steps():
     """One box that moves by two: the filter's first steps, from its equations."""
     t = tracks.Tracker(min_hits=1)
